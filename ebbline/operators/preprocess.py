@@ -10,9 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ebbline.operators.ranks import medians
 from ebbline.schemas import CATEGORICAL_COLUMNS, LABEL, NUMERIC_COLUMNS
@@ -63,17 +64,19 @@ def modes(levels: DataFrame) -> DataFrame:
 
 
 def _vocabulary(df: DataFrame) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """Mode and sorted labels of each categorical column."""
-    levels = level_counts(df)
-    widths = {r["column_name"]: r["levels"] for r in levels.groupBy("column_name").agg(F.count("*").alias("levels")).collect()}
-    unfit = sorted(c for c in CATEGORICAL_COLUMNS if not 0 < widths.get(c, 0) <= MAX_LEVELS)
+    """Mode and sorted labels of each categorical column.
+
+    At most one value more than all columns may have together is fetched; a
+    column that is missing then, or too wide, ends the training.
+    """
+    counts: dict[str, dict[str, int]] = {c: {} for c in CATEGORICAL_COLUMNS}
+    for row in level_counts(df).limit(len(CATEGORICAL_COLUMNS) * MAX_LEVELS + 1).collect():
+        counts[row["column_name"]][row["value"]] = row["n"]
+    unfit = [c for c, levels in counts.items() if not 0 < len(levels) <= MAX_LEVELS]
     if unfit:
         raise ValueError(f"Not usable as categories (no value, or over {MAX_LEVELS}): {unfit}")
-    labels: dict[str, list[str]] = {c: [] for c in CATEGORICAL_COLUMNS}
-    for row in levels.collect():
-        labels[row["column_name"]].append(row["value"])
-    mode = {r["column_name"]: r["mode_value"] for r in modes(levels).collect()}
-    return mode, {c: sorted(v) for c, v in labels.items()}
+    mode = {c: min(levels, key=lambda v: (-levels[v], v)) for c, levels in counts.items()}
+    return mode, {c: sorted(levels) for c, levels in counts.items()}
 
 
 def _sql_text(value: str) -> str:
@@ -90,6 +93,14 @@ def _impute_and_scale(stats: dict[str, NumericStats], mode: dict[str, str]) -> S
     return SQLTransformer(statement=f"SELECT *, {', '.join(items)} FROM __THIS__")
 
 
+def _label_frame(df: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
+    """The labels as a small frame; shorter columns repeat their first label."""
+    longest = max(map(len, labels.values()))
+    columns = [[*labels[c], *[labels[c][0]] * (longest - len(labels[c]))] for c in CATEGORICAL_COLUMNS]
+    schema = StructType([StructField(f"cat_{c}", StringType()) for c in CATEGORICAL_COLUMNS])
+    return df.sparkSession.createDataFrame(list(zip(*columns)), schema)
+
+
 def fit_preprocessor(train: DataFrame) -> PipelineModel:
     """Learn the preprocessing from the training rows.
 
@@ -97,12 +108,12 @@ def fit_preprocessor(train: DataFrame) -> PipelineModel:
     """
     stats = numeric_stats(train)
     mode, labels = _vocabulary(train)
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [labels[c] for c in CATEGORICAL_COLUMNS],
+    indexer = StringIndexer(
         inputCols=[f"cat_{c}" for c in CATEGORICAL_COLUMNS],
         outputCols=[f"idx_{c}" for c in CATEGORICAL_COLUMNS],
+        stringOrderType="alphabetAsc",
         handleInvalid="keep",
-    )
+    ).fit(_label_frame(train, labels))
     encoder = OneHotEncoder(
         inputCols=[f"idx_{c}" for c in CATEGORICAL_COLUMNS],
         outputCols=[f"hot_{c}" for c in CATEGORICAL_COLUMNS],

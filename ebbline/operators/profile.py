@@ -70,22 +70,24 @@ def column_profiles(df: DataFrame, max_columns: int = 25, samples: int = 3) -> D
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
         F.count("value").alias("unique_values"),
     )
-    by_value = Window.partitionBy("position").orderBy("value")
+    # Missing values sort last and are dropped late, and the count is carried
+    # along, so that this branch asks for the same exchange as the figures.
+    by_value = Window.partitionBy("position").orderBy(F.asc_nulls_last("value"))
     smallest = (
-        counted.where(F.col("value").isNotNull())
-        .withColumn("place", F.row_number().over(by_value))
+        counted.withColumn("place", F.row_number().over(by_value))
         .where(F.col("place") <= samples)
         .groupBy("position")
-        .agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("found"))
     )
+    found = F.array_compact(F.transform("found", lambda cell: cell["value"]))
     types = dict(df.dtypes)
     name = F.element_at(F.array(*[F.lit(c) for c in shown]), F.col("position"))
     dtype = F.element_at(F.array(*[F.lit(types[c]) for c in shown]), F.col("position"))
-    return figures.join(smallest, "position", "left").select(
+    return figures.join(smallest, "position").select(
         "position",
         name.alias("column_name"),
         dtype.alias("dtype"),
         round_even(F.col("missing") / F.col("total") * 100, 1).alias("missing_pct"),
         "unique_values",
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+        found.alias("sample_values"),
     )

@@ -89,6 +89,21 @@ def kpis(scores: DataFrame) -> DataFrame:
     return _newest_row(scores.groupBy("snapshot_date").agg(*_portfolio()))
 
 
+def kpi_cards(scores: DataFrame) -> DataFrame:
+    """The portfolio figures as labelled display values, in card order."""
+    cards = {
+        "Total Revenue At Risk": F.format_string("$%,.0f", "total_revenue_at_risk"),
+        "Average Churn Probability": F.format_string("%.1f%%", F.col("avg_churn_probability") * 100),
+        "High Risk Customers": F.format_string("%,d", "high_risk_customers"),
+        "Customers Scored": F.format_string("%,d", "customers_scored"),
+    }
+    rows = [
+        F.struct(F.lit(i).alias("position"), F.lit(label).alias("label"), value.alias("value"))
+        for i, (label, value) in enumerate(cards.items(), start=1)
+    ]
+    return kpis(scores).select("snapshot_date", F.inline(F.array(*rows)))
+
+
 def segment_mix(scores: DataFrame) -> DataFrame:
     """Customers per segment on the newest date; absent segments count zero."""
     counts = [F.count_if(F.col("risk_segment") == s).alias(s) for s in SEGMENTS]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ def stratified_split(
     Rows are ordered by a hash of their key and the first ones of each class
     are held out. Only the hash at the boundary is looked up, so no class is
     ever sorted or gathered, and the split is a filter on the key: it does not
-    depend on partitioning, and all rows of one key fall on one side.
+    depend on partitioning, and all rows of one key fall on one side. The passes
+    share the persisted hashes, one number per row.
     """
     place = hash52(F.col(key), seed)
     by_class = {c: f"class_{c}" for c in CLASSES}
@@ -43,7 +45,9 @@ def stratified_split(
         sizes = held_out_counts({c: counts[name] for c, name in by_class.items()}, test_share)
         return {by_class[c]: [n] for c, n in sizes.items() if n}
 
+    hashes.persist(StorageLevel.MEMORY_AND_DISK)
     limits = order_statistics(hashes, list(by_class.values()), boundary)
+    hashes.unpersist()
     held_out = F.lit(False)
     for c, name in by_class.items():
         if name in limits:
