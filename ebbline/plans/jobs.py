@@ -79,11 +79,12 @@ def score(
 
 
 def make_snapshots(spark: SparkSession, settings: Settings) -> None:
+    """Expand the newest scores; the stored snapshots stay if there are none."""
     scored = read_latest(spark, settings.scores_path)
+    if scored.where(F.col("tenure") > 0).isEmpty():
+        raise RuntimeError("No temporal snapshots were generated.")
     expanded = customer_snapshots(scored, settings.as_of, settings.snapshot_months, settings.seed)
     write_stage(expanded, settings.snapshots_path, by_date=True)
-    if read_stage(spark, settings.snapshots_path).isEmpty():
-        raise RuntimeError("No temporal snapshots were generated.")
 
 
 def load_mart(spark: SparkSession, settings: Settings) -> Mart:
