@@ -19,24 +19,20 @@ TENURE_BINS = [(-1, 12, "0_12"), (12, 24, "13_24"), (24, 48, "25_48"), (48, 72,
 RISK_BINS = [(-0.01, 0.3, "low"), (0.3, 0.7, "medium"), (0.7, 1.0, "high")]
 
 
-def _cut(column: Column, bins: Sequence[tuple[float, float, str]]) -> Column:
-    chain = F
-    for lower, upper, label in bins:
-        chain = chain.when((column > lower) & (column <= upper), F.lit(label))
-    return chain.otherwise(F.lit(OUTSIDE))
+def _cut(column: str, bins: Sequence[tuple[float, float, str]]) -> Column:
+    whens = [f"when {column} > {lower}D and {column} <= {upper}D then '{label}'" for lower, upper, label in bins]
+    return F.expr(f"case {' '.join(whens)} else '{OUTSIDE}' end")
 
 
-def tenure_bucket(column: Column) -> Column:
+def tenure_bucket(column: str = "tenure") -> Column:
     return _cut(column, TENURE_BINS)
 
 
-def risk_segment(column: Column) -> Column:
+def risk_segment(column: str = "churn_probability") -> Column:
     return _cut(column, RISK_BINS)
 
 
-def lookup(column: Column, values: Mapping[str, int], otherwise: Column) -> Column:
-    """Value map with an explicit result for unknown and missing keys."""
-    chain = F
-    for key, value in values.items():
-        chain = chain.when(column == key, F.lit(value))
-    return chain.otherwise(otherwise)
+def lookup(column: str, values: Mapping[str, int], otherwise: str) -> Column:
+    """Value map; ``otherwise`` is the SQL result for unknown and missing keys."""
+    whens = [f"when '{key}' then {value}" for key, value in values.items()]
+    return F.expr(f"case {column} {' '.join(whens)} else {otherwise} end")

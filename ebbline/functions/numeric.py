@@ -26,7 +26,7 @@ def to_number(column: Column, dtype: DataType) -> Column:
 
 def round_even(column: Column, places: int) -> Column:
     """Scale, round half to even, scale back (not the half-up SQL ``round``)."""
-    scale = F.lit(10.0**places)
+    scale = 10.0**places
     return F.rint(column * scale) / scale
 
 
@@ -34,7 +34,7 @@ def clip(column: Column, lower: float | None = None, upper: float | None = None)
     """Bound a column; NULL stays NULL (``greatest``/``least`` would drop it)."""
     bounded = column
     if lower is not None:
-        bounded = F.when(bounded < lower, F.lit(lower)).otherwise(bounded)
+        bounded = F.when(bounded < lower, lower).otherwise(bounded)
     if upper is not None:
-        bounded = F.when(bounded > upper, F.lit(upper)).otherwise(bounded)
+        bounded = F.when(bounded > upper, upper).otherwise(bounded)
     return bounded

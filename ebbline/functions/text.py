@@ -13,6 +13,9 @@ WHITESPACE = (
 )
 
 
-def strip(column: Column) -> Column:
-    """Remove Unicode whitespace at both ends; a character-set trim, no regex."""
-    return F.trim(column, F.lit(WHITESPACE))
+_IN_SQL = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+
+
+def strip(column: str) -> str:
+    """SQL that removes Unicode whitespace at both ends; a trim, no regex."""
+    return f"trim(both '{_IN_SQL}' from {column})"

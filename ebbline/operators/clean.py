@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions import lookup, strip, to_number
@@ -14,21 +14,23 @@ def coerce_number(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, to_number(F.col(column), df.schema[column].dataType))
 
 
-def unknown_value(column: str, result_type: str) -> Column:
-    """Fail the query on a value outside a column's domain."""
-    message = F.concat(F.lit(f"Unknown value in {column}: "), F.coalesce(F.col(column), F.lit("NULL")))
-    return F.raise_error(message).cast(result_type)
+def unknown_value(column: str) -> str:
+    """SQL that fails the query on a value outside a column's domain."""
+    return f"cast(raise_error(concat('Unknown value in {column}: ', coalesce({column}, 'NULL'))) as int)"
 
 
 def encode_churn(df: DataFrame) -> DataFrame:
     """``Churn`` Yes/No to 1/0; any other value fails the query."""
-    encoded = lookup(F.col("Churn"), {"Yes": 1, "No": 0}, unknown_value("Churn", "int"))
+    encoded = lookup("Churn", {"Yes": 1, "No": 0}, unknown_value("Churn"))
     return df.withColumn("Churn", encoded.cast("bigint"))
 
 
 def strip_text(df: DataFrame) -> DataFrame:
     """Trim the text columns. NULL stays NULL."""
-    return df.withColumns({c: strip(F.col(c).cast("string")) for c in TEXT_COLUMNS})
+    quoted = [f"`{c}`" for c in df.columns]
+    return df.selectExpr(
+        *[f"{strip(q)} as {q}" if c in TEXT_COLUMNS else q for c, q in zip(df.columns, quoted)]
+    )
 
 
 def impute_total_charges(df: DataFrame) -> DataFrame:

@@ -11,13 +11,9 @@ from ebbline.operators.mapping import require_request_columns
 from ebbline.schemas import CONTRACT_TERM_MONTHS, FEATURE_COLUMNS
 
 
-def _flag(condition: Column) -> Column:
-    return condition.cast("bigint")
-
-
-def _equals(column: str, value: str) -> Column:
-    """Null-safe equality: a missing value is simply not equal."""
-    return F.col(column).eqNullSafe(F.lit(value))
+def _flag(condition: str) -> Column:
+    """1 or 0; conditions use ``<=>``, for which a missing value is just not equal."""
+    return F.expr(f"cast({condition} as bigint)")
 
 
 def engineer(df: DataFrame, strict: bool) -> DataFrame:
@@ -26,19 +22,19 @@ def engineer(df: DataFrame, strict: bool) -> DataFrame:
     ``strict`` fails the query on an unknown contract; otherwise its term is
     one month and a negative charge counts as zero under the logarithm.
     """
-    unknown = unknown_value("Contract", "int") if strict else F.lit(1)
+    unknown = unknown_value("Contract") if strict else "1"
     charges = F.col("MonthlyCharges") if strict else clip(F.col("MonthlyCharges"), lower=0.0)
     return df.withColumns(
         {
-            "tenure_bucket": tenure_bucket(F.col("tenure")),
-            "contract_term_months": lookup(F.col("Contract"), CONTRACT_TERM_MONTHS, unknown).cast("bigint"),
+            "tenure_bucket": tenure_bucket("tenure"),
+            "contract_term_months": lookup("Contract", CONTRACT_TERM_MONTHS, unknown).cast("bigint"),
             "monthly_charges_log": F.log1p(charges),
-            "has_internet": _flag(~_equals("InternetService", "No")),
-            "has_security": _flag(_equals("OnlineSecurity", "Yes")),
-            "payment_risk_flag": _flag(_equals("PaymentMethod", "Electronic check")),
+            "has_internet": _flag("not InternetService <=> 'No'"),
+            "has_security": _flag("OnlineSecurity <=> 'Yes'"),
+            "payment_risk_flag": _flag("PaymentMethod <=> 'Electronic check'"),
             "is_senior": F.col("SeniorCitizen").cast("bigint"),
-            "has_partner": _flag(_equals("Partner", "Yes")),
-            "has_dependents": _flag(_equals("Dependents", "Yes")),
+            "has_partner": _flag("Partner <=> 'Yes'"),
+            "has_dependents": _flag("Dependents <=> 'Yes'"),
         }
     )
 

@@ -19,10 +19,10 @@ def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     return scored.select(*df.columns, vector_to_array("probability")[1].alias("churn_probability"))
 
 
-def expected_months(contract: Column, tenure: Column) -> Column:
+def expected_months(contract: str = "Contract", tenure: str = "tenure") -> Column:
     """Remaining months: a buffer by contract less a tenure discount, at least 1."""
-    buffer = lookup(contract, CONTRACT_BUFFER_MONTHS, F.lit(6))
-    discount = clip(tenure / F.lit(12.0), 0.0, 6.0)
+    buffer = lookup(contract, CONTRACT_BUFFER_MONTHS, "6")
+    discount = clip(F.col(tenure) / F.lit(12.0), 0.0, 6.0)
     return round_even(clip(buffer - discount, lower=1.0), 2)
 
 
@@ -38,7 +38,7 @@ def score_output(df: DataFrame, snapshot_date: date | None = None) -> DataFrame:
     with_months = df.withColumns(
         {
             "monthly_revenue": F.col("MonthlyCharges"),
-            "expected_months_remaining": expected_months(F.col("Contract"), F.col("tenure")),
+            "expected_months_remaining": expected_months(),
         }
     )
     return with_months.withColumns(
@@ -46,7 +46,7 @@ def score_output(df: DataFrame, snapshot_date: date | None = None) -> DataFrame:
             "revenue_at_risk": revenue_at_risk(
                 F.col("churn_probability"), F.col("monthly_revenue"), F.col("expected_months_remaining")
             ),
-            "risk_segment": risk_segment(F.col("churn_probability")),
+            "risk_segment": risk_segment(),
             "snapshot_date": F.lit(snapshot_date) if snapshot_date else F.current_date(),
         }
     )

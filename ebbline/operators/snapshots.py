@@ -55,7 +55,7 @@ def customer_snapshots(scores: DataFrame, anchor: date, periods: int = 12, seed:
         {
             "monthly_revenue": clip(revenue, lower=MINIMUM_REVENUE),
             "churn_probability": clip(F.col("churn_probability") - shift, 0.01, 0.99),
-            "expected_months_remaining": expected_months(F.col("Contract"), F.col("tenure_at_snapshot")),
+            "expected_months_remaining": expected_months(tenure="tenure_at_snapshot"),
         }
     )
     event = (F.col("churn_flag") == 1) & (F.col("months_back") == 0)
@@ -64,7 +64,7 @@ def customer_snapshots(scores: DataFrame, anchor: date, periods: int = 12, seed:
             "revenue_at_risk": revenue_at_risk(
                 F.col("churn_probability"), F.col("monthly_revenue"), F.col("expected_months_remaining")
             ),
-            "risk_segment": risk_segment(F.col("churn_probability")),
+            "risk_segment": risk_segment(),
             "observed_churn_event": F.coalesce(event, F.lit(False)).cast("bigint"),
             "active_customer_flag": F.lit(1).cast("bigint"),
         }

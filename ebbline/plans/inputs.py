@@ -46,8 +46,16 @@ FOREIGN_NAMES = [
 ]
 
 
+# The columns of the given tables that are used.
+TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the declared types spare a pass over the file footers."""
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _add_on(condition: str) -> str:
@@ -127,15 +135,10 @@ def rule_score(df: DataFrame) -> DataFrame:
     It uses no transcendental function, so every engine computes the same bits.
     """
 
-    def indicator(column: str, value: str):
-        return F.col(column).eqNullSafe(value).cast("double")
-
-    raw = (
-        F.lit(0.05)
-        + F.lit(0.40) * indicator("Contract", "Month-to-month")
-        + F.lit(0.20) * indicator("PaymentMethod", "Electronic check")
-        + F.lit(0.15) * indicator("InternetService", "Fiber optic")
-        - F.lit(0.001) * F.col("tenure")
+    raw = F.expr(
+        "0.05D + 0.40D * cast(Contract <=> 'Month-to-month' as double)"
+        " + 0.20D * cast(PaymentMethod <=> 'Electronic check' as double)"
+        " + 0.15D * cast(InternetService <=> 'Fiber optic' as double) - 0.001D * tenure"
     )
     return df.withColumn("churn_probability", clip(raw, 0.01, 0.99))
 

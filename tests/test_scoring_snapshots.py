@@ -29,7 +29,7 @@ def test_expected_months(spark):
         ("One year", None, None),
     ]
     df = spark.createDataFrame(rows, "Contract string, tenure bigint, wanted double")
-    got = df.select("wanted", expected_months(F.col("Contract"), F.col("tenure")).alias("got"))
+    got = df.select("wanted", expected_months().alias("got"))
     assert got.where(~F.col("wanted").eqNullSafe(F.col("got"))).isEmpty()
 
 
