@@ -3,7 +3,8 @@ lets a job restart after its last finished stage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,19 @@ from pyspark.sql import functions as F
 from ebbline.config import Settings
 from ebbline.operators import quality, train
 from ebbline.operators.clean import clean_raw
-from ebbline.operators.features import build_features
+from ebbline.operators.features import build_features, prepare_upload
+from ebbline.operators.mapping import map_schema
 from ebbline.operators.monitoring import monitoring_suite
-from ebbline.operators.scoring import batch_scores, predict
+from ebbline.operators.profile import column_profiles, dataset_profile
+from ebbline.operators.reports import upload_preview, upload_summary
+from ebbline.operators.scoring import batch_scores, predict, score_output
 from ebbline.operators.snapshots import customer_snapshots
-from ebbline.sources.files import read_latest, read_raw_csv, read_stage, write_stage
+from ebbline.sources.files import read_foreign, read_latest, read_raw_csv, read_stage, write_stage
 from ebbline.sources.mart import Mart
+from ebbline.sources.uploads import UploadStore
+
+# Adds ``churn_probability`` to features.
+Predictor = Callable[[DataFrame], DataFrame]
 
 LOADED_TABLES = ("customers_raw", "features", "scores_daily", "customer_snapshots")
 
@@ -64,16 +72,15 @@ def retrain_and_register(spark: SparkSession, settings: Settings) -> train.Train
     return trained
 
 
-def score(
-    spark: SparkSession, settings: Settings, predictor: Callable[[DataFrame], DataFrame] | None = None
-) -> None:
-    """Score the stored features with the saved model, or a given predictor."""
-    if predictor is None:
-        model = train.load_model(settings.model_path)
+def saved_model(settings: Settings) -> Predictor:
+    """The predictor of the saved model, which is loaded once."""
+    model = train.load_model(settings.model_path)
+    return lambda df: predict(df, model)
 
-        def predictor(df: DataFrame) -> DataFrame:
-            return predict(df, model)
 
+def score(spark: SparkSession, settings: Settings, predictor: Predictor | None = None) -> None:
+    """Score the stored features with the saved model, or a given predictor."""
+    predictor = predictor or saved_model(settings)
     probabilities = predictor(read_stage(spark, settings.features_path))
     write_stage(batch_scores(probabilities, settings.as_of), settings.scores_path, by_date=True)
 
@@ -96,9 +103,7 @@ def load_mart(spark: SparkSession, settings: Settings) -> Mart:
     return target
 
 
-def refresh_mart(
-    spark: SparkSession, settings: Settings, predictor: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
+def refresh_mart(spark: SparkSession, settings: Settings, predictor: Predictor | None = None) -> DataFrame:
     """Rebuild features, scores and snapshots, reload the mart; rows per table."""
     make_features(spark, settings)
     score(spark, settings, predictor)
@@ -121,6 +126,31 @@ def run_monitoring(spark: SparkSession, settings: Settings) -> None:
     mart(spark, settings).append_metrics(metrics)
 
 
+def stage_upload(spark: SparkSession, settings: Settings, path: str) -> tuple[str, DataFrame, DataFrame]:
+    """Stage a foreign dataset; its token, dataset profile and column profiles."""
+    store = UploadStore(spark, settings.uploads_path)
+    token = store.stage(read_foreign(spark, path), os.path.basename(path.rstrip("/")))
+    staged = store.load(token)
+    return token, dataset_profile(staged), column_profiles(staged)
+
+
+def score_upload(
+    spark: SparkSession,
+    settings: Settings,
+    token: str,
+    overrides: Mapping[str, str] | None = None,
+    predictor: Predictor | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Summary and preview of a staged dataset scored under its mapping.
+
+    The stored scores and the mart are left alone.
+    """
+    staged = UploadStore(spark, settings.uploads_path).load(token)
+    prepared = prepare_upload(map_schema(staged, overrides))
+    scored = score_output((predictor or saved_model(settings))(prepared), settings.as_of)
+    return upload_summary(scored), upload_preview(scored)
+
+
 def run_all(spark: SparkSession, settings: Settings) -> DataFrame:
     """The whole batch in order; rows per mart table."""
     ingest(spark, settings)

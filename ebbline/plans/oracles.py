@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from ebbline.operators.mapping import suggest_mapping
 from ebbline.plans.inputs import FOREIGN_NAMES
 from ebbline.schemas import (
     CATEGORICAL_COLUMNS,
@@ -237,8 +236,7 @@ _CTES = {
       foreign_set as (select {", ".join(f"{c} as {f}" for c, f in zip(REQUEST_COLUMNS, FOREIGN_NAMES))}
         from telco_raw)""",
     "upload": f"""
-      mapped as (select {", ".join(f"{source} as {field}" for field, source in suggest_mapping(FOREIGN_NAMES).items())}
-        from foreign_set),
+      mapped as (select {", ".join(f"{f} as {c}" for c, f in zip(REQUEST_COLUMNS, FOREIGN_NAMES))} from foreign_set),
       coerced as (select {_select(REQUEST_COLUMNS, TotalCharges=_number("TotalCharges"),
           **{c: _trim(c) for c in TEXT_COLUMNS})} from mapped),
       imputed as (select {_select(REQUEST_COLUMNS, TotalCharges="coalesce(TotalCharges, MonthlyCharges * tenure)")}

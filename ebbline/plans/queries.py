@@ -551,6 +551,14 @@ def upload_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.upload_preview(_upload_scores(spark, sf_dir))
 
 
+@_register
+def upload_model_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preview with a model trained on the labelled records."""
+    trained = train.train_models(inputs.features(spark, sf_dir), names=("logistic_regression",))
+    rated = scoring.predict(_upload_features(spark, sf_dir), trained.model)
+    return reports.upload_preview(scoring.score_output(rated, inputs.RUN_DATE))
+
+
 @_register
 def profile_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.dataset_profile(inputs.telco_foreign(spark, sf_dir))

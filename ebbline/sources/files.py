@@ -105,14 +105,15 @@ def read_latest(spark: SparkSession, path: str, dates: int = 1) -> DataFrame:
 def write_stage(df: DataFrame, path: str, by_date: bool = False) -> None:
     """Replace a stage dataset.
 
-    With ``by_date`` rows are rebalanced by date first: adaptive execution
-    splits large dates and merges small ones into files of the advisory size,
-    instead of one file per task and date.
+    With ``by_date`` the folder is partitioned by date, so that readers of the
+    newest dates open nothing else. There is no shuffle by date: a task that
+    expands a split over twelve months writes twelve files of about the size of
+    that split.
     """
+    writer = df.write.mode("overwrite")
     if by_date:
-        df.hint("rebalance", F.col("snapshot_date")).write.mode("overwrite").partitionBy("snapshot_date").parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+        writer = writer.partitionBy("snapshot_date")
+    writer.parquet(path)
 
 
 def read_foreign(spark: SparkSession, path: str) -> DataFrame:

@@ -94,10 +94,7 @@ class Mart:
         return named.select(*columns)
 
     def replace(self, table: str, df: DataFrame) -> None:
-        payload = self._payload(table, df)
-        if table in BY_DATE:
-            payload = payload.hint("rebalance", F.col("snapshot_date"))
-        payload.write.insertInto(self.name(table), overwrite=True)
+        self._payload(table, df).write.insertInto(self.name(table), overwrite=True)
 
     def append(self, table: str, df: DataFrame) -> None:
         self._payload(table, df).write.insertInto(self.name(table))

@@ -38,6 +38,24 @@ def test_whole_batch(spark, tmp_path):
     assert len(registered) == 1 and registered[0]["artifact_path"] == settings.model_path
     assert top_risky(files.read_latest(spark, settings.scores_path)).count() == 12
 
+    inputs.telco_foreign(spark, SF_DIR).write.csv(str(tmp_path / "subscribers.csv"), header=True)
+    token, profile, columns = jobs.stage_upload(spark, settings, str(tmp_path / "subscribers.csv"))
+    figures = profile.first()
+    assert (figures["row_count"], figures["mapped_fields"], columns.count()) == (rows, 20, 20)
+    summary, preview = jobs.score_upload(spark, settings, token)
+    assert summary.first()["rows_scored"] == rows and preview.count() == 15
+    assert mart.read("scores_daily").count() == rows
+    with pytest.raises(ValueError, match="Missing required mapped fields"):
+        jobs.score_upload(spark, settings, token, {"tenure": ""})
+
+    out = str(tmp_path / "responses")
+    inputs.telco_requests(spark, SF_DIR).write.parquet(str(tmp_path / "requests"))
+    model = jobs.saved_model(settings)
+    records = streaming.read_records(spark, str(tmp_path / "requests"))
+    streaming.score_stream(records, model, out, str(tmp_path / "state")).awaitTermination()
+    batch = streaming.score_records(spark.read.parquet(str(tmp_path / "requests")), model)
+    assert spark.read.parquet(out).exceptAll(batch).isEmpty() and not batch.isEmpty()
+
     with pytest.raises(QualityError, match="Unexpectedly low row count"):
         jobs.ingest(spark, Settings(root=settings.root, raw_csv=settings.raw_csv, min_rows=10_000))
 

@@ -7,7 +7,7 @@ from comparison import connect, differences
 from conftest import SF_DIR
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-ROWS_ONLY = {"train_lr_scores", "train_rf_scores", "model_selection", "registry_row"}
+ROWS_ONLY = {"train_lr_scores", "train_rf_scores", "model_selection", "registry_row", "upload_model_preview"}
 
 
 @pytest.fixture(scope="module")
