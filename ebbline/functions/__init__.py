@@ -1,6 +1,7 @@
 """Column expressions: everything here is built from JVM-side functions."""
 
 from ebbline.functions.buckets import lookup, risk_segment, tenure_bucket
+from ebbline.functions.dates import utc_now, utc_today
 from ebbline.functions.hashing import gaussian_noise, hash52
 from ebbline.functions.numeric import clip, nan_to_null, round_even, to_number
 from ebbline.functions.text import strip
@@ -16,4 +17,6 @@ __all__ = [
     "strip",
     "tenure_bucket",
     "to_number",
+    "utc_now",
+    "utc_today",
 ]

@@ -8,6 +8,7 @@ a pass returns at most columns x ranks x bins rows, whatever the data size.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ebbline.functions import nan_to_null
+
 BINS = 1024
 
 
@@ -33,15 +36,20 @@ def order_statistics(
 ) -> dict[str, list[float]]:
     """The values at the given 1-based ranks of each numeric column.
 
-    ``ranks`` turns the non-missing counts into the wanted ranks. Each pass
-    scans the columns again: persist ``df`` if it is expensive to compute.
+    ``ranks`` turns the non-missing counts into the wanted ranks; NaN counts as
+    missing, and an infinite value is refused. Each pass scans the columns
+    again: persist ``df`` if it is expensive to compute.
     """
+    df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     bounds = df.select(
         *[F.count(c).alias(f"{c}_n") for c in columns],
-        *[F.min(c).cast("double").alias(f"{c}_min") for c in columns],
-        *[F.max(c).cast("double").alias(f"{c}_max") for c in columns],
+        *[F.min(c).alias(f"{c}_min") for c in columns],
+        *[F.max(c).alias(f"{c}_max") for c in columns],
     ).first()
     wanted = ranks({c: bounds[f"{c}_n"] for c in columns})
+    infinite = [c for c in wanted if not math.isfinite(bounds[f"{c}_max"] - bounds[f"{c}_min"])]
+    if infinite:
+        raise ValueError(f"Infinite values in: {infinite}")
     found = {
         (c, k): _Interval(c, bounds[f"{c}_min"], bounds[f"{c}_max"], 0) for c in wanted for k in wanted[c]
     }
@@ -57,7 +65,7 @@ def _histogram(df: DataFrame, intervals: list[_Interval]) -> dict[_Interval, lis
     """Count, minimum and maximum of every non-empty bin of every interval."""
     cells = []
     for i, interval in enumerate(intervals):
-        value = F.col(interval.column).cast("double")
+        value = F.col(interval.column)
         share = (value - F.lit(interval.low)) / F.lit(interval.high - interval.low)
         place = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
         inside = value.between(interval.low, interval.high)

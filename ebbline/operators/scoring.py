@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.functions import clip, lookup, risk_segment, round_even
+from ebbline.functions import clip, lookup, risk_segment, round_even, utc_today
 from ebbline.schemas import CONTRACT_BUFFER_MONTHS, SCORE_COLUMNS
 
 
@@ -33,7 +33,7 @@ def revenue_at_risk(probability: Column, revenue: Column, months: Column) -> Col
 def score_output(df: DataFrame, snapshot_date: date | None = None) -> DataFrame:
     """Add revenue, months, risk and date to records with a probability.
 
-    ``snapshot_date`` is the run date; leaving it out means today (UTC session).
+    ``snapshot_date`` is the run date; leaving it out means today in UTC.
     """
     with_months = df.withColumns(
         {
@@ -47,7 +47,7 @@ def score_output(df: DataFrame, snapshot_date: date | None = None) -> DataFrame:
                 F.col("churn_probability"), F.col("monthly_revenue"), F.col("expected_months_remaining")
             ),
             "risk_segment": risk_segment(),
-            "snapshot_date": F.lit(snapshot_date) if snapshot_date else F.current_date(),
+            "snapshot_date": F.lit(snapshot_date) if snapshot_date else utc_today(),
         }
     )
 

@@ -17,7 +17,7 @@ from ebbline.operators.clean import clean_raw, coerce_number
 from ebbline.operators.features import build_features
 from ebbline.operators.scoring import batch_scores
 from ebbline.operators.snapshots import customer_snapshots
-from ebbline.schemas import REQUEST_COLUMNS
+from ebbline.schemas import RAW_COLUMNS, REQUEST_COLUMNS
 
 RUN_DATE = date(2001, 8, 1)
 
@@ -119,6 +119,31 @@ def telco_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def telco_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with faults: some repeated, missing, out of range or unknown.
+
+    The customer number decides which fault a record has; every repeated record
+    is emitted twice from its own row.
+    """
+    numbered = telco_raw(spark, sf_dir).withColumn("k", F.expr("cast(substr(customerID, 10) as bigint)"))
+    faulty = numbered.selectExpr(
+        "customerID",
+        "case when k % 31 = 0 then null else gender end as gender",
+        "case when k % 29 = 0 then 2 else SeniorCitizen end as SeniorCitizen",
+        *RAW_COLUMNS[3:5],
+        "case when k % 41 = 0 then null when k % 37 = 0 then 100 when k % 43 = 0 then -1 else tenure end as tenure",
+        *RAW_COLUMNS[6:15],
+        "case when k % 23 = 0 then 'Weekly' when k % 19 = 0 then concat(' ', Contract) else Contract end as Contract",
+        *RAW_COLUMNS[16:18],
+        "case when k % 53 = 0 then -1D when k % 59 = 0 then null else MonthlyCharges end as MonthlyCharges",
+        "case when k % 17 = 0 then '1d' when k % 13 = 0 then concat('\\t', TotalCharges) else TotalCharges end "
+        "as TotalCharges",
+        "case when k % 47 = 0 then 'Maybe' when k % 61 = 0 then null else Churn end as Churn",
+        "sequence(1, case when k % 50 = 0 then 2 else 1 end) as copies",
+    )
+    return faulty.withColumn("copy", F.explode("copies")).select(RAW_COLUMNS)
+
+
 def telco_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records as scoring requests: no label, numeric charges."""
     return coerce_number(telco_raw(spark, sf_dir), "TotalCharges").select(REQUEST_COLUMNS)

@@ -42,7 +42,7 @@ def _trim(column: str) -> str:
 def _number(column: str) -> str:
     return (
         f"case when regexp_full_match({column}, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') "
-        f"then try_cast(trim({column}) as double) end"
+        f"then try_cast(trim({column}, ' ' || chr(9)) as double) end"
     )
 
 
@@ -224,6 +224,20 @@ _CTES = {
       {_deltas("earlier_drift", "earlier")},
       ledger as (select * from suite union all select * from earlier_drift union all select * from alerts),
       newest_metrics as (select * from ledger where snapshot_date = (select max(snapshot_date) from ledger))""",
+    "dirty": """
+      numbered as (select *, substr(customerID, 10)::bigint as k from telco_raw),
+      faulty as (select * exclude (k) replace (
+          case when k % 31 = 0 then null else gender end as gender,
+          case when k % 29 = 0 then 2 else SeniorCitizen end as SeniorCitizen,
+          case when k % 41 = 0 then null when k % 37 = 0 then 100 when k % 43 = 0 then -1 else tenure end as tenure,
+          case when k % 23 = 0 then 'Weekly' when k % 19 = 0 then ' ' || Contract else Contract end as Contract,
+          case when k % 53 = 0 then -1.0::double when k % 59 = 0 then null else MonthlyCharges end as MonthlyCharges,
+          case when k % 17 = 0 then '1d' when k % 13 = 0 then chr(9) || TotalCharges else TotalCharges end
+            as TotalCharges,
+          case when k % 47 = 0 then 'Maybe' when k % 61 = 0 then null else Churn end as Churn)
+        from numbered),
+      dirty as (select * from faulty
+        union all select * from faulty where substr(customerID, 10)::bigint % 50 = 0)""",
     "requests": f"requests as (select {_select(REQUEST_COLUMNS, TotalCharges=_number('TotalCharges'))} from telco_raw)",
     "violations": """
       violations as (select *, concat_ws(', ',
@@ -312,6 +326,29 @@ def _mart(columns: list[str]) -> str:
     return ", ".join(items)
 
 
+def _quality(source: str) -> str:
+    return f"""
+      ids as (select customerID, count(*) as n from {source} group by customerID),
+      figures as (select count(*) as n, min(tenure) as t0, max(tenure) as t1, min(MonthlyCharges) as c0,
+          max(MonthlyCharges) as c1, count(*) filter (Churn not in ('Yes', 'No')) as odd from {source}),
+      missing as ({_missing(source)}),
+      checks as (
+        select 'row_count' as "check", greatest(1000 - n, 0) as failed from figures
+        union all select 'duplicate_customer_ids', sum(n - 1) from ids
+        union all select 'missing_' || column_name, missing from missing
+        union all select 'tenure_range', (t0 < 0)::bigint + (t1 > 72)::bigint from figures
+        union all select 'monthly_charges_range', (c0 < 0)::bigint + (c1 <= 0)::bigint from figures
+        union all select 'target_values', odd from figures)
+      select "check", failed::bigint as failed, failed = 0 as passed from checks"""
+
+
+def _missing(source: str) -> str:
+    return " union all ".join(
+        f"select '{c}' as column_name, count(*) filter ({c} is null) as missing from {source}"
+        for c in ("customerID", "tenure", "MonthlyCharges", "Churn")
+    )
+
+
 def _auc(source: str, by: str = "") -> str:
     """Mid-rank form of the area under the ROC curve."""
     group = f"{by}," if by else ""
@@ -345,32 +382,27 @@ def oracle_sql() -> dict[str, str]:
         "clean_impute_total": f"{_PREPARED} select customerID, TotalCharges from prepared",
         "upload_coerce": f"""{_with("telco_raw", "foreign_set", "upload")}
             select {_select(REQUEST_COLUMNS, TotalCharges=_number("TotalCharges"))} from mapped""",
-        "dq_report": f"""{_RAW},
-            ids as (select customerID, count(*) as n from telco_raw group by customerID),
-            figures as (select count(*) as n, min(tenure) as t0, max(tenure) as t1, min(MonthlyCharges) as c0,
-              max(MonthlyCharges) as c1, count(*) filter (customerID is null) as m_id,
-              count(*) filter (tenure is null) as m_tenure, count(*) filter (MonthlyCharges is null) as m_charges,
-              count(*) filter (Churn is null) as m_churn, count(*) filter (Churn not in ('Yes', 'No')) as odd
-              from telco_raw),
-            checks as (
-              select 'row_count' as "check", greatest(1000 - n, 0) as failed from figures
-              union all select 'duplicate_customer_ids', sum(n - 1) from ids
-              union all select 'missing_customerID', m_id from figures
-              union all select 'missing_tenure', m_tenure from figures
-              union all select 'missing_MonthlyCharges', m_charges from figures
-              union all select 'missing_Churn', m_churn from figures
-              union all select 'tenure_range', (t0 < 0)::bigint + (t1 > 72)::bigint from figures
-              union all select 'monthly_charges_range', (c0 < 0)::bigint + (c1 <= 0)::bigint from figures
-              union all select 'target_values', odd from figures)
-            select "check", failed::bigint as failed, failed = 0 as passed from checks""",
+        "dq_report": f"{_RAW}, {_quality('telco_raw')}",
+        "dq_report_dirty": f"{_with('telco_raw', 'dirty')}, {_quality('dirty')}",
         "dq_duplicates": f"""{_RAW}
             select 'customers' as dataset, (count(*) - count(distinct customerID))::bigint as duplicate_rows from telco_raw
             union all select 'orders by customer', (count(*) - count(distinct o_custkey))::bigint from orders""",
-        "dq_missing": f"""{_RAW}
-            select 'customerID' as column_name, count(*) filter (customerID is null) as missing from telco_raw
-            union all select 'tenure', count(*) filter (tenure is null) from telco_raw
-            union all select 'MonthlyCharges', count(*) filter (MonthlyCharges is null) from telco_raw
-            union all select 'Churn', count(*) filter (Churn is null) from telco_raw""",
+        "dq_missing": f"{_RAW} {_missing('telco_raw')}",
+        "dq_missing_dirty": f"{_with('telco_raw', 'dirty')} {_missing('dirty')}",
+        "dq_unexpected_targets": f"""{_with("telco_raw", "dirty")}
+            select Churn, count(*) as row_count from dirty where Churn not in ('Yes', 'No') group by Churn""",
+        "dq_record_contract_dirty": f"""{_with("telco_raw", "dirty")},
+            numeric as (select * replace ({_number("TotalCharges")} as TotalCharges) from dirty)
+            select customerID, concat_ws(', ',
+              case when gender is null then 'gender missing' end,
+              case when tenure is null then 'tenure missing' end,
+              case when MonthlyCharges is null then 'MonthlyCharges missing' end,
+              case when TotalCharges is null then 'TotalCharges missing' end,
+              case when SeniorCitizen not in (0, 1) then 'SeniorCitizen out of range' end,
+              case when tenure < 0 or tenure > 72 then 'tenure out of range' end,
+              case when MonthlyCharges <= 0 then 'MonthlyCharges not positive' end,
+              case when TotalCharges < 0 then 'TotalCharges negative' end,
+              case when Contract = 'Weekly' then 'Contract unknown' end) as violations from numeric""",
         "dq_summary": f"""{_RAW} select count(*) as row_count, 21::bigint as column_count,
             {_even("avg(case when Churn = 'Yes' then 1.0::double else 0.0::double end)", 6)} as churn_rate,
             min(tenure) as tenure_min, max(tenure) as tenure_max, min(MonthlyCharges) as monthly_charges_min,
@@ -383,6 +415,14 @@ def oracle_sql() -> dict[str, str]:
             min(tenure) as tenure_min, max(tenure) as tenure_max from features group by tenure_bucket""",
         "upload_features": f"""{_with(*_UPLOAD_CHAIN)}
             select * replace ({_LOG9} as monthly_charges_log) from upload""",
+        "upload_features_dirty": f"""{_with("telco_raw", "dirty")},
+            coerced as (select {_select(REQUEST_COLUMNS, **{c: _trim(c) for c in TEXT_COLUMNS},
+              tenure="coalesce(tenure, 0)", MonthlyCharges="coalesce(MonthlyCharges, 0)",
+              TotalCharges=_number("TotalCharges"))} from dirty),
+            imputed as (select * replace (coalesce(TotalCharges, MonthlyCharges * tenure) as TotalCharges) from coerced),
+            engineered as (select *, {_ENGINEERED.replace("ln(1 + MonthlyCharges)", "ln(1 + greatest(MonthlyCharges, 0))")}
+              from imputed)
+            select * replace ({_LOG9} as monthly_charges_log) from engineered""",
         "split_stratified": f"{_SPLIT} select customerID, churn_flag, split from split",
         "prep_numeric_stats": f"{_FEATURES} "
         + " union all ".join(
@@ -497,6 +537,12 @@ def oracle_sql() -> dict[str, str]:
               sum({" + ".join(f"({f} is null)::bigint" for f in FOREIGN_NAMES)})::bigint as missing_total,
               3::bigint as numeric_columns, (count(*) - (select count(*) from distinct_rows))::bigint as duplicate_rows,
               20::bigint as mapped_fields, 20::bigint as required_fields from foreign_set""",
+        "profile_dataset_dirty": f"""{_with("telco_raw", "dirty")},
+            distinct_rows as (select distinct * from dirty)
+            select count(*) as row_count, 21::bigint as column_count,
+              sum({" + ".join(f"({c} is null)::bigint" for c in RAW_COLUMNS)})::bigint as missing_total,
+              3::bigint as numeric_columns, (count(*) - (select count(*) from distinct_rows))::bigint as duplicate_rows,
+              20::bigint as mapped_fields, 20::bigint as required_fields from dirty""",
         "profile_columns": f"{_with('telco_raw', 'foreign_set')} "
         + " union all ".join(
             f"select {i} as position, '{f}' as column_name, "

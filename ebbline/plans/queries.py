@@ -212,6 +212,28 @@ def dq_record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_register
+def dq_report_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(inputs.telco_dirty(spark, sf_dir))
+
+
+@_register
+def dq_missing_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.missing_values(inputs.telco_dirty(spark, sf_dir))
+
+
+@_register
+def dq_unexpected_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.unexpected_targets(inputs.telco_dirty(spark, sf_dir))
+
+
+@_register
+def dq_record_contract_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = clean.coerce_number(inputs.telco_dirty(spark, sf_dir), "TotalCharges")
+    checked = quality.with_violations(dirty, known_contract=True)
+    return checked.select("customerID", F.array_join("violations", ", ").alias("violations"))
+
+
 # --- features ----------------------------------------------------------------
 
 
@@ -242,6 +264,12 @@ def upload_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log9(_upload_features(spark, sf_dir))
 
 
+@_register
+def upload_features_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lenient chain on faulty records."""
+    return _log9(prepare_upload(inputs.telco_dirty(spark, sf_dir).drop("Churn")))
+
+
 # --- training ----------------------------------------------------------------
 
 
@@ -570,6 +598,11 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.withColumn("sample_values", F.array_join("sample_values", " | "))
 
 
+@_register
+def profile_dataset_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.dataset_profile(inputs.telco_dirty(spark, sf_dir))
+
+
 @_register
 def upload_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.map_schema(inputs.telco_foreign(spark, sf_dir)).select(REQUEST_COLUMNS)

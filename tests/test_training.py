@@ -40,9 +40,11 @@ def test_order_statistics_against_sorting(spark, monkeypatch, bins):
     assert middle == {c: statistics.median(v for v in values if v is not None) for c, values in columns.items()}
 
 
-def test_median_of_nothing(spark):
-    df = spark.createDataFrame([(None, 1.0)], "a double, b double")
-    assert ranks.medians(df, ["a", "b"]) == {"a": None, "b": 1.0}
+def test_medians_of_odd_columns(spark):
+    df = spark.createDataFrame([(None, 1.0, math.nan), (None, 3.0, 7.0)], "a double, b double, c double")
+    assert ranks.medians(df, ["a", "b", "c"]) == {"a": None, "b": 2.0, "c": 7.0}
+    with pytest.raises(ValueError, match="Infinite values"):
+        ranks.medians(df.withColumn("b", F.when(F.col("b") > 2, math.inf).otherwise(F.col("b"))), ["b"])
 
 
 @pytest.mark.parametrize("sizes", [{0: 5, 1: 5}, {0: 7, 1: 4}, {0: 100, 1: 3}, {0: 5174, 1: 1869}, {0: 1, 1: 0}])
