@@ -245,7 +245,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: float = 0.35) -> DataFrame:
     """The documents whose language is known with at least that probability, with all their columns."""
     predict = predictor(docs, train(docs, settings))
     names = docs.columns

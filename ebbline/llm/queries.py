@@ -10,17 +10,34 @@ from pyspark.sql import functions as F
 from ebbline.llm.common import table
 from ebbline.llm.language_id import identify
 from ebbline.llm.license_scan import license_scan
+from ebbline.llm.near_dedup import near_classes
 from ebbline.llm.packing import pack
 from ebbline.llm.pii import personal_data
 from ebbline.llm.quality_rules import quality_rules
 from ebbline.llm.secret_scan import secret_scan
 from ebbline.llm.sentence_pieces import decode, encode
+from ebbline.llm.substring_dedup import repeats
+from ebbline.llm.top_k import search
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
