@@ -7,8 +7,6 @@ every word at once, in numbers modulo 2**64; a final mix spreads the bits.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -25,16 +23,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(size: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``size`` of each."""
-    return _powers(1 << max(16, size.bit_length()), base)
+    """Powers of the base and of its inverse, at least ``size`` of each; one table per base is kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known[0]) < size:
+        size = max(size, 1 << 16)
+        up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        known = _POWERS[base] = np.cumprod(up), np.cumprod(down)
+    return known
 
 
 def stretches(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begins, np.flatnonzero(stops) + 1, np.searchsorted(begins, offsets)
 
 
-def parts(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000):
+def parts(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000):
     """Slices of a batch with a bounded number of bytes of text; a longer single text stays whole."""
     sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch[column].cast(pa.large_binary())], np.int64)
     reached, start = np.cumsum(sizes), 0

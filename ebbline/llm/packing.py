@@ -201,7 +201,7 @@ def _tokenise(vocabulary: str):
         encoder = tokenizer(vocabulary)
         end = np.array([END_ID], "<u2")
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, most=4_000_000):
                 ids = [np.append(x, end) for x in encoder.encode_all([text or "" for text in part["text"].to_pylist()])]
                 points = np.array([_vector(x) for x in ids])
                 # Entries of the directions have variance 1/BUCKETS, so a projected unit vector stays well inside (-1, 1).
