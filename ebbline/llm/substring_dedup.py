@@ -146,7 +146,11 @@ def shared_stems(docs: DataFrame, settings: Settings) -> np.ndarray:
     return field.view(np.uint8)
 
 
-RUNS = "stem bigint, run bigint, doc_id bigint, text_key bigint, low int, n int, windows array<bigint>"
+#: A run's places in its document, the stretches they cover, and the hashes of its windows.
+RUNS = (
+    "stem bigint, run bigint, doc_id bigint, text_key bigint, lows array<int>, begins array<int>, ends array<int>, "
+    "windows array<bigint>"
+)
 
 
 def _marked_runs(sent, settings: Settings):
@@ -167,27 +171,48 @@ def _marked_runs(sent, settings: Settings):
                 sums = np.zeros(len(found.hashes) + 1, U)
                 np.cumsum(found.hashes * up[: len(found.hashes)], out=sums[1:])
                 content = mix((sums[low + count + settings.window - 1] - sums[low]) * down[low] + count.astype(U))
-                ends = np.cumsum(count)
-                taken = np.arange(ends[-1]) + np.repeat(low - (ends - count), count)
+                # A document that repeats a run gives one row with all its places.
+                low_in = low - found.before[text]
+                order = np.lexsort((low, content, found.stem[keep], text))
+                same = np.zeros(len(order), bool)
+                same[1:] = (
+                    (content[order[1:]] == content[order[:-1]])
+                    & (found.stem[keep][order[1:]] == found.stem[keep][order[:-1]])
+                    & (text[order[1:]] == text[order[:-1]])
+                )
+                one = np.flatnonzero(~same)
+                width = count[order] + settings.window - 1
+                place = low_in[order]
+                apart = ~same
+                apart[1:] |= place[1:] > place[:-1] + width[:-1]
+                cut = np.flatnonzero(apart)
+                last = np.append(cut[1:], len(order)) - 1
+                rows = order[one]
+                size = count[rows]
+                stops = np.cumsum(size)
+                taken = np.arange(stops[-1]) + np.repeat(low[rows] - (stops - size), size)
+                kept_text = text[rows]
+                def lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+                    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
                 arrays = [
-                    pa.array(found.stem[keep].view(np.int64)),
-                    pa.array(content.view(np.int64)),
-                    part["doc_id"].take(pa.array(text)).cast(pa.int64()),
-                    part["text_key"].take(pa.array(text)),
-                    pa.array((low - found.before[text]).astype(np.int32)),
-                    pa.array(count.astype(np.int32)),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.append(0, ends).astype(np.int32)), pa.array(windows[taken].view(np.int64))
-                    ),
+                    pa.array(found.stem[keep][rows].view(np.int64)),
+                    pa.array(content[rows].view(np.int64)),
+                    part["doc_id"].take(pa.array(kept_text)).cast(pa.int64()),
+                    part["text_key"].take(pa.array(kept_text)),
+                    lists(place.astype(np.int32), np.append(one, len(order))),
+                    lists(place[cut].astype(np.int32), np.searchsorted(cut, np.append(one, len(order)))),
+                    lists((place[last] + width[last]).astype(np.int32), np.searchsorted(cut, np.append(one, len(order)))),
+                    lists(windows[taken].view(np.int64), np.append(0, stops)),
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    arrays, ["stem", "run", "doc_id", "text_key", "low", "n", "windows"]
-                )
+                names = ["stem", "run", "doc_id", "text_key", "lows", "begins", "ends", "windows"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return emit
 
 
-COVERS = "doc_id bigint, text_key bigint, begin int, end int"
+#: Stretches of a run, counted from each of its places.
+NODES = "doc_id bigint, text_key bigint, lows array<int>, begin int, end int"
 
 
 def _subtrees(window: int):
@@ -213,15 +238,16 @@ def _subtrees(window: int):
         new[1:] = (row[at[1:]] != row[at[:-1]]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at))[: len(first)] - 1
-        owner, low = row[at[first]], rows["low"].to_numpy()
+        owner = row[at[first]]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[owner], pa.int64()),
                 pa.array(rows["text_key"].to_numpy()[owner], pa.int64()),
-                pa.array((low[owner] + place[at[first]]).astype(np.int32)),
-                pa.array((low[owner] + place[at[last]] + window).astype(np.int32)),
+                rows["lows"].combine_chunks().take(pa.array(owner)),
+                pa.array(place[at[first]].astype(np.int32)),
+                pa.array((place[at[last]] + window).astype(np.int32)),
             ],
-            ["doc_id", "text_key", "begin", "end"],
+            ["doc_id", "text_key", "lows", "begin", "end"],
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +279,13 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # Of each branch the documents with the smallest id go on, with every place where they have it.
     smallest = found.groupBy("stem", "run").agg(F.min("doc_id").alias("smallest"))
     judged = found.join(smallest, ["stem", "run"])
-    copied = judged.where("doc_id > smallest").select(
-        "doc_id",
-        "text_key",
-        F.col("low").alias("begin"),
-        (F.col("low") + F.col("n") + settings.window - 1).alias("end"),
+    copied = (
+        judged.where("doc_id > smallest")
+        .select("doc_id", "text_key", F.explode(F.arrays_zip("begins", "ends")).alias("cover"))
+        .select("doc_id", "text_key", F.col("cover.begins").alias("begin"), F.col("cover.ends").alias("end"))
     )
     branches = stored(
-        judged.where("doc_id = smallest").select("stem", "doc_id", "text_key", "low", "windows"), "branches"
+        judged.where("doc_id = smallest").select("stem", "doc_id", "text_key", "lows", "windows"), "branches"
     )
     sizes = branches.groupBy("stem").agg(
         F.count("*").alias("n_runs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
@@ -268,26 +293,26 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     joined = branches.join(sizes.where("least < most").select("stem", "n_runs"), "stem")
     small = (
         joined.where(F.col("n_runs") <= settings.most_runs)
-        .select("stem", "doc_id", "text_key", "low", "windows")
+        .select("stem", "doc_id", "text_key", "lows", "windows")
         .repartition("stem")
         .sortWithinPartitions("stem")
-        .mapInArrow(_subtrees(settings.window), COVERS)
+        .mapInArrow(_subtrees(settings.window), NODES)
     )
     large = joined.where(F.col("n_runs") > settings.most_runs).select(
-        "stem", "doc_id", "text_key", "low", F.posexplode("windows").alias("place", "node")
+        "stem", "doc_id", "text_key", "lows", F.posexplode("windows").alias("begin", "node")
     )
     nodes = large.groupBy("stem", "node").agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id"))
     deep = (
         large.join(nodes.where("low_id < high_id"), ["stem", "node"])
         .where("doc_id > low_id")
-        .select(
-            "doc_id",
-            "text_key",
-            (F.col("low") + F.col("place")).alias("begin"),
-            (F.col("low") + F.col("place") + settings.window).alias("end"),
-        )
+        .select("doc_id", "text_key", "lows", "begin", (F.col("begin") + settings.window).alias("end"))
+    )
+    placed = (
+        small.unionByName(deep)
+        .withColumn("low", F.explode("lows"))
+        .select("doc_id", "text_key", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("end")).alias("end"))
     )
-    return small.unionByName(copied).unionByName(deep)
+    return placed.unionByName(copied)
 
 
 KEPT = "doc_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept string"
