@@ -15,7 +15,9 @@ Equal texts are made one first. Bands of the signature give candidate groups:
    verified on the whole bags. That joins copies of one text in linear work.
 2. Groups whose members ended in different classes are looked at again, in cells
    of bounded size: pairs of different classes whose signatures agree enough are
-   verified too, each in the first band that both share.
+   verified too, each in the first band that both share. A link found there joins
+   its two classes within the cell at once, so a cell gives fewer links than it
+   has classes.
 
 Defined cases: a null text is a class of its own; equal texts, empty ones too,
 share a class; a text of one to four words is one shingle; a null ``doc_id`` is
@@ -40,7 +42,10 @@ from ebbline.llm.hashing import U, mix, parts, runs, stretches, text_bytes, word
 
 @dataclass(frozen=True)
 class Settings:
-    """``estimate`` is the least agreement of signatures for a look at the bags, ``cell`` the members of a cell's side."""
+    """``estimate`` is the least agreement of signatures for a look at the bags, ``cell`` the members of a cell's side.
+
+    Bags of up to ``carried`` shingles travel with the cells and are compared there; pairs with a larger one are joined.
+    """
 
     shingle: int = 5
     similarity: float = 0.8
@@ -48,6 +53,7 @@ class Settings:
     rows: int = 6
     estimate: float = 0.7
     cell: int = 512
+    carried: int = 4096
 
     @property
     def size(self) -> int:
@@ -181,17 +187,21 @@ def _bag_rows(settings: Settings):
     return emit
 
 
+def _alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted bags overlap enough."""
+    if len(one) > len(two):
+        one, two = two, one
+    same = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+    return same >= similarity * (len(one) + len(two) - same)
+
+
 def _verified(similarity: float):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["bag_a"], batch["bag_b"], strict=True):
-                one, two = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(one) > len(two):
-                    one, two = two, one
-                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                same = int((two[at] == one).sum())
-                good.append(same >= similarity * (len(one) + len(two) - same))
+            good = [
+                _alike(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), similarity)
+                for x, y in zip(batch["bag_a"], batch["bag_b"], strict=True)
+            ]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
@@ -214,22 +224,34 @@ def _cell_pairs(settings: Settings):
         marks = np.frombuffer(b"".join(cell["marks"].to_pylist()), "<u2").reshape(len(node), -1)
         keys = cell["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         first = cell["first"].to_numpy()
+        bag = [None if x is None else np.frombuffer(x, U) for x in cell["bag"].to_pylist()]
+        label = np.unique(root, return_inverse=True)[1]
+        out = []
         for i in range(len(node)):
             if slot[i] != ci or node[i] == first[i]:
                 continue
-            other = (root != root[i]) & (node != first) & (slot == cj)
+            other = (label != label[i]) & (node != first) & (slot == cj)
             if ci == cj:
                 other &= node > node[i]
-            other &= (np.minimum(n, n[i]) >= settings.similarity * np.maximum(n, n[i]))
+            other &= np.minimum(n, n[i]) >= settings.similarity * np.maximum(n, n[i])
             at = np.flatnonzero(other)
-            at = at[(marks[at] == marks[i]).mean(axis=1) >= settings.estimate]
+            agree = (marks[at] == marks[i]).mean(axis=1)
+            at, agree = at[agree >= settings.estimate], agree[agree >= settings.estimate]
             if len(at):
-                shared = keys[at] == keys[i]
-                at = at[keys[at, shared.argmax(axis=1)] == key]
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), node[i])), pa.array(node[at])], ["a", "b"]
-                )
+                mine = keys[at, (keys[at] == keys[i]).argmax(axis=1)] == key
+                at, agree = at[mine], agree[mine]
+            for j in at[np.argsort(-agree, kind="stable")]:
+                if label[j] == label[i]:
+                    continue
+                seen = bag[i] is not None and bag[j] is not None
+                if not seen:
+                    out.append((node[i], node[j], False))
+                elif _alike(bag[i], bag[j], settings.similarity):
+                    out.append((node[i], node[j], True))
+                    label[label == label[j]] = label[i]
+        if out:
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, columns)], ["a", "b", "seen"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -307,11 +329,13 @@ def text_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             "slot",
         )
         .join(texts.select("node", "n", "marks", "keys"), "node")
+        .join(bag.where(F.octet_length("bag") <= 8 * settings.carried), "node", "left")
         .repartition("key", "ci", "cj")
         .sortWithinPartitions("key", "ci", "cj")
     )
-    more = stored(cells.mapInArrow(_cell_pairs(settings), "a bigint, b bigint").distinct(), "pairs")
-    found = stored(verify(more, bag, settings), "links")
+    more = stored(cells.mapInArrow(_cell_pairs(settings), "a bigint, b bigint, seen boolean"), "pairs")
+    unseen = verify(more.where("not seen").select("a", "b").distinct(), bag, settings)
+    found = stored(more.where("seen").select("a", "b").unionByName(unseen), "links")
     return _rooted(texts.select("node", "text_key", "doc_id"), components(links.unionByName(found)))
 
 
