@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-CACHED = 400_000
+CACHED = 200_000
 #: Stretches up to this many characters are searched in one go.
 SHORT = 64
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -57,6 +57,10 @@ class Pieces:
         self.scores = {name: model.get_score(i) for name, i in self.ids.items()}
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.longest = max(map(len, self.ids))
+        # The longest piece that ends with given two characters: no longer one needs a look there.
+        self.reach: dict[str, int] = {}
+        for name in self.ids:
+            self.reach[name[-2:]] = max(self.reach.get(name[-2:], 1), len(name))
         self.spelled = [name.replace(MARK, " ").encode() if plain[i] else b"" for i, name in enumerate(names)]
         for value, i in self.byte_ids.items():
             self.spelled[i] = bytes([value])
@@ -152,7 +156,7 @@ class Pieces:
 
     def search_short(self, texts: list[str]) -> None:
         """Ids of short stretches, in sorted order, into the remembered ones."""
-        ids, pairs, longest = self.ids, self.pairs, self.longest
+        ids, reach, known_pair = self.ids, self.reach.get, self.pairs.get
         last, back = "", [0]
         for text in texts:
             shared = 0
@@ -162,7 +166,9 @@ class Pieces:
                 shared += 1
             del back[shared + 1 :]
             for end in range(shared + 1, len(text) + 1):
-                begin = end - longest if end > longest else 0
+                begin = end - reach(text[end - 2 : end] if end > 1 else text[0], 1)
+                if begin < 0:
+                    begin = 0
                 while begin < end:
                     piece = text[begin:end]
                     if piece in ids or begin == end - 1:
@@ -171,7 +177,7 @@ class Pieces:
                                 break
                         else:
                             before = text[back[begin] : begin]
-                            fits = pairs.get((before, piece))
+                            fits = known_pair((before, piece))
                             if self.follows(before, piece) if fits is None else fits:
                                 break
                     begin += 1
@@ -187,13 +193,18 @@ class Pieces:
                     found.append(own)
                 end = begin
             found.reverse()
-            self.units[text] = array("i", found).tobytes()
+            self.units[text] = array("H", found).tobytes()
             last = text
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit bytes."""
-        cut = [UNIT.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
-        needed = set().union(*cut)
+    @staticmethod
+    def cut(text: str | None) -> list[str]:
+        return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Searches all new stretches of many texts: the more at once, the more beginnings they share."""
+        needed: set[str] = set()
+        for text in texts:
+            needed.update(self.cut(text))
         if len(self.units) >= CACHED:
             self.older, self.units = self.units, {}
         for unit in needed.intersection(self.older).difference(self.units):
@@ -202,9 +213,16 @@ class Pieces:
         self.search_short([unit for unit in missing if len(unit) <= SHORT])
         for unit in missing:
             if len(unit) > SHORT:
-                self.units[unit] = array("i", self.search(unit)).tobytes()
+                self.units[unit] = array("H", self.search(unit)).tobytes()
+
+    def spell(self, text: str | None) -> bytes:
+        """Ids of a learned text as 16-bit bytes; the vocabularies have fewer than 65,536 pieces."""
         units = self.units
-        return [b"".join([units[unit] for unit in x]) for x in cut]
+        return b"".join([units[unit] for unit in self.cut(text)])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        self.learn(texts)
+        return [self.spell(text) for text in texts]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -235,11 +253,12 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(_path(vocabulary))
         for batch in batches:
+            own.learn(batch[text].to_pylist())
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = part[text].to_pylist()
-                coded = own.encode_all([x or "" for x in texts])
-                ends = np.cumsum([0] + [len(x) // 4 for x in coded]).astype(np.int32)
-                values = np.frombuffer(b"".join(coded), np.int32)
+                coded = [own.spell(x) for x in texts]
+                ends = np.cumsum([0] + [len(x) // 2 for x in coded]).astype(np.int32)
+                values = np.frombuffer(b"".join(coded), np.uint16).astype(np.int32)
                 mask = pa.array([x is None for x in texts])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=mask)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), lists], [*kept, into])
