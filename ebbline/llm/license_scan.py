@@ -31,7 +31,7 @@ SPELLINGS = (
 )
 
 #: Lines that state whose work it is; they differ from copy to copy.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*"
 
 #: Notices of one line.
 NOTICES = (

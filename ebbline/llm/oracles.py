@@ -1,7 +1,144 @@
-"""SQL counterparts of the registered text queries, where SQL can express them."""
+"""SQL counterparts of the registered text queries, where SQL can express them.
+
+Left out, and tested against brute force or held-out rows instead: near-duplicate
+classes, language identification, packing and token ids (trained or tokenised
+values), and personal data and secrets (match places, which SQL has no function for).
+"""
 
 from __future__ import annotations
 
+from ebbline.llm.license_scan import COPYRIGHT_LINE, NOTICES, SPELLINGS, TEXTS
+from ebbline.llm.quality_rules import RULES, STOP_WORDS
+
+SPACE = r"[\x20\x09-\x0D]+"
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
+"""
+
+_WORDS = f"""
+cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS ws FROM documents
+), t AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS p, len(ws) AS n FROM cut
+)"""
+
+SUBSTRING_DEDUP = f"""
+WITH {_WORDS}, win AS (
+  SELECT *, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h
+  FROM t
+), earliest AS (
+  SELECT h, min(doc_id) AS m FROM win WHERE p <= n - 50 GROUP BY h
+), hit AS (
+  SELECT win.doc_id, win.p, win.n, win.word,
+    CASE WHEN win.p <= win.n - 50 AND earliest.m < win.doc_id THEN 1 ELSE 0 END AS starts
+  FROM win LEFT JOIN earliest USING (h)
+), judged AS (
+  SELECT doc_id, p, word,
+    max(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS removed
+  FROM hit
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(removed) AS n_removed,
+    string_agg(word, ' ' ORDER BY p) FILTER (WHERE removed = 0) AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _bounds() -> str:
+    terms = []
+    for rule in RULES:
+        per = rule.per or "1"
+        if rule.low is not None:
+            terms.append(f"{rule.measure} * {rule.scale} >= {per} * {rule.low}")
+        if rule.high is not None:
+            terms.append(f"{rule.measure} * {rule.scale} <= {per} * {rule.high}")
+    return " AND ".join(terms)
+
+
+def quality_rules() -> str:
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]))
+    return f"""
+WITH {_WORDS}, win AS (
+  SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g
+  FROM t
+), twice AS (
+  SELECT *, CASE WHEN p <= n - 8 AND count(*) OVER (PARTITION BY doc_id, g, p <= n - 8) > 1 THEN 1 ELSE 0 END AS starts
+  FROM win
+), covered AS (
+  SELECT doc_id, word, max(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c
+  FROM twice
+), by_word AS (
+  SELECT doc_id, sum(length(word)) AS word_chars, sum(c) AS n_repeat_words,
+    count(*) FILTER (WHERE word IN ({stop})) AS n_stop_words
+  FROM covered GROUP BY doc_id
+), split AS (
+  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols
+  FROM documents
+), m AS (
+  SELECT cut.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_stop_words, 0) AS BIGINT) AS n_stop_words,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM cut JOIN split USING (doc_id) LEFT JOIN by_word USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {_bounds()} AS kept
+FROM m
+"""
+
+
+def license_scan() -> str:
+    def canonical(text: str) -> str:
+        plain = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', chr(10), 'g')"
+        plain = f"trim(regexp_replace({plain}, '[^a-z0-9]+', ' ', 'g'))"
+        for spelling, one in SPELLINGS:
+            plain = f"replace({plain}, '{spelling}', '{one}')"
+        return plain
+
+    rows = ", ".join(
+        "('" + name + "', '" + text.replace("'", "''") + "')" for name, text in (*NOTICES, *TEXTS)
+    )
+    return f"""
+WITH known AS (
+  SELECT DISTINCT license, md5({canonical("text")}) AS digest FROM (VALUES {rows}) AS k(license, text)
+), units AS (
+  SELECT doc_id, 0 AS unit, coalesce(text, '') AS part FROM documents
+  UNION ALL
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS unit, unnest(ls) AS part
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) WHERE len(ls) > 1
+), forms AS (
+  SELECT doc_id, unit, {canonical("part")} AS form FROM units
+), hits AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS found, count(DISTINCT unit) AS n,
+    bool_or(unit = 0) AS whole
+  FROM forms JOIN known ON md5(form) = digest WHERE form <> '' GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(found, '') AS licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_units,
+  coalesce(whole, false) AS whole_text
+FROM documents d LEFT JOIN hits USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_top_k": TOP_K,
+        "op3_license_scan": license_scan(),
+        "op4_substring_dedup": SUBSTRING_DEDUP,
+        "op9_quality_rules": quality_rules(),
+    }

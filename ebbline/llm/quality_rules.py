@@ -81,6 +81,8 @@ def measures(docs: DataFrame) -> DataFrame:
     df = df.withColumn(
         "lines", F.filter(F.split("text", LINE, -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
+    stop = F.filter("words", lambda w: w.isin(*STOP_WORDS, *[x.capitalize() for x in STOP_WORDS]))
+    df = df.withColumn("n_stop_words", F.size(stop).cast("bigint"))
     n = F.size("words")
     df = df.select(
         "doc_id",
@@ -89,7 +91,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("bigint").alias("n_stop_words"),
+        "n_stop_words",
         F.transform("words", lambda w: F.xxhash64(w)).alias("grams"),
     )
     for step in (1, 2, 4):
