@@ -18,10 +18,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ebbline.operators.ranks import medians
 from ebbline.schemas import CATEGORICAL_COLUMNS, LABEL, NUMERIC_COLUMNS
 
-# The labels of a column travel to the driver and into the model, and a
-# feature is made of each; a column beyond this is not categorical.
-MAX_LEVELS = 10_000
-
 
 @dataclass(frozen=True)
 class NumericStats:
@@ -66,15 +62,15 @@ def modes(levels: DataFrame) -> DataFrame:
 def _vocabulary(df: DataFrame) -> tuple[dict[str, str], dict[str, list[str]]]:
     """Mode and sorted labels of each categorical column.
 
-    At most one value more than all columns may have together is fetched; a
-    column that is missing then, or too wide, ends the training.
+    The labels are a dimension of the model: each becomes a feature, so they are
+    fetched whole. A column without any ends the training.
     """
     counts: dict[str, dict[str, int]] = {c: {} for c in CATEGORICAL_COLUMNS}
-    for row in level_counts(df).limit(len(CATEGORICAL_COLUMNS) * MAX_LEVELS + 1).collect():
+    for row in level_counts(df).collect():
         counts[row["column_name"]][row["value"]] = row["n"]
-    unfit = [c for c, levels in counts.items() if not 0 < len(levels) <= MAX_LEVELS]
+    unfit = [c for c, levels in counts.items() if not levels]
     if unfit:
-        raise ValueError(f"Not usable as categories (no value, or over {MAX_LEVELS}): {unfit}")
+        raise ValueError(f"Not usable as categories (no value): {unfit}")
     mode = {c: min(levels, key=lambda v: (-levels[v], v)) for c, levels in counts.items()}
     return mode, {c: sorted(levels) for c, levels in counts.items()}
 

@@ -47,11 +47,10 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def column_profiles(df: DataFrame, max_columns: int = 25, samples: int = 3) -> DataFrame:
+def column_profiles(df: DataFrame, max_columns: int | None = None, samples: int = 3) -> DataFrame:
     """Type, missing share, distinct values and sample values per column.
 
-    The profile covers the first ``max_columns`` columns, as the report shows
-    them. Cells are counted per (column, value), combined before the shuffle;
+    The profile covers all columns, or the first ``max_columns`` for a report that shows no more. Cells are counted per (column, value), combined before the shuffle;
     both the figures and the samples read that one result. The samples are the
     smallest values: each task keeps its first few before they are exchanged.
     """

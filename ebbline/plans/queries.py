@@ -43,7 +43,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
 
 # Trees of the registered forest; the training job grows 400.
-TREES = 50
 
 
 def _register(query: Query) -> Query:
@@ -313,7 +312,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained_scores(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = inputs.features(spark, sf_dir)
-    trained = train.train_models(rows, trees=TREES, names=(name,))
+    trained = train.train_models(rows, names=(name,))
     return scoring.predict(rows, trained.model).select("customerID", LABEL, "churn_probability")
 
 
@@ -340,12 +339,12 @@ def eval_threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.model_selection(train.train_models(inputs.features(spark, sf_dir), trees=TREES))
+    return train.model_selection(train.train_models(inputs.features(spark, sf_dir)))
 
 
 @_register
 def registry_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trained = train.train_models(inputs.features(spark, sf_dir), trees=TREES)
+    trained = train.train_models(inputs.features(spark, sf_dir))
     model_path, metrics_path = scratch_dir(spark, "model"), scratch_dir(spark, "metrics")
     train.save_model(trained, model_path, metrics_path)
     return train.registry_row(spark, metrics_path, model_path)
@@ -581,8 +580,8 @@ def upload_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def upload_model_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preview with a model trained on the labelled records."""
-    trained = train.train_models(inputs.features(spark, sf_dir), names=("logistic_regression",))
+    """The preview with the model selected on the labelled records."""
+    trained = train.train_models(inputs.features(spark, sf_dir))
     rated = scoring.predict(_upload_features(spark, sf_dir), trained.model)
     return reports.upload_preview(scoring.score_output(rated, inputs.RUN_DATE))
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from ebbline.functions import nan_to_null, to_number
 from ebbline.functions.numeric import NUMBER_PATTERN
@@ -35,7 +35,9 @@ MISSING_TEXTS = [
     "nan",
     "null",
 ]
-INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+#: Whole numbers that a double can't hold exactly.
+LONG_INTEGER_PATTERN = r"^\s*[+-]?\d{16,}\s*$"
 BOOLEAN_PATTERN = r"^(True|TRUE|true|False|FALSE|false)$"
 
 
@@ -49,7 +51,17 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
     options = {"header": True, "multiLine": multi_line, "escape": '"'}
     names = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in names])
-    text = spark.read.options(**options, enforceSchema=False).schema(schema).csv(path)
+    broken = "_broken_line"
+    text = (
+        spark.read.options(**options, enforceSchema=False, columnNameOfCorruptRecord=broken)
+        .schema(schema.add(broken, StringType()))
+        .csv(path)
+    )
+    # A line of fewer cells ends in missing ones; a line of more would lose the rest, which fails the read.
+    cells = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    surplus = F.from_csv(broken, F.lit(cells), {"escape": '"'})[f"c{len(names)}"].isNotNull()
+    told = F.raise_error(F.concat(F.lit("More cells than columns in the line that begins with "), F.col(f"`{names[0]}`")))
+    text = text.where(F.when(F.col(broken).isNotNull() & surplus, told.cast("boolean")).otherwise(True))
     return text.select(
         *[F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in names]
     )
@@ -75,19 +87,25 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
 def infer_types(text: DataFrame) -> DataFrame:
     """Type all-text columns from their values: whole, decimal, boolean or text.
 
-    One aggregate over all columns decides; a column without values is text.
+    One aggregate over all columns decides; a column without values is text, and
+    so is one of whole numbers too long for a bigint, such as identifiers.
     """
-    patterns = {"bigint": INTEGER_PATTERN, "double": NUMBER_PATTERN, "boolean": BOOLEAN_PATTERN}
+    kinds = ("bigint", "double", "boolean")
     counts = []
     for i, name in enumerate(text.columns):
         cell = F.col(f"`{name}`")
         counts.append(F.count(cell).alias(f"n_{i}"))
-        counts += [F.count_if(cell.rlike(p)).alias(f"{t}_{i}") for t, p in patterns.items()]
+        fits = (
+            cell.rlike(INTEGER_PATTERN) & cell.try_cast("bigint").isNotNull(),
+            cell.rlike(NUMBER_PATTERN) & ~cell.rlike(LONG_INTEGER_PATTERN),
+            cell.rlike(BOOLEAN_PATTERN),
+        )
+        counts += [F.count_if(fit).alias(f"{t}_{i}") for t, fit in zip(kinds, fits, strict=True)]
     row = text.agg(*counts).first()
     columns = []
     for i, name in enumerate(text.columns):
         cell, rows = F.col(f"`{name}`"), row[f"n_{i}"]
-        target = next((t for t in patterns if rows and row[f"{t}_{i}"] == rows), None)
+        target = next((t for t in kinds if rows and row[f"{t}_{i}"] == rows), None)
         columns.append((cell.try_cast(target) if target else cell).alias(name))
     return text.select(*columns)
 
@@ -116,14 +134,17 @@ def write_stage(df: DataFrame, path: str, by_date: bool = False) -> None:
     writer.parquet(path)
 
 
-def read_foreign(spark: SparkSession, path: str) -> DataFrame:
-    """A dataset of unknown schema, by its file extension in any case."""
+def read_foreign(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A dataset of unknown schema, by its file extension in any case.
+
+    ``multi_line`` is for CSV files with line breaks in quoted cells.
+    """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension == ".csv":
-        return infer_types(read_csv_text(spark, path))
+        return infer_types(read_csv_text(spark, path, multi_line))
     if extension == ".parquet":
         df = spark.read.parquet(path)
-        doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
+        doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
         return df.select(
             *[nan_to_null(F.col(f"`{c}`")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
         )

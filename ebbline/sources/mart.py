@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Table columns with their types.
 MART_TABLES = {
@@ -56,7 +57,13 @@ def snake_case(name: str) -> str:
 
 
 class Mart:
-    """Tables of one database; loads replace, ledgers append."""
+    """Tables of one database; loads replace, ledgers append.
+
+    With a location every table is external, in a folder of its own below it.
+    The files then outlast the session's catalog: another session that creates
+    the mart on the same location finds the rows, and partitions by date are
+    looked up in the folders.
+    """
 
     def __init__(self, spark: SparkSession, database: str, location: str | None = None):
         self.spark = spark
@@ -68,11 +75,16 @@ class Mart:
 
     def create(self) -> None:
         """Create database and tables where they do not exist yet."""
-        place = f" LOCATION '{self.location}'" if self.location else ""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}{place}")
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
         for table, columns in MART_TABLES.items():
             layout = " PARTITIONED BY (snapshot_date)" if table in BY_DATE else ""
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet{layout}")
+            place = f" LOCATION '{self.location.rstrip('/')}/{table}'" if self.location else ""
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet{layout}{place}")
+            if layout and self.location:
+                # An append of nothing makes the folder where it is new; what it holds is then looked up.
+                nothing = self.spark.createDataFrame([], StructType.fromDDL(columns))
+                nothing.write.mode("append").partitionBy("snapshot_date").parquet(f"{self.location.rstrip('/')}/{table}")
+                self.spark.sql(f"ALTER TABLE {self.name(table)} RECOVER PARTITIONS")
 
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))

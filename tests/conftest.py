@@ -15,7 +15,7 @@ from ebbline.session import builder  # noqa: E402
 SF_DIR = "/root/testdata/sf0.001"
 
 RECORD = {
-    "customerID": "0001-TEST",
+    "customerID": "0001-BASE",
     "gender": "Female",
     "SeniorCitizen": 0,
     "Partner": "Yes",
@@ -63,7 +63,7 @@ def raw(spark):
 
     def build(*changes: dict):
         rows = [
-            {**RECORD, "customerID": f"{i:04d}-TEST", **change} for i, change in enumerate(changes or ({},), start=1)
+            {**RECORD, "customerID": f"{i:04d}-BASE", **change} for i, change in enumerate(changes or ({},), start=1)
         ]
         return spark.createDataFrame([tuple(r[c] for c in RAW_COLUMNS) for r in rows], RAW_SCHEMA)
 
@@ -74,7 +74,7 @@ def raw(spark):
 def requests(spark):
     def build(*changes: dict):
         rows = [
-            {**RECORD, "TotalCharges": 600.0, "customerID": f"{i:04d}-TEST", **change}
+            {**RECORD, "TotalCharges": 600.0, "customerID": f"{i:04d}-BASE", **change}
             for i, change in enumerate(changes or ({},), start=1)
         ]
         return spark.createDataFrame([tuple(r[c] for c in REQUEST_COLUMNS) for r in rows], REQUEST_SCHEMA)

@@ -45,7 +45,7 @@ def test_whole_batch(spark, tmp_path):
     summary, preview = jobs.score_upload(spark, settings, token)
     assert summary.first()["rows_scored"] == rows and preview.count() == 15
     assert mart.read("scores_daily").count() == rows
-    with pytest.raises(ValueError, match="Missing required mapped fields"):
+    with pytest.raises(ValueError, match="No source column"):
         jobs.score_upload(spark, settings, token, {"tenure": ""})
 
     out = str(tmp_path / "responses")

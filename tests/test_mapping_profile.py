@@ -70,9 +70,11 @@ def test_column_profiles(spark):
     ]
 
 
-def test_only_the_first_columns_are_profiled(spark):
+def test_all_columns_are_profiled_unless_fewer_are_asked_for(spark):
     wide = spark.range(3).select(*[F.col("id").alias(f"c{i}") for i in range(30)])
-    assert [r["column_name"] for r in column_profiles(wide).orderBy("position").collect()] == [f"c{i}" for i in range(25)]
+    assert [r["column_name"] for r in column_profiles(wide).orderBy("position").collect()] == [f"c{i}" for i in range(30)]
+    few = column_profiles(wide, max_columns=25).orderBy("position").collect()
+    assert [r["column_name"] for r in few] == [f"c{i}" for i in range(25)]
 
 
 def test_hot_value(spark):

@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as contract
 from comparison import connect, differences
 from conftest import SF_DIR
+from ebbline.plans import oracles
+from ebbline.plans import queries as registered
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registered.queries(), oracles.oracle_sql()
 ROWS_ONLY = {"train_lr_scores", "train_rf_scores", "model_selection", "registry_row", "upload_model_preview"}
 
 
@@ -25,6 +27,10 @@ def test_matches_oracle(spark, database, name):
     assert differences(QUERIES[name](spark, SF_DIR), database, ORACLES[name]) == ""
 
 
+def test_contract_holds_them():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) == 12

@@ -34,7 +34,7 @@ def test_csv_missing_texts_and_bad_numbers(spark, tmp_path):
     (tmp_path / "raw.csv").write_text('tenure,Contract,extra\nx,NA,"a,""b"""\n7,,nan\n1d,One year,z\n')
     rows = [tuple(r) for r in files.read_raw_csv(spark, str(tmp_path / "raw.csv")).collect()]
     assert rows == [(None, None, 'a,"b"'), (7, None, None), (None, "One year", "z")]
-    with pytest.raises(quality.QualityError, match="Missing required columns"):
+    with pytest.raises(quality.QualityError, match="Not a customer dataset"):
         quality.enforce(files.read_raw_csv(spark, str(tmp_path / "raw.csv")))
 
 
@@ -140,3 +140,46 @@ def test_replacing_scores_drops_the_old_date(spark, telco, tmp_path):
         mart.load_scores(batch_scores(rule_score(build_features(telco)), day))
     dates = [r[0] for r in mart.read("scores_daily").select("snapshot_date").distinct().collect()]
     assert dates == [date(2001, 8, 2)]
+
+
+def test_mart_outlives_the_catalog(spark, telco, tmp_path):
+    """A session that knows nothing of the mart opens it again: its ledger and its dates are there."""
+    features = build_features(telco)
+    scores = batch_scores(rule_score(features), date(2001, 8, 1))
+    snapshots = customer_snapshots(scores, date(2001, 8, 1))
+    for run in (1, 2):
+        mart = Mart(spark, "mart_again", str(tmp_path / "mart"))
+        mart.create()
+        if run == 2:
+            assert mart.read("customer_snapshots").count() == snapshots.count()
+        mart.load_scores(scores)
+        mart.load_snapshots(snapshots)
+        mart.append_metrics(monitoring.monitoring_suite(snapshots, scores))
+        assert mart.read("drift_metrics").count() == 7 * run
+        spark.sql("DROP DATABASE mart_again CASCADE")
+
+
+def test_csv_keeps_every_cell(spark, tmp_path):
+    def file(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    with pytest.raises(Exception, match="More cells than columns"):
+        files.read_foreign(spark, file("surplus.csv", "a,b\n1,2\n3,4,5\n")).collect()
+    short = files.read_foreign(spark, file("short.csv", "a,b\n1,2\n3\n")).orderBy("a").collect()
+    assert [tuple(r) for r in short] == [(1, 2), (3, None)]
+    ids = file("ids.csv", "id,n\n1234567890123456781,1\n1234567890123456782,2.5\n98765432109876543210,3\n")
+    rows = files.read_foreign(spark, ids).orderBy("n").collect()
+    assert [tuple(r) for r in rows] == [
+        ("1234567890123456781", 1.0),
+        ("1234567890123456782", 2.5),
+        ("98765432109876543210", 3.0),
+    ]
+    lines = file("lines.csv", 'a,b\n"one\ntwo",1\nx,2\n')
+    assert {r["a"] for r in files.read_foreign(spark, lines, multi_line=True).collect()} == {"one\ntwo", "x"}
+
+
+def test_float_nan_is_missing(spark, tmp_path):
+    path = str(tmp_path / "floats.parquet")
+    spark.createDataFrame([(1.5,), (float("nan"),)], "x float").write.parquet(path)
+    assert files.read_foreign(spark, path).where("x is null").count() == 1
