@@ -12,10 +12,12 @@ reaches each place, and it spells the merge encoding of the text so far. That
 makes the ids equal to those of the library, which the sum of piece scores
 would not.
 
-No piece of these vocabularies goes on after a blank mark that follows another
-character, so all paths meet there; the stretches between such marks repeat and
-are remembered up to a bound. New stretches are searched in sorted order, so
-that one takes over the search of the beginning it shares with the one before.
+Where no piece holds two neighbouring characters side by side, all paths meet
+between them. Characters that pieces join form classes (letters of a script,
+marks); the text is cut where the class changes and before a blank mark that
+follows another character. The stretches repeat and are remembered up to a
+bound. New ones are searched in sorted order, so that one takes over the search
+of the beginning it shares with the one before.
 
 Defined cases: a null text has no ids and decodes to null; an empty text has no
 ids and decodes to the empty text; repeated rows get equal results; the input
@@ -24,9 +26,9 @@ columns pass through, and a column named like the result is replaced.
 
 from __future__ import annotations
 
-import re
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -37,10 +39,40 @@ from pyspark.sql import types as T
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-CACHED = 200_000
+#: Remembered pairs of pieces, and stretches of a generation; two generations are held.
+PAIRS = 200_000
+CACHED = 150_000
 #: Stretches up to this many characters are searched in one go.
 SHORT = 64
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+#: Rows whose stretches are searched together, and rows that are cut at once.
+ROWS = 4_000
+PART = 400
+
+
+def kinds(pieces: Iterable[str]) -> np.ndarray:
+    """The class of every code point, 0 for those that no piece joins with another.
+
+    Two characters are of one class if pieces join them, directly or over others.
+    No piece has a blank mark behind another character.
+    """
+    joined: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while joined.setdefault(c, c) != c:
+            joined[c] = c = joined[joined[c]]
+        return c
+
+    for piece in pieces:
+        text = piece.lstrip(MARK)
+        if MARK in text:
+            raise ValueError(f"The vocabulary has a piece with a blank inside: {piece!r}")
+        for left, right in zip(text, text[1:]):
+            joined[root(left)] = root(right)
+    number = {c: i for i, c in enumerate(sorted({root(c) for c in joined}), start=1)}
+    table = np.zeros(sys.maxunicode + 1, np.uint16)
+    for c in joined:
+        table[ord(c)] = number[root(c)]
+    return table
 
 
 class Pieces:
@@ -57,13 +89,22 @@ class Pieces:
         self.scores = {name: model.get_score(i) for name, i in self.ids.items()}
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.longest = max(map(len, self.ids))
-        # The longest piece that ends with given two characters: no longer one needs a look there.
-        self.reach: dict[str, int] = {}
+        self.kinds = kinds(self.ids)
+        # The lengths of the pieces that end with given three characters, the longest first: no others need a look.
+        found: dict[str, set[int]] = {}
         for name in self.ids:
-            self.reach[name[-2:]] = max(self.reach.get(name[-2:], 1), len(name))
-        self.spelled = [name.replace(MARK, " ").encode() if plain[i] else b"" for i, name in enumerate(names)]
+            if len(name) > 2:
+                found.setdefault(name[-3:], set()).add(len(name))
+        self.lengths = {
+            tail: (*sorted(sizes, reverse=True), *((2, 1) if tail[1:] in self.ids else (1,)))
+            for tail, sizes in found.items()
+        }
+        spelled = [name.replace(MARK, " ").encode() if plain[i] else b"" for i, name in enumerate(names)]
         for value, i in self.byte_ids.items():
-            self.spelled[i] = bytes([value])
+            spelled[i] = bytes([value])
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+        self.ends = np.cumsum([len(x) for x in spelled])
+        self.sizes = np.diff(self.ends, prepend=0)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.units: dict[str, bytes] = {}
@@ -88,7 +129,7 @@ class Pieces:
         key = left, right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= CACHED:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
@@ -97,7 +138,7 @@ class Pieces:
         """Whether a text of just this piece is encoded as it."""
         known = self.whole.get(piece)
         if known is None:
-            if len(self.whole) >= CACHED:
+            if len(self.whole) >= PAIRS:
                 self.whole.clear()
             known = self.whole[piece] = self.merged(piece) == [piece]
         return known
@@ -156,7 +197,7 @@ class Pieces:
 
     def search_short(self, texts: list[str]) -> None:
         """Ids of short stretches, in sorted order, into the remembered ones."""
-        ids, reach, known_pair = self.ids, self.reach.get, self.pairs.get
+        ids, lengths, known_pair = self.ids, self.lengths.get, self.pairs.get
         last, back = "", [0]
         for text in texts:
             shared = 0
@@ -166,21 +207,22 @@ class Pieces:
                 shared += 1
             del back[shared + 1 :]
             for end in range(shared + 1, len(text) + 1):
-                begin = end - reach(text[end - 2 : end] if end > 1 else text[0], 1)
-                if begin < 0:
-                    begin = 0
-                while begin < end:
+                begin = end - 1
+                for size in lengths(text[end - 3 : end] if end > 2 else "") or (2, 1):
+                    begin = end - size
+                    if begin < 0:
+                        continue
                     piece = text[begin:end]
-                    if piece in ids or begin == end - 1:
-                        if not begin:
-                            if self.stands(piece):
-                                break
-                        else:
-                            before = text[back[begin] : begin]
-                            fits = known_pair((before, piece))
-                            if self.follows(before, piece) if fits is None else fits:
-                                break
-                    begin += 1
+                    if size > 1 and piece not in ids:
+                        continue
+                    if not begin:
+                        if self.stands(piece):
+                            break
+                    else:
+                        before = text[back[begin] : begin]
+                        fits = known_pair((before, piece))
+                        if self.follows(before, piece) if fits is None else fits:
+                            break
                 back.append(begin)
             found: list[int] = []
             end = len(text)
@@ -196,40 +238,71 @@ class Pieces:
             self.units[text] = array("H", found).tobytes()
             last = text
 
-    @staticmethod
-    def cut(text: str | None) -> list[str]:
-        return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def learn(self, texts: list[str | None]) -> None:
-        """Searches all new stretches of many texts: the more at once, the more beginnings they share."""
-        needed: set[str] = set()
-        for text in texts:
-            needed.update(self.cut(text))
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different stretches of some texts, the number of each one in order, and each text's first."""
+        marked = [MARK + text.replace(" ", MARK) if text else "" for text in texts]
+        whole = "".join(marked)
+        if not whole:
+            return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kind = self.kinds[points]
+        new = np.ones(len(points), bool)
+        new[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 0)) & (points[:-1] != ord(MARK))
+        new[1:] |= (points[1:] == ord(MARK)) & (points[:-1] != ord(MARK))
+        starts = np.cumsum([0, *map(len, marked)])
+        new[starts[starts < len(points)]] = True
+        at = np.flatnonzero(new)
+        letters = (1 + (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000)).astype(np.uint8)
+        ends = np.add.reduceat(letters, at, dtype=np.int64).cumsum()
+        offsets = pa.py_buffer(np.append(0, ends))
+        stretches = pa.LargeStringArray.from_buffers(len(at), offsets, pa.py_buffer(whole.encode()))
+        coded = stretches.dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(at, starts)
+
+    def learn(self, needed: set[str]) -> None:
+        """Searches all new stretches together: the more at once, the more beginnings they share."""
         if len(self.units) >= CACHED:
             self.older, self.units = self.units, {}
-        for unit in needed.intersection(self.older).difference(self.units):
-            self.units[unit] = self.older[unit]
-        missing = sorted(needed.difference(self.units))
+        missing = []
+        for unit in needed:
+            if unit not in self.units:
+                known = self.older.get(unit)
+                if known is None:
+                    missing.append(unit)
+                else:
+                    self.units[unit] = known
+        missing.sort()
         self.search_short([unit for unit in missing if len(unit) <= SHORT])
         for unit in missing:
             if len(unit) > SHORT:
                 self.units[unit] = array("H", self.search(unit)).tobytes()
 
-    def spell(self, text: str | None) -> bytes:
-        """Ids of a learned text as 16-bit bytes; the vocabularies have fewer than 65,536 pieces."""
-        units = self.units
-        return b"".join([units[unit] for unit in self.cut(text)])
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        self.learn(texts)
-        return [self.spell(text) for text in texts]
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def decode(self, ids: list[int]) -> str:
-        spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
+    def encode_parts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each ``PART`` texts the ids as 16-bit numbers, and where each text's begin.
+
+        The vocabularies have fewer than 65,536 pieces.
+        """
+        cuts = [self.cut(texts[i : i + PART]) for i in range(0, len(texts), PART)]
+        self.learn({unit for needed, _, _ in cuts for unit in needed})
+        for needed, order, first in cuts:
+            found = [self.units[unit] for unit in needed]
+            size = np.array([len(x) // 2 for x in found], np.int64)
+            end = np.cumsum(size)
+            sizes = size[order]
+            place = np.append(0, np.cumsum(sizes))
+            at = np.arange(place[-1]) + np.repeat(end[order] - place[1:], sizes)
+            yield np.frombuffer(b"".join(found), np.uint16)[at], place[first]
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_parts([text]))[0].tolist()
+
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        place = np.cumsum(sizes)
+        # The place of each letter in the joined spellings: that of its piece's end, less what is to come of it.
+        at = np.arange(place[-1] if len(ids) else 0) + np.repeat(self.ends[ids] - place, sizes)
+        text = self.letters[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -253,15 +326,12 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(_path(vocabulary))
         for batch in batches:
-            own.learn(batch[text].to_pylist())
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = part[text].to_pylist()
-                coded = [own.spell(x) for x in texts]
-                ends = np.cumsum([0] + [len(x) // 2 for x in coded]).astype(np.int32)
-                values = np.frombuffer(b"".join(coded), np.uint16).astype(np.int32)
-                mask = pa.array([x is None for x in texts])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=mask)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), lists], [*kept, into])
+            for group in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                for i, (values, begins) in enumerate(own.encode_parts(group[text].to_pylist())):
+                    part = group.slice(i * PART, PART)
+                    offsets, mask = pa.array(begins.astype(np.int32)), part[text].is_null()
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)), mask=mask)
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), lists], [*kept, into])
 
     return docs.mapInArrow(run, _with(docs, into, T.ArrayType(T.IntegerType())))
 
@@ -274,7 +344,7 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary: s
         own = pieces(_path(vocabulary))
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = [None if x.as_py() is None else own.decode(x.values.to_pylist()) for x in part[ids]]
+                texts = [None if x.as_py() is None else own.decode(x.values.to_numpy()) for x in part[ids]]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(texts, pa.string())], [*kept, into])
 
     return df.mapInArrow(run, _with(df, into, T.StringType()))
