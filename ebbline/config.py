@@ -37,6 +37,7 @@ class Settings:
     test_share: float = 0.2
     forest_trees: int = 400
     forest_depth: int = 10
+    model_name: str = "subscriber_risk"
     thresholds: Thresholds = field(default_factory=Thresholds)
 
     @property

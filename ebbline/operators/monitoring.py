@@ -116,13 +116,24 @@ def prediction_drift(snapshots: DataFrame, limits: Thresholds = Thresholds()) ->
     return _drift(snapshots, _prediction_deltas(limits), "prediction drift")
 
 
-def threshold_alerts(scores: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """Totals of the newest score date against their limits, in one pass."""
-    per_date = scores.groupBy("snapshot_date").agg(
+def score_totals(scores: DataFrame) -> DataFrame:
+    """Sums per score date; those of several parts of the scores add up."""
+    return scores.groupBy("snapshot_date").agg(
         F.coalesce(F.sum("revenue_at_risk"), F.lit(0.0)).alias("total"),
-        F.avg("churn_probability").alias("mean"),
+        F.sum("churn_probability").alias("probability"),
+        F.count("churn_probability").alias("rated"),
     )
-    latest = per_date.orderBy(F.desc("snapshot_date")).limit(1)
+
+
+def threshold_alerts(scores: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """Totals of the newest score date against their limits, in one pass."""
+    return alerts_of(score_totals(scores), limits)
+
+
+def alerts_of(totals: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """The newest of the given sums per date against their limits."""
+    mean = F.try_divide("probability", "rated").alias("mean")
+    latest = totals.orderBy(F.desc("snapshot_date")).limit(1).select("snapshot_date", "total", mean)
     date, total, mean = F.col("snapshot_date"), F.col("total"), F.col("mean")
     day = date.cast("string")
     rows = [

@@ -1,21 +1,19 @@
 """Reporting queries over scores, snapshots, the metric ledger and the registry.
 
-Reports on "the newest date" run in one pass over the frame they are given:
-aggregates group by date and keep the newest group, lists put the date first in
-their sort key. A stored table is better narrowed before, by
-``sources.read_latest``, which prunes whole date partitions.
+Reports on "the newest date" keep that date's rows first. On a stored table the
+date is a scalar subquery, so only its partition is opened, and the filters on
+segment and contract reach the scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions import round_even
 from ebbline.schemas import SEGMENTS
 
+# Columns of the three lists, in display order.
 TOP_COLUMNS = ["customerID", "Contract", "MonthlyCharges", "churn_probability", "revenue_at_risk", "risk_segment"]
 EXPLORER_COLUMNS = [
     "customerID",
@@ -53,28 +51,6 @@ def latest_only(df: DataFrame, dates: int = 1) -> DataFrame:
     return df.where(F.col("snapshot_date") >= oldest.scalar())
 
 
-def _newest_row(per_date: DataFrame) -> DataFrame:
-    return per_date.orderBy(F.desc("snapshot_date")).limit(1)
-
-
-def _newest_top(df: DataFrame, order: Sequence[Column], k: int, keep: Column | None = None) -> DataFrame:
-    """The first ``k`` rows of the newest date, by ``order``.
-
-    Date and condition lead the sort, so the wanted rows come first whenever
-    there are any; what else slips into the ``k`` rows is dropped afterwards.
-    The window therefore sees at most ``k`` rows.
-    """
-    wanted = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    flagged = df.withColumn("_wanted", wanted)
-    top = flagged.orderBy(F.desc("snapshot_date"), F.desc("_wanted"), *order).limit(k)
-    newest = F.max("snapshot_date").over(Window.partitionBy())
-    return (
-        top.withColumn("_newest", newest)
-        .where(F.col("_wanted") & (F.col("snapshot_date") == F.col("_newest")))
-        .drop("_wanted", "_newest")
-    )
-
-
 def _portfolio() -> list[Column]:
     return [
         F.sum("revenue_at_risk").alias("total_revenue_at_risk"),
@@ -86,7 +62,7 @@ def _portfolio() -> list[Column]:
 
 def kpis(scores: DataFrame) -> DataFrame:
     """Portfolio figures of the newest date."""
-    return _newest_row(scores.groupBy("snapshot_date").agg(*_portfolio()))
+    return latest_only(scores).groupBy("snapshot_date").agg(*_portfolio())
 
 
 def kpi_cards(scores: DataFrame) -> DataFrame:
@@ -107,7 +83,7 @@ def kpi_cards(scores: DataFrame) -> DataFrame:
 def segment_mix(scores: DataFrame) -> DataFrame:
     """Customers per segment on the newest date; absent segments count zero."""
     counts = [F.count_if(F.col("risk_segment") == s).alias(s) for s in SEGMENTS]
-    newest = _newest_row(scores.groupBy("snapshot_date").agg(*counts))
+    newest = latest_only(scores).groupBy("snapshot_date").agg(*counts)
     rows = [
         F.struct(F.lit(i).alias("position"), F.lit(s).alias("risk_segment"), F.col(s).alias("customers"))
         for i, s in enumerate(SEGMENTS, start=1)
@@ -118,22 +94,20 @@ def segment_mix(scores: DataFrame) -> DataFrame:
 def top_risky(scores: DataFrame, k: int = 12) -> DataFrame:
     """The customers of the newest date that put most revenue at risk."""
     order = [F.desc("revenue_at_risk"), F.asc("customerID")]
-    narrow = scores.select("snapshot_date", *TOP_COLUMNS)
-    return _newest_top(narrow, order, k).select(TOP_COLUMNS)
+    return latest_only(scores).select(TOP_COLUMNS).orderBy(*order).limit(k)
 
 
 def explorer(
     scores: DataFrame, risk_segment: str | None = None, contract: str | None = None, k: int = 50
 ) -> DataFrame:
     """Customers of the newest date, optionally of one segment and contract."""
-    keep = F.lit(True)
+    shown = latest_only(scores)
     if risk_segment:
-        keep &= F.col("risk_segment") == risk_segment
+        shown = shown.where(F.col("risk_segment") == risk_segment)
     if contract:
-        keep &= F.col("Contract") == contract
+        shown = shown.where(F.col("Contract") == contract)
     order = [F.desc("revenue_at_risk"), F.desc("churn_probability"), F.asc("customerID")]
-    narrow = scores.select("snapshot_date", *EXPLORER_COLUMNS)
-    return _newest_top(narrow, order, k, keep).select(EXPLORER_COLUMNS)
+    return shown.select(EXPLORER_COLUMNS).orderBy(*order).limit(k)
 
 
 def trend(snapshots: DataFrame) -> DataFrame:
@@ -164,9 +138,17 @@ def upload_preview(scored: DataFrame, k: int = 15) -> DataFrame:
     return scored.select(PREVIEW_COLUMNS).orderBy(*order).limit(k)
 
 
-def _latest_metrics(ledger: DataFrame, latest_run: bool) -> DataFrame:
-    """Metrics of the newest ledger date; ``latest_run`` keeps the newest entry of each."""
-    latest = latest_only(ledger)
+def _latest_metrics(ledger: DataFrame, latest_run: bool, per_scope: bool) -> DataFrame:
+    """Metrics of the newest ledger date, or of each scope's own; ``latest_run`` keeps the newest entry of each.
+
+    Drift is dated by the month's end and a threshold check by its run, so that
+    one date for all scopes hides those whose date is older.
+    """
+    if per_scope:
+        newest = ledger.groupBy("metric_scope").agg(F.max("snapshot_date").alias("snapshot_date"))
+        latest = ledger.join(newest, ["metric_scope", "snapshot_date"], "left_semi").select(ledger.columns)
+    else:
+        latest = latest_only(ledger)
     if not latest_run:
         return latest
     columns = [c for c in ledger.columns if c not in ("metric_scope", "metric_name")]
@@ -176,27 +158,29 @@ def _latest_metrics(ledger: DataFrame, latest_run: bool) -> DataFrame:
     )
 
 
-def monitoring_summary(ledger: DataFrame, latest_run: bool = False) -> DataFrame:
-    """Alerts and metric counts by scope on the newest ledger date."""
+def monitoring_summary(ledger: DataFrame, latest_run: bool = False, per_scope: bool = False) -> DataFrame:
+    """Alerts and metric counts by scope on the newest ledger date; no row for an empty ledger."""
 
     def in_scope(scope: str) -> Column:
         return F.count_if(F.col("metric_scope") == scope)
 
-    return _latest_metrics(ledger, latest_run).groupBy("snapshot_date").agg(
+    figures = _latest_metrics(ledger, latest_run, per_scope).agg(
+        F.max("snapshot_date").alias("snapshot_date"),
         F.count_if(F.col("status") == "alert").alias("active_alerts"),
         in_scope("data_drift").alias("data_drift_metrics"),
         in_scope("prediction_drift").alias("prediction_drift_metrics"),
         in_scope("threshold_alert").alias("threshold_checks"),
     )
+    return figures.where(F.col("snapshot_date").isNotNull())
 
 
 def _display(column: str) -> Column:
     return F.format_number(F.col(column), 4)
 
 
-def metric_ledger(ledger: DataFrame, latest_run: bool = False) -> DataFrame:
+def metric_ledger(ledger: DataFrame, latest_run: bool = False, per_scope: bool = False) -> DataFrame:
     """Metrics of the newest date by scope and name, with display values."""
-    shown = _latest_metrics(ledger, latest_run).withColumns(
+    shown = _latest_metrics(ledger, latest_run, per_scope).withColumns(
         {
             "metric_value_display": _display("metric_value"),
             "threshold_value_display": F.coalesce(_display("threshold_value"), F.lit("-")),
@@ -205,8 +189,8 @@ def metric_ledger(ledger: DataFrame, latest_run: bool = False) -> DataFrame:
     return shown.orderBy("metric_scope", "metric_name")
 
 
-def alert_queue(ledger: DataFrame, latest_run: bool = False) -> DataFrame:
-    alerts = metric_ledger(ledger, latest_run).where(F.col("status") == "alert")
+def alert_queue(ledger: DataFrame, latest_run: bool = False, per_scope: bool = False) -> DataFrame:
+    alerts = metric_ledger(ledger, latest_run, per_scope).where(F.col("status") == "alert")
     return alerts.orderBy("metric_scope", "metric_name")
 
 
@@ -223,9 +207,9 @@ def registry_latest(registry: DataFrame, k: int = 5) -> DataFrame:
 
 def ops_summary(ledger: DataFrame, registry: DataFrame, k: int = 5) -> DataFrame:
     """Newest ledger date, its metrics and alerts, and the models on show."""
-    per_date = ledger.groupBy("snapshot_date").agg(
+    newest = latest_only(ledger).groupBy("snapshot_date").agg(
         F.count(F.lit(1)).alias("metrics"),
         F.count_if(F.col("status") == "alert").alias("active_alerts"),
     )
     models = registry.agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("bigint")).scalar()
-    return _newest_row(per_date).withColumn("registered_models", models)
+    return newest.withColumn("registered_models", models)

@@ -1,5 +1,5 @@
-"""Batch jobs. Each stage is written and read back, which cuts the lineage and
-lets a job restart after its last finished stage."""
+"""Batch jobs. Each stage is written and read back, which cuts the lineage; a job
+that failed can be called again from the stage that it had reached."""
 
 from __future__ import annotations
 
@@ -62,7 +62,7 @@ def retrain(spark: SparkSession, settings: Settings) -> train.Trained:
 
 def register(spark: SparkSession, settings: Settings) -> None:
     """Append the saved model to the registry."""
-    row = train.registry_row(spark, settings.metrics_path, settings.model_path)
+    row = train.registry_row(spark, settings.metrics_path, settings.model_path, settings.model_name)
     mart(spark, settings).append_model(row)
 
 
@@ -106,6 +106,11 @@ def load_mart(spark: SparkSession, settings: Settings) -> Mart:
 def refresh_mart(spark: SparkSession, settings: Settings, predictor: Predictor | None = None) -> DataFrame:
     """Rebuild features, scores and snapshots, reload the mart; rows per table."""
     make_features(spark, settings)
+    return _rescore(spark, settings, predictor)
+
+
+def _rescore(spark: SparkSession, settings: Settings, predictor: Predictor | None = None) -> DataFrame:
+    """Scores, snapshots and mart from the stored features; rows per table."""
     score(spark, settings, predictor)
     make_snapshots(spark, settings)
     target = load_mart(spark, settings)
@@ -156,6 +161,6 @@ def run_all(spark: SparkSession, settings: Settings) -> DataFrame:
     ingest(spark, settings)
     make_features(spark, settings)
     retrain_and_register(spark, settings)
-    counts = refresh_mart(spark, settings)
+    counts = _rescore(spark, settings)
     run_monitoring(spark, settings)
     return counts

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from ebbline.plans.inputs import FOREIGN_NAMES
+from ebbline.plans.inputs import FOREIGN_NAMES, SCORECARDS
 from ebbline.schemas import (
     CATEGORICAL_COLUMNS,
     FEATURE_COLUMNS,
@@ -139,11 +139,11 @@ _CTES = {
       history as (select o_custkey, count(*) as n_orders, min(o_orderdate) as first_o, max(o_orderdate) as last_o
         from orders group by o_custkey),
       as_of as (select max(o_orderdate) as day from orders),
-      base as (select customer.*, n_orders, c_custkey as k,
+      base as (select customer.*, coalesce(n_orders, 0) as n_orders, c_custkey as k,
           date_diff('day', last_o::date, (select day from as_of)::date) as idle,
-          least(cast(floor(date_diff('day', first_o::date, last_o::date) / 30) as bigint), 72::bigint) as tenure,
+          coalesce(least(cast(floor(date_diff('day', first_o::date, last_o::date) / 30) as bigint), 72::bigint), 0) as tenure,
           cast(floor((cast(round(c_acctbal * 100) as bigint) + 100000) / 1e2) as bigint) + 1800 as mc_cents
-        from customer join history on c_custkey = o_custkey),
+        from customer left join history on c_custkey = o_custkey),
       charged as (select *, mc_cents * tenure as tc_cents from base),
       telco_raw as (select
         c_name as customerID,
@@ -223,7 +223,9 @@ _CTES = {
       earlier as (select * from snapshots where snapshot_date < (select max(snapshot_date) from snapshots)),
       {_deltas("earlier_drift", "earlier")},
       ledger as (select * from suite union all select * from earlier_drift union all select * from alerts),
-      newest_metrics as (select * from ledger where snapshot_date = (select max(snapshot_date) from ledger))""",
+      newest_metrics as (select * from ledger where snapshot_date = (select max(snapshot_date) from ledger)),
+      scope_metrics as (select ledger.* from ledger join (select metric_scope, max(snapshot_date) as day from ledger
+        group by metric_scope) newest on ledger.metric_scope = newest.metric_scope and snapshot_date = day)""",
     "dirty": """
       numbered as (select *, substr(customerID, 10)::bigint as k from telco_raw),
       faulty as (select * exclude (k) replace (
@@ -247,10 +249,10 @@ _CTES = {
           case when MonthlyCharges <= 0 then 'MonthlyCharges not positive' end,
           case when TotalCharges < 0 then 'TotalCharges negative' end) as violations from requests)""",
     "foreign_set": f"""
-      foreign_set as (select {", ".join(f"{c} as {f}" for c, f in zip(REQUEST_COLUMNS, FOREIGN_NAMES))}
+      foreign_set as (select {", ".join(f'{c} as "{f}"' for c, f in zip(REQUEST_COLUMNS, FOREIGN_NAMES))}
         from telco_raw)""",
     "upload": f"""
-      mapped as (select {", ".join(f"{f} as {c}" for c, f in zip(REQUEST_COLUMNS, FOREIGN_NAMES))} from foreign_set),
+      mapped as (select {", ".join(f'"{f}" as {c}' for c, f in zip(REQUEST_COLUMNS, FOREIGN_NAMES))} from foreign_set),
       coerced as (select {_select(REQUEST_COLUMNS, TotalCharges=_number("TotalCharges"),
           **{c: _trim(c) for c in TEXT_COLUMNS})} from mapped),
       imputed as (select {_select(REQUEST_COLUMNS, TotalCharges="coalesce(TotalCharges, MonthlyCharges * tenure)")}
@@ -349,17 +351,28 @@ def _missing(source: str) -> str:
     )
 
 
-def _auc(source: str, by: str = "") -> str:
+def _auc(source: str) -> str:
     """Mid-rank form of the area under the ROC curve."""
-    group = f"{by}," if by else ""
-    part = f"partition by {by}" if by else ""
     return f"""
-      grouped as (select {group} p, count(*) filter (churn_flag = 1) as pos, count(*) as n from {source}
-        group by {group} p),
-      ranked as (select *, sum(n) over ({part} order by p) - n + (n + 1) / 2.0::double as mid from grouped),
-      area as (select {group} sum(pos)::double as np, (sum(n) - sum(pos))::double as nn, sum(pos * mid) as rank_sum
-        from ranked group by {by or "all"}),
-      auc as (select {group} (rank_sum - np * (np + 1) / 2) / nullif(np * nn, 0) as auc from area)"""
+      grouped as (select p, count(*) filter (churn_flag = 1) as pos, count(*) as n from {source}
+        group by p),
+      ranked as (select *, sum(n) over (order by p) - n + (n + 1) / 2.0::double as mid from grouped),
+      area as (select sum(pos)::double as np, (sum(n) - sum(pos))::double as nn, sum(pos * mid) as rank_sum
+        from ranked),
+      auc as (select (rank_sum - np * (np + 1) / 2) / nullif(np * nn, 0) as auc from area)"""
+
+
+def _scorecard(place: int, rule: str) -> str:
+    """Evaluation of one of the rules as relation ``card_<place>``."""
+    area = re.sub(r"\b(grouped|ranked|area|auc) as \(", rf"\1_{place} as (", _auc(f"rated_{place}"))
+    area = re.sub(r"\bfrom (grouped|ranked|area)\b", rf"from \1_{place}", area)
+    name = list(SCORECARDS)[place]
+    return f"""
+      rated_{place} as (select churn_flag, {rule} as p, {rule} as churn_probability from scores), {area},
+      counts_{place} as (select {_COUNTS} from rated_{place}),
+      metrics_{place} as ({_THRESHOLD} from counts_{place}),
+      card_{place} as (select {place} as place, '{name}' as model_type, auc, precision, recall, f1
+        from auc_{place}, metrics_{place})"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -506,25 +519,28 @@ def oracle_sql() -> dict[str, str]:
         "metric_ledger": f"""{_LEDGER} select snapshot_date, metric_scope, metric_name, status,
             format('{{:,.4f}}', metric_value) as metric_value_display,
             coalesce(format('{{:,.4f}}', threshold_value), '-') as threshold_value_display from newest_metrics""",
-        "alert_queue": f"""{_LEDGER},
-            on_alerts as (select * from ledger where snapshot_date = date '2001-08-01')
+        "monitoring_summary_per_scope": f"""{_LEDGER} select max(snapshot_date) as snapshot_date,
+            count(*) filter (status = 'alert') as active_alerts,
+            count(*) filter (metric_scope = 'data_drift') as data_drift_metrics,
+            count(*) filter (metric_scope = 'prediction_drift') as prediction_drift_metrics,
+            count(*) filter (metric_scope = 'threshold_alert') as threshold_checks from scope_metrics""",
+        "metric_ledger_per_scope": f"""{_LEDGER} select snapshot_date, metric_scope, metric_name, status,
+            format('{{:,.4f}}', metric_value) as metric_value_display,
+            coalesce(format('{{:,.4f}}', threshold_value), '-') as threshold_value_display from scope_metrics""",
+        "alert_queue": f"""{_LEDGER}
             select snapshot_date, metric_scope, metric_name, status,
               format('{{:,.4f}}', metric_value) as metric_value_display,
               coalesce(format('{{:,.4f}}', threshold_value), '-') as threshold_value_display
-            from on_alerts where status = 'alert'""",
-        "registry_latest": f"""{_SCORES},
-            rated as (select Contract, PaymentMethod, churn_flag, {_even("churn_probability", 4)} as p from scores),
-            {_auc("rated", "Contract, PaymentMethod")},
-            counts as (select Contract, PaymentMethod, {_COUNTS} from scores group by Contract, PaymentMethod),
-            metrics as ({_THRESHOLD}, Contract, PaymentMethod from counts),
-            registry as (select Contract || ' / ' || PaymentMethod as model_type, auc, precision, recall, f1
-              from metrics join auc using (Contract, PaymentMethod))
-            select model_type, format('{{:.4f}}', auc) as auc_display, format('{{:.4f}}', precision) as precision_display,
-              format('{{:.4f}}', recall) as recall_display, format('{{:.4f}}', f1) as f1_display
-            from registry order by model_type desc limit 5""",
+            from scope_metrics where status = 'alert'""",
+        # The display rounds halves up.
+        "registry_latest": f"""{_SCORES}, {", ".join(_scorecard(i, rule) for i, rule in enumerate(SCORECARDS.values()))},
+            registry as ({" union all ".join(f"select * from card_{i}" for i in range(len(SCORECARDS)))})
+            select model_type, format('{{:.4f}}', round(round(auc, 9), 4)) as auc_display, format('{{:.4f}}', round(round(precision, 9), 4)) as precision_display,
+              format('{{:.4f}}', round(round(recall, 9), 4)) as recall_display, format('{{:.4f}}', round(round(f1, 9), 4)) as f1_display
+            from registry order by place desc limit 5""",
         "ops_summary": f"""{_LEDGER} select snapshot_date, count(*) as metrics,
             count(*) filter (status = 'alert') as active_alerts,
-            (select least(count(*), 5) from (select distinct Contract, PaymentMethod from scores)) as registered_models
+            least({len(SCORECARDS)}, 5)::bigint as registered_models
             from newest_metrics group by snapshot_date""",
         "upload_summary": f"""{_with(*_UPLOAD_CHAIN, "upload_scores")}
             select count(*) as rows_scored, {_KPIS} from upload_scores""",
@@ -534,7 +550,7 @@ def oracle_sql() -> dict[str, str]:
         "profile_dataset": f"""{_with("telco_raw", "foreign_set")},
             distinct_rows as (select distinct * from foreign_set)
             select count(*) as row_count, 20::bigint as column_count,
-              sum({" + ".join(f"({f} is null)::bigint" for f in FOREIGN_NAMES)})::bigint as missing_total,
+              sum({" + ".join(f'("{f}" is null)::bigint' for f in FOREIGN_NAMES)})::bigint as missing_total,
               3::bigint as numeric_columns, (count(*) - (select count(*) from distinct_rows))::bigint as duplicate_rows,
               20::bigint as mapped_fields, 20::bigint as required_fields from foreign_set""",
         "profile_dataset_dirty": f"""{_with("telco_raw", "dirty")},
@@ -546,11 +562,11 @@ def oracle_sql() -> dict[str, str]:
         "profile_columns": f"{_with('telco_raw', 'foreign_set')} "
         + " union all ".join(
             f"select {i} as position, '{f}' as column_name, "
-            f"'{ {'senior_flag': 'bigint', 'months_active': 'bigint', 'monthly_fee': 'double'}.get(f, 'string') }' as dtype, "
-            f"{_even(f'count(*) filter ({f} is null) / count(*)::double * 100', 1)} as missing_pct, "
-            f"count(distinct {f}) as unique_values, "
-            f"(select string_agg(v, ' | ' order by v) from (select distinct {f}::varchar as v from foreign_set "
-            f"where {f} is not null order by v limit 3)) as sample_values from foreign_set"
+            f"'{ {'is_senior': 'bigint', 'customer-tenure': 'bigint', 'monthlyAmount': 'double'}.get(f, 'string') }' as dtype, "
+            f"{_even(f'count(*) filter ("{f}" is null) / count(*)::double * 100', 1)} as missing_pct, "
+            f'count(distinct "{f}") as unique_values, '
+            f"(select string_agg(v, ' | ' order by v) from (select distinct \"{f}\"::varchar as v from foreign_set "
+            f"where \"{f}\" is not null order by v limit 3)) as sample_values from foreign_set"
             for i, f in enumerate(FOREIGN_NAMES, start=1)
         ),
         "upload_mapped": f"{_with(*_UPLOAD_CHAIN)} select * from mapped",

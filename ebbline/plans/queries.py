@@ -7,6 +7,7 @@ because the order of summation differs between engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, time, timedelta
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -42,8 +43,6 @@ from ebbline import streaming
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
 
-# Trees of the registered forest; the training job grows 400.
-
 
 def _register(query: Query) -> Query:
     _REGISTERED[query.__name__] = query
@@ -520,35 +519,43 @@ def metric_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(reports.metric_ledger(_ledger(spark, sf_dir).read("drift_metrics")))
 
 
+@_register
+def monitoring_summary_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.monitoring_summary(_ledger(spark, sf_dir).read("drift_metrics"), per_scope=True)
+
+
+@_register
+def metric_ledger_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(reports.metric_ledger(_ledger(spark, sf_dir).read("drift_metrics"), per_scope=True))
+
+
 @_register
 def alert_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of the newest run of the threshold checks."""
-    ledger = _ledger(spark, sf_dir).read("drift_metrics")
-    return _shown(reports.alert_queue(ledger.where(F.col("metric_scope") == "threshold_alert")))
-
-
-def _group_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry rows with the evaluation of each contract and payment group."""
-    scored, groups = inputs.scores(spark, sf_dir), ["Contract", "PaymentMethod"]
-    at_half = evaluate.threshold_metrics(scored, by=groups)
-    figures = evaluate.auc_by_group(scored, groups).join(at_half, groups)
-    name = F.concat_ws(" / ", *groups)
-    return figures.select(
-        name.alias("model_version"),
-        F.lit("customer_churn_revenue_risk").alias("model_name"),
-        name.alias("model_type"),
-        *[round_even(F.col(m), 6).alias(f"{m}_score") for m in ("precision", "recall", "f1")],
-        F.col("auc").alias("auc_score"),
-        F.lit("none").alias("artifact_path"),
-        F.lit("none").alias("preprocessor_path"),
-        F.lit(inputs.RUN_DATE).cast("timestamp").alias("registered_at"),
+    """Alerts of all scopes, each on its own newest date."""
+    return _shown(reports.alert_queue(_ledger(spark, sf_dir).read("drift_metrics"), per_scope=True))
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows of successive models, one a day, each evaluated on all customers."""
+    scored, start = inputs.scores(spark, sf_dir), datetime.combine(inputs.RUN_DATE, time())
+    entries = []
+    for place, (name, rule) in enumerate(inputs.SCORECARDS.items()):
+        rated = scored.select(LABEL, F.expr(rule).alias("churn_probability"))
+        at_half = evaluate.threshold_metrics(rated).first()
+        registered = start + timedelta(days=place)
+        figures = (evaluate.auc(rated), at_half["precision"], at_half["recall"], at_half["f1"])
+        entries.append((f"v{registered:%Y%m%d_%H%M%S}", "scorecards", name, *figures, "none", "none", registered))
+    return spark.createDataFrame(
+        entries,
+        "model_version string, model_name string, model_type string, auc_score double, precision_score double, "
+        "recall_score double, f1_score double, artifact_path string, preprocessor_path string, registered_at timestamp",
     )
 
 
 @_register
 def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart = _mart(spark)
-    mart.append_model(_group_registry(spark, sf_dir))
+    mart.append_model(_registry(spark, sf_dir))
     latest = reports.registry_latest(mart.read("model_registry"))
     return latest.select("model_type", "auc_display", "precision_display", "recall_display", "f1_display")
 
@@ -556,7 +563,7 @@ def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def ops_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart = _ledger(spark, sf_dir)
-    mart.append_model(_group_registry(spark, sf_dir))
+    mart.append_model(_registry(spark, sf_dir))
     return reports.ops_summary(mart.read("drift_metrics"), mart.read("model_registry"))
 
 

@@ -50,6 +50,7 @@ LABEL = "churn_flag"
 CATEGORICAL_COLUMNS = [c for c in TEXT_COLUMNS if c != "customerID"] + ["tenure_bucket"]
 NUMERIC_COLUMNS = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"] + ENGINEERED_COLUMNS[1:]
 
+# Columns without which a record is useless.
 CRITICAL_COLUMNS = ["customerID", "tenure", "MonthlyCharges", "Churn"]
 
 # The daily score table, in output order.
@@ -95,6 +96,7 @@ SNAPSHOT_COLUMNS = [
     "active_customer_flag",
 ]
 
+# A metric of the ledger, in output order.
 METRIC_COLUMNS = [
     "snapshot_date",
     "metric_name",

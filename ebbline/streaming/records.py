@@ -1,7 +1,8 @@
 """Customer records scored as they arrive.
 
 Every step is a projection or a filter, so the streams keep no state; the same
-functions run on a batch frame and give the same rows.
+functions run on a batch frame and give the same rows. Only the alerts carry
+sums from batch to batch.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ebbline.config import Thresholds
 from ebbline.operators.features import prepare_records
-from ebbline.operators.monitoring import threshold_alerts
+from ebbline.operators.monitoring import alerts_of, score_totals
 from ebbline.operators.quality import with_violations
 from ebbline.operators.scoring import score_output, score_response
 from ebbline.schemas import REQUEST_SCHEMA
@@ -86,15 +87,24 @@ def alert_stream(
     snapshot_date: date | None = None,
     limits: Thresholds = Thresholds(),
 ) -> StreamingQuery:
-    """Threshold checks over each batch, stored below ``batch_id=<n>``.
+    """Threshold checks over all records so far, stored below ``batch_id=<n>`` after each batch.
 
-    A batch that runs again after a failure replaces its own folder, so the
-    ledger holds it once.
+    Each batch adds its sums per date to those of the batch before, so that a
+    total does not depend on how the files fall into batches. A batch that runs
+    again after a failure replaces its own folders, so it counts once.
     """
+    sums = f"{path.rstrip('/')}_sums"
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        alerts = threshold_alerts(_scored(batch, predictor, snapshot_date), limits)
-        alerts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        own = score_totals(_scored(batch, predictor, snapshot_date))
+        if batch_id:
+            before = spark.read.schema(own.schema).parquet(f"{sums}/batch_id={batch_id - 1}")
+            added = [F.sum(c).alias(c) for c in ("total", "probability", "rated")]
+            own = own.unionByName(before).groupBy("snapshot_date").agg(*added)
+        own.write.mode("overwrite").parquet(f"{sums}/batch_id={batch_id}")
+        totals = spark.read.schema(own.schema).parquet(f"{sums}/batch_id={batch_id}")
+        alerts_of(totals, limits).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         records.writeStream.foreachBatch(check)

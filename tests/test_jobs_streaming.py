@@ -56,7 +56,7 @@ def test_whole_batch(spark, tmp_path):
     batch = streaming.score_records(spark.read.parquet(str(tmp_path / "requests")), model)
     assert spark.read.parquet(out).exceptAll(batch).isEmpty() and not batch.isEmpty()
 
-    with pytest.raises(QualityError, match="Unexpectedly low row count"):
+    with pytest.raises(QualityError, match="at least 10000 are needed"):
         jobs.ingest(spark, Settings(root=settings.root, raw_csv=settings.raw_csv, min_rows=10_000))
 
 
@@ -103,7 +103,7 @@ def test_quarantine_splits_all_records(spark, request_files, tmp_path):
     assert not routed.where("record_status = 'quarantine'").isEmpty()
 
 
-def test_alerts_are_kept_per_batch(spark, request_files, tmp_path):
+def test_alerts_add_up_over_batches(spark, request_files, tmp_path):
     out = str(tmp_path / "alerts")
     records = streaming.read_records(spark, request_files, files_per_trigger=1)
     streaming.alert_stream(records, inputs.rule_score, out, str(tmp_path / "state"), DAY).awaitTermination()
@@ -111,6 +111,14 @@ def test_alerts_are_kept_per_batch(spark, request_files, tmp_path):
     batches = alerts.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(batches) >= 4 and {r["n"] for r in batches} == {2}
     valid = streaming.reject_invalid(spark.read.parquet(request_files)).where("record_status = 'valid'")
-    total = alerts.where("metric_name = 'total_revenue_at_risk'").agg(F.sum("metric_value")).first()[0]
+    last = alerts.where(F.col("batch_id") == max(r["batch_id"] for r in batches))
+    whole = str(tmp_path / "whole")
+    together = streaming.read_records(spark, request_files)
+    streaming.alert_stream(together, inputs.rule_score, whole, str(tmp_path / "state2"), DAY).awaitTermination()
+    at_once = {r["metric_name"]: r for r in spark.read.parquet(whole).collect()}
+    for r in last.collect():
+        assert r["metric_value"] == pytest.approx(at_once[r["metric_name"]]["metric_value"])
+        assert r["status"] == at_once[r["metric_name"]]["status"]
+    total = at_once["total_revenue_at_risk"]["metric_value"]
     scored = streaming.score_records(valid.select(*spark.read.parquet(request_files).columns), inputs.rule_score, DAY)
     assert total == pytest.approx(scored.agg(F.sum("revenue_at_risk")).first()[0])

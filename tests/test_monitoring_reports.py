@@ -157,6 +157,13 @@ def test_ledger_reports(spark, ledger):
         "prediction_drift_metrics": 1,
         "threshold_checks": 1,
     }
+    older = ledger.where(f"metric_scope = 'data_drift' or snapshot_date < '{NEW}'").unionByName(
+        ledger.where("metric_name = 'm2'").withColumn("snapshot_date", F.lit(MID))
+    )
+    assert reports.monitoring_summary(older).first()["threshold_checks"] == 0
+    assert reports.monitoring_summary(older, per_scope=True).first()["threshold_checks"] == 1
+    assert [r["metric_name"] for r in reports.alert_queue(older, per_scope=True).collect()] == ["m1", "m2"]
+    assert reports.monitoring_summary(ledger.limit(0), per_scope=True).isEmpty()
     latest = reports.monitoring_summary(ledger, latest_run=True).first()
     assert (latest["active_alerts"], latest["data_drift_metrics"]) == (1, 1)
     shown = reports.metric_ledger(ledger.where("created_at = '2024-04-01'")).collect()
