@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
+#: Below the score of every piece.
+UNKNOWN = float("-inf")
 #: Remembered pairs of pieces, and stretches of a generation; two generations are held.
 PAIRS = 200_000
 CACHED = 150_000
@@ -112,16 +114,19 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Merge encoding of a short text: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
+        parts, score = list(text), self.scores.get
+        values = [score(a + b, UNKNOWN) for a, b in zip(parts, parts[1:])]
+        while values:
+            best = max(values)
+            if best == UNKNOWN:
                 break
+            at = values.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]
+            if at:
+                values[at - 1] = score(parts[at - 1] + parts[at], UNKNOWN)
+            if at < len(values):
+                values[at] = score(parts[at] + parts[at + 1], UNKNOWN)
         return parts
 
     def follows(self, left: str, right: str) -> bool:
