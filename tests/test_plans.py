@@ -65,5 +65,17 @@ def test_top_list_is_a_bounded_sort(spark):
     assert "TakeOrderedAndProject" in text and "Sort [" not in text.split("TakeOrderedAndProject")[0].replace("Window", "")
 
 
+def test_stored_reports_prune_and_push(spark, tmp_path, request):
+    inputs.scores(spark, SF_DIR).write.partitionBy("snapshot_date").parquet(str(tmp_path / "scores"))
+    stored = spark.read.parquet(str(tmp_path / "scores"))
+    length = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.maxMetadataStringLength", length))
+    text = plan(reports.explorer(stored, risk_segment="medium", contract="Two year"))
+    assert "EqualTo(risk_segment,medium)" in text and "EqualTo(Contract,Two year)" in text
+    for report in (reports.kpis, reports.segment_mix, reports.top_risky, reports.explorer):
+        assert "snapshot_date" in plan(report(stored)).split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
 def test_drift_ranks_no_full_input(spark):
     assert "Window" not in plan(monitoring.data_drift(inputs.snapshots(spark, SF_DIR)))
