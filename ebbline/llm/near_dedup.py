@@ -86,7 +86,10 @@ def bags(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def signatures(grams: np.ndarray, weights: np.ndarray, owner: np.ndarray, count: int, size: int) -> np.ndarray:
-    """The earliest point of every component, one row per text; infinite for a text without words."""
+    """The time of the earliest point of every component, one row per text; infinite for a text without words.
+
+    Times of a process are summed strictly in order, so they do not depend on the texts signed along with it.
+    """
     level = [np.zeros(len(grams), np.int64)]
     node = [np.arange(len(grams))]
     k = 1
@@ -114,7 +117,7 @@ def signatures(grams: np.ndarray, weights: np.ndarray, owner: np.ndarray, count:
             many = int(np.clip((1 << 16) // len(live), 1, 256))
             draws = mix(seed[live][:, None] + np.arange(step + 1, step + many + 1, dtype=U) * U(0x9E3779B97F4A7C15))
             gaps = -np.log(((draws >> U(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[live][:, None]
-            times = time[:, None] + np.cumsum(gaps, axis=1)
+            times = np.cumsum(np.column_stack([time, gaps]), axis=1)[:, 1:]
             bound = due[owner[node[live]]]
             r, c = np.nonzero(times <= bound[:, None])
             more = mix(draws[r, c] ^ U(0xA0761D6478BD642F))

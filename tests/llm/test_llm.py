@@ -158,6 +158,15 @@ class TestNearDedup:
         exact = np.minimum(one, two).sum() / np.maximum(one, two).sum()
         assert abs((a == b).mean() - exact) < 0.03
 
+    @pytest.mark.parametrize("shingles", [1, 8, 16, 26, 400])
+    def test_signature_does_not_depend_on_the_batch(self, shingles):
+        rng = np.random.default_rng(shingles)
+        grams = rng.integers(1, 1 << 62, 40_000).astype(np.uint64)
+        weights, owner = rng.integers(1, 4, 40_000), np.arange(40_000) // 400
+        own = [np.append(x[:shingles], x[400:]) for x in (grams, weights, owner)]
+        alone = near_dedup.signatures(*(x[:shingles] for x in own), 1, 192)
+        assert alone[0].tobytes() == near_dedup.signatures(*own, 100, 192)[0].tobytes()
+
 
 class TestTopK:
     def test_odd_vectors(self, spark):
