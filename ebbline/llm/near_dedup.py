@@ -51,7 +51,7 @@ class Settings:
     similarity: float = 0.8
     bands: int = 32
     rows: int = 6
-    estimate: float = 0.7
+    estimate: float = 0.65
     cell: int = 512
     carried: int = 4096
 

@@ -6,7 +6,7 @@ import random
 import sys
 import zlib
 from collections import Counter
-from math import log2
+from math import ceil, comb, log2
 from pathlib import Path
 
 import numpy as np
@@ -158,6 +158,12 @@ class TestNearDedup:
         exact = np.minimum(one, two).sum() / np.maximum(one, two).sum()
         assert abs((a == b).mean() - exact) < 0.03
 
+    def test_filter_loses_less_than_the_bands(self):
+        own = near_dedup.Settings()
+        p, least = own.similarity, ceil(own.size * own.estimate)
+        unseen = sum(comb(own.size, k) * p**k * (1 - p) ** (own.size - k) for k in range(least))
+        assert unseen < (1 - p**own.rows) ** own.bands
+
     @pytest.mark.parametrize("shingles", [1, 8, 16, 26, 400])
     def test_signature_does_not_depend_on_the_batch(self, shingles):
         rng = np.random.default_rng(shingles)
