@@ -1,11 +1,19 @@
 """Personal data: fixed patterns, and terms that disclose the found values.
 
-After Shannon, a term near a protected value tells as much about it as the
-corpus says: the pointwise mutual information of term and value, as a share of
-the information in the value itself. One means that whoever reads the term
-knows the value. Terms above a threshold are marked wherever they stand near
-that value, and the sanitiser replaces them like the values. Counts of terms,
-values and both together cover all documents. Column functions only.
+After Shannon, a term in the documents of a protected value tells as much about
+it as the corpus says: the pointwise mutual information of term and value, as a
+share of the information in the value itself. One means that whoever reads the
+term knows the value. Terms above a threshold are marked wherever they stand, in
+every document, and the sanitiser replaces them like the values. Counts of
+terms, values and both together are of whole documents and cover all of them.
+
+Few common documents may be chance, so a pair also needs evidence: by Hoeffding's
+bound its different texts must be so unlikely that among all pairs looked at not
+even one would be expected by chance (``risk``). Copies of a text are evidence
+once. A pair of one text is never evidence, since every rare word of that text
+would tell as much; two texts are, where the corpus is large enough. Near copies
+of a text count as texts of their own: remove them before, as the pipeline does.
+Column functions only.
 
 Defined cases: a null text counts as empty; a null ``doc_id`` is a key like any
 other; repeated rows get equal results; only ``doc_id`` and ``text`` are read;
@@ -15,6 +23,7 @@ empty tables give empty results.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +43,10 @@ TERM = r"\p{L}{3,}"
 
 @dataclass(frozen=True)
 class DisclosureRules:
-    """How near a term must stand, how often, and what share of the value's information it may tell."""
+    """What share of the value's information a term may tell, and the risk that chance alone marks any term."""
 
-    reach: int = 48
-    min_contexts: int = 3
     threshold: float = 0.8
+    risk: float = 0.05
 
 
 def _digits(value: Column) -> Column:
@@ -74,81 +82,89 @@ def base_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     return df.select("doc_id", "text_key", *(["text"] if keep_text else []), "base")
 
 
-def _side(text: Column, start: Column, end: Column) -> Column:
-    """The stretch of the text between two places, and where it lies."""
-    begin, stop = F.greatest(start, F.lit(0).cast("bigint")), F.least(end, F.length(text).cast("bigint"))
-    return F.struct(
-        begin.alias("begin"),
-        F.substring(text, (begin + 1).cast("int"), (stop - begin).cast("int")).alias("part"),
-        (begin > 0).alias("cut_left"),
-        (stop < F.length(text)).alias("cut_right"),
-    )
+def _terms(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(found, F.lower))
 
 
-def contexts(found: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """One row per base span and side: the value's key, and the stretch of text beside it."""
-    entity = F.concat_ws(":", "span.kind", F.lower(F.regexp_replace("span.value", r"[\x20()-]", "")))
-    near = F.transform(
-        "base",
-        lambda s: F.struct(
-            s.alias("span"),
-            F.array(
-                _side(F.col("text"), s["start"] - rules.reach, s["start"]),
-                _side(F.col("text"), s["end"], s["end"] + rules.reach),
-            ).alias("sides"),
-        ),
-    )
-    rows = (
-        found.where(F.size("base") > 0)
-        .select("doc_id", "text_key", F.explode(near).alias("near"))
-        .select("doc_id", "text_key", F.col("near.span").alias("span"), F.col("near.sides").alias("sides"))
-        .withColumn("context", F.xxhash64("sides.part"))
-        .withColumn("entity", entity)
-        .withColumn("side", F.explode("sides"))
+def pairs(pieces: DataFrame) -> DataFrame:
+    """Pairs of value and term that share a document: in how many documents and different texts, and the value's own numbers.
+
+    A document has each of its pairs once, and counts are added up per text before the pairs meet.
+    """
+    key = lambda s: F.concat_ws(":", s["kind"], F.lower(F.regexp_replace(s["value"], r"[\x20()-]", "")))
+    rows = pieces.where(F.size("base") > 0).select(
+        "text_key", F.array_distinct(F.transform("base", key)).alias("entities"), _terms(F.col("text")).alias("terms")
     )
-    return rows.select(
-        "doc_id", "text_key", "entity", "context", "side.begin", "side.part", "side.cut_left", "side.cut_right"
+    values = rows.select("text_key", F.explode("entities").alias("entity")).groupBy("entity")
+    values = values.agg(F.count("*").alias("n_entity"), F.count_distinct("text_key").alias("texts_entity"))
+    both = (
+        rows.select("text_key", "terms", F.explode("entities").alias("entity"))
+        .select("text_key", "entity", F.explode("terms").alias("term"))
+        .groupBy("term", "entity")
+        .agg(F.count("*").alias("n_both"), F.count_distinct("text_key").alias("texts_both"))
     )
+    return both.join(values, "entity")
 
 
-def terms_near(rows: DataFrame) -> DataFrame:
-    """The whole words of the stretches; what a cut leaves of a word is no term."""
-    df = rows.withColumn("found", F.regexp_extract_all("part", F.lit(TERM), F.lit(0)))
-    df = df.withColumn("at", spans(F.col("part"), F.col("found"), TERM, "term", len(KINDS), lambda m: F.lit(True)))
-    whole = F.filter(
-        "at",
-        lambda s: ~(F.col("cut_left") & (s["start"] == 0)) & ~(F.col("cut_right") & (s["end"] == F.length("part"))),
-    )
-    return df.select("doc_id", "text_key", "entity", "context", "begin", F.explode(whole).alias("at")).select(
-        "doc_id",
-        "text_key",
-        "entity",
-        "context",
-        F.lower("at.value").alias("term"),
-        (F.col("begin") + F.col("at.start")).alias("start"),
-        (F.col("begin") + F.col("at.end")).alias("end"),
-    )
+def _evidence(n_term: Column, n_docs: Column) -> Column:
+    """At least minus the logarithm of the chance that so many of the value's texts hold the term (Hoeffding's bound)."""
+    share, rate = F.col("texts_both") / F.col("texts_entity"), n_term / n_docs
+    rest = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - rate))).otherwise(0.0)
+    return F.when(share > rate, F.col("texts_entity") * (share * F.ln(share / rate) + rest)).otherwise(0.0)
 
 
-def disclosing(docs: DataFrame, near: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """Pairs of term and value whose disclosure exceeds the threshold."""
-    both = near.groupBy("term", "entity").agg(
-        F.count_distinct("context").alias("n_contexts"),
-        F.count_distinct("doc_id", "text_key").alias("n_both"),
-    )
-    both = both.where(F.col("n_contexts") >= rules.min_contexts)
-    values = near.groupBy("entity").agg(F.count_distinct("doc_id", "text_key").alias("n_entity"))
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+def disclosing(docs: DataFrame, pieces: DataFrame, rules: DisclosureRules) -> DataFrame:
+    """Terms that disclose a value beyond the threshold and beyond chance."""
+    both = stored(pairs(pieces), "personal-pairs")
     n_docs = F.lit(float(docs.count()))
+    # Any of the pairs may be one by chance: the allowed risk is shared among them all.
+    least = F.lit(log(max(both.count(), 1) / rules.risk))
+    # A term has at least the documents of the pair; pairs that chance explains even then need no count of it.
+    likely = stored(both.where(_evidence(F.col("n_both"), n_docs) >= least), "personal-likely")
+    terms = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    terms = terms.join(likely.select("term").distinct(), "term", "left_semi")
+    terms = terms.groupBy("term").agg(F.count("*").alias("n_term"))
     told = F.ln(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     own = F.ln(n_docs / F.col("n_entity"))
-    return (
-        both.join(values, "entity")
-        .join(terms, "term")
-        .where((own > 0) & (told >= own * rules.threshold))
-        .select("term", "entity")
+    enough = (own > 0) & (told >= own * rules.threshold) & (_evidence(F.col("n_term"), n_docs) >= least)
+    return likely.join(terms, "term").where(enough).select("term").distinct()
+
+
+def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_key`` and every occurrence of the terms, of the documents that have one."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    told = (
+        own.select("doc_id", "text_key", F.explode(_terms(F.col("text"))).alias("term"))
+        .join(terms, "term", "left_semi")
+        .groupBy("doc_id", "text_key")
+        .agg(F.collect_set("term").alias("told"))
     )
+    told = stored(told, "personal-told").select(F.col("doc_id").alias("told_id"), F.col("text_key").alias("told_key"), "told")
+    key = F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("text_key") == F.col("told_key"))
+    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    gaps = F.slice(F.split("text", TERM, -1), 1, F.size(found))
+    # One pass from left to right; only what is marked is gathered.
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("word")))
+
+    def add(done: Column, x: Column) -> Column:
+        start = done["total"] + x["gap"]
+        end = start + F.length(x["word"])
+        span = F.struct(
+            start.alias("start"),
+            F.lit(len(KINDS)).alias("rank"),
+            end.alias("end"),
+            F.lit("term").alias("kind"),
+            F.lit("").alias("value"),
+        )
+        seen = F.when(F.array_contains("told", F.lower(x["word"])), F.concat(done["seen"], F.array(span)))
+        return F.struct(end.alias("total"), seen.otherwise(done["seen"]).alias("seen"))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("total"), no_spans().alias("seen"))
+    marked = F.aggregate(steps, none, add, lambda done: done["seen"])
+    rows = own.join(told, key)
+    return rows.select("doc_id", "text_key", marked.alias("marked")).dropDuplicates(["doc_id", "text_key"])
 
 
 def personal_spans(docs: DataFrame, rules: DisclosureRules = DisclosureRules()) -> DataFrame:
@@ -163,21 +179,8 @@ def personal_spans(docs: DataFrame, rules: DisclosureRules = DisclosureRules())
         ),
         "personal",
     )
-    near = stored(terms_near(contexts(pieces, rules)), "personal-terms")
-    marked = near.join(disclosing(docs, near, rules), ["term", "entity"], "left_semi")
-    per_doc = marked.groupBy("doc_id", "text_key").agg(
-        F.array_sort(
-            F.collect_set(
-                F.struct(
-                    "start",
-                    F.lit(len(KINDS)).alias("rank"),
-                    "end",
-                    F.lit("term").alias("kind"),
-                    F.lit("").alias("value"),
-                )
-            )
-        ).alias("marked")
-    )
+    terms = stored(disclosing(docs, pieces, rules), "personal-terms")
+    per_doc = term_spans(docs, terms)
     key = pieces["doc_id"].eqNullSafe(per_doc["doc_id"]) & (pieces["text_key"] == per_doc["text_key"])
     joined = pieces.join(per_doc, key, "left").select(
         pieces["doc_id"], pieces["text_key"], "base", F.coalesce("marked", no_spans()).alias("marked")
@@ -219,7 +222,7 @@ def _joined(base: Column) -> Column:
 def sanitise(docs: DataFrame, rules: DisclosureRules = DisclosureRules()) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all columns stay."""
     names = docs.columns
-    marks = personal_spans(docs, rules).where(F.size("base") > 0)
+    marks = personal_spans(docs, rules).where((F.size("base") > 0) | (F.size("terms") > 0))
     marks = marks.select(
         F.col("doc_id").alias("_mark_id"),
         F.col("text_key").alias("_mark_key"),

@@ -323,6 +323,26 @@ class TestPersonalData:
         assert "<TERM> at" in clean[0] and "<PHONE>" in clean[0] and clean[100] == rows[5][1]
 
 
+    def test_terms_of_two_documents_anywhere(self, spark):
+        filler = [prose(30, 9000 + i) for i in range(3000)]
+        name = [(1, f"Quillon {filler[0]} a@b.org {filler[1]}"), (2, f"{filler[2]} a@b.org {filler[3]} QUILLON, {prose(5, 1)}")]
+        rows = [*name, (3, f"{filler[4]} quillon {filler[5]}"), (4, f"{filler[6]} c@d.org Onceonly")]
+        rows += [(None, f"{t} z@y.org {filler[-9]} Vantrell") for t in filler[7:9]]
+        rows += [(5, f"{filler[9]} x@w.org Copyword")] * 2
+        rows += [(10 + i, t) for i, t in enumerate(filler[20:])]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        found = [(r["doc_id"], r["spans"]) for r in pii.personal_data(df).where("doc_id is null or doc_id < 10").collect()]
+        terms = Counter()
+        for doc, spans in found:
+            own = [s.split(":") for s in spans.split(",") if s.startswith("term")]
+            words = {tuple(t[int(a) : int(b)] for _, a, b in own) for d, t in rows[:8] if d == doc}
+            terms[doc, "quillon" in str(words).lower(), "Vantrell" in str(words)] += 1
+            assert "Onceonly" not in str(words) and "Copyword" not in str(words)
+        assert terms == {(1, True, False): 1, (2, True, False): 1, (3, True, False): 1, (4, False, False): 1, (None, False, True): 2, (5, False, False): 2}
+        clean = " ".join(r["text"] for r in pii.sanitise(df).collect())
+        assert "quillon" not in clean.lower() and "Vantrell" not in clean and "Onceonly" in clean
+
+
 class TestQuality:
     def test_odd_rows(self, odd):
         got = Counter(
