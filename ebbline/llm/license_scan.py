@@ -14,6 +14,9 @@ results; a null ``doc_id`` keeps its row; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +107,50 @@ TEXTS = (
     ),
 )
 
+#: Title lines that stand above the texts of this module.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+_TWO = next(text for name, text in TEXTS if name == "BSD-2-Clause")
+_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission.\n\n"
+)
+#: Long texts, word for word, one file each in ``licenses``.
+FILES = (
+    "Apache-2.0 CC-BY-4.0 CC0-1.0 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0 Unlicense"
+).split()
+
+
+def _variants(name: str, text: str) -> list[str]:
+    """The text, without its appendix on how to apply it, and without the line to fill in; each also with a title."""
+    forms = [text]
+    head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+    if end:
+        forms += [head, head + end]
+    forms += [re.sub(r"\n[^\n]*Copyright \[yyyy\][^\n]*", "", text)]
+    return [title + form for form in dict.fromkeys(forms) for title in ("", *(f"{t}\n\n" for t in TITLES.get(name, ())))]
+
+
+def _read(name: str) -> str:
+    return resources.files("ebbline.llm").joinpath("licenses", f"{name}.txt").read_text("utf-8")
+
+
+#: Single texts, before their variants: what may stand inside a longer document.
+BODIES = (*TEXTS, ("BSD-3-Clause", _TWO.replace("THIS SOFTWARE IS", _NAMES + "THIS SOFTWARE IS")), *((n, _read(n)) for n in FILES))
+TEXTS = tuple((name, form) for name, text in BODIES for form in _variants(name, text))
+
+#: How a comment line begins, and where blocks end: at lines without letters and digits, and at a comment's edges.
+COMMENT = r"[ \t]*+(?:#|//|/\*|\*|--|;|%)"
+EDGES = (rf"(?m)^({COMMENT}[^\n]*\n)(?!{COMMENT})", rf"(?m)^((?!{COMMENT})[^\n]*\n)(?={COMMENT})")
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)+"
+
 
 def canonical(text: Column) -> Column:
     """The form in which copies of a licence are equal."""
@@ -120,8 +167,37 @@ def known_licenses(spark: SparkSession, extra: list[tuple[str, str]] | None = No
     return rows.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
 
 
+def blocks(text: Column) -> Column:
+    """The stretches of a text between blank lines and around comments."""
+    for edge in EDGES:
+        text = F.regexp_replace(text, edge, "$1\n")
+    return F.split(text, BLANK, -1)
+
+
+def _runs(own: DataFrame, bodies: list[tuple[str, str]]) -> DataFrame:
+    """Known texts whose blocks stand one after the other in a document, and the block and lines where they begin."""
+    form = F.filter(F.transform(blocks(F.col("text")), canonical), lambda x: x != "")
+    known = own.sparkSession.createDataFrame(bodies, "license string, text string")
+    known = known.withColumn("forms", form).select(
+        "license", F.xxhash64("text").alias("body"), F.size("forms").alias("size"), F.posexplode("forms").alias("place", "form")
+    )
+    known = known.select("license", "body", "size", "place", F.md5("form").alias("digest"))
+    raw = F.transform(blocks(F.col("text")), lambda x: F.struct(canonical(x).alias("form"), F.contains(F.trim(x), F.lit("\n")).alias("lines")))
+    found = own.select("doc_id", "text_key", F.posexplode(F.filter(raw, lambda x: x["form"] != "")).alias("at", "block"))
+    return (
+        found.select("doc_id", "text_key", "at", "block.lines", F.md5("block.form").alias("digest"))
+        .join(known, "digest")
+        .groupBy("doc_id", "text_key", "license", "body", "size", (F.col("at") - F.col("place")).alias("begin"))
+        .agg(F.count_distinct("place").alias("places"), F.bool_or("lines").alias("lines"))
+        # A run of one line is a line's own unit already.
+        .where((F.col("places") == F.col("size")) & ((F.col("size") > 1) | F.col("lines")))
+        .select("doc_id", "text_key", "license", F.concat_ws(":", F.lit("block"), "begin").alias("unit"))
+    )
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per document: its licences, how many of its units are one, and whether all of it is one."""
+    bodies = [*NOTICES, *BODIES] if known is None else []
     known = known_licenses(docs.sparkSession) if known is None else known
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     lines = F.split("text", "\n", -1)
@@ -133,12 +209,16 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         forms.where(F.col("form") != "")
         .select("doc_id", "text_key", "unit", F.md5("form").alias("digest"))
         .join(known, "digest")
+        .select("doc_id", "text_key", "license", F.col("unit").cast("string").alias("unit"))
+        .unionByName(_runs(own, bodies))
         .groupBy("doc_id", "text_key")
         .agg(
             F.array_join(F.array_sort(F.collect_set("license")), ",").alias("found"),
-            F.count_distinct("unit").alias("units"),
-            F.bool_or(F.col("unit") == 0).alias("whole"),
+            F.collect_set("unit").alias("units"),
         )
+        .withColumn("whole", F.array_contains("units", "0"))
+        # Blocks of a text that is a licence as a whole are that one unit.
+        .withColumn("units", F.size(F.filter("units", lambda u: ~(F.col("whole") & u.startswith("block")))))
         .select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "found", "units", "whole")
     )
     key = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))

@@ -211,6 +211,31 @@ def test_license_texts(spark):
     assert [tuple(r) for r in got] == [(1, "MIT", 1, True), (2, "MIT", 1, False), (3, "", 0, False), (4, "", 0, False)]
 
 
+def test_license_files_titles_and_comment_blocks(spark):
+    bodies = dict(license_scan.BODIES)
+    notice = "This work is licensed under the GNU General\nPublic License, version 3."
+    comment = "".join(f" * {line}\n" for line in bodies["MIT"].replace(". ", ".\n").split("\n"))
+    hashed = "".join(f"# {line}\n" for line in notice.split("\n"))
+    rows = [
+        *((i, text) for i, text in enumerate(bodies.values())),
+        (100, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + bodies["MIT"]),
+        (101, "BSD 3-Clause License\n\n" + bodies["BSD-3-Clause"]),
+        (102, "/*\n * Copyright (c) 2020 Someone\n *\n" + comment + " */\nint main() {}\n"),
+        (103, "import os\n" + hashed + "import re\n"),
+        (104, bodies["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone")),
+        (105, bodies["GPL-2.0"].split("END OF TERMS")[0]),
+        (106, "Words before.\n\n" + bodies["GPL-3.0"][:-300]),
+    ]
+    found = license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {r["doc_id"]: (r["licenses"], r["n_units"], r["whole_text"]) for r in found}
+    for i, name in enumerate(bodies):
+        assert name in got[i][0].split(",") and got[i][2], name
+    assert got[100] == ("MIT", 1, True) and got[101] == ("BSD-3-Clause", 1, True)
+    assert got[102] == ("MIT", 1, False) and got[103] == ("GPL-3.0", 1, False)
+    # The appendix holds a notice line, which is a unit too.
+    assert got[104] == ("Apache-2.0", 2, True) and got[105] == ("GPL-2.0", 1, True) and got[106] == ("", 0, False)
+
+
 class TestSubstringDedup:
     @pytest.mark.parametrize("most_runs", [1000, 0])
     def test_odd_rows(self, odd, most_runs):
