@@ -1,0 +1,315 @@
+"""Conversation repair, mixing and fill-in-middle against brute force, with odd rows and small blocks."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import sys
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+import brute  # noqa: E402
+from ebbline.llm import conversation_repair as cr  # noqa: E402
+from ebbline.llm import fill_middle, mixing  # noqa: E402
+
+TURNS = "conv_id bigint, turn bigint, role string, text string, fate string, block bigint, digest string"
+
+
+def turns(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, "y") for r in rows], TURNS).repartition(5)
+
+
+def faults(rows):
+    """Rows (turn, role, text) in order, with the fault of each."""
+    seen, out = set(), []
+    for turn, role, text in rows:
+        last = re.sub(r"[\x20\x09-\x0D]", "", text)[-1:]
+        fault = "blank" if not last else "duplicate" if (role, text) in seen else "" if last in ".!?" else "truncated"
+        seen.add((role, text))
+        out.append((turn, role, text, fault))
+    return out
+
+
+def lightest(rows):
+    """Cost and edits by trying every edit of every row in every state; whole strings are compared."""
+    step = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    given = {0: "u", 1: "u", 2: "a", 3: "u"}
+
+    best = {}
+    for i in range(len(rows), -1, -1):
+        for inserted in (2, 1, 0):
+            for state in range(4):
+                found = [(0, "")] if i == len(rows) and state in (0, 3) else []
+                if inserted < 2:
+                    cost, rest = best[i, step[state, given[state]], inserted + 1]
+                    found.append((cost + 5, "I" + rest))
+                if i < len(rows):
+                    _, role, _, fault = rows[i]
+                    cost, rest = best[i + 1, state, 0]
+                    found.append((cost + 2, "D" + rest))
+                    if fault not in ("blank", "duplicate"):
+                        more = 5 if fault else 0
+                        cost, rest = best[i + 1, step[state, given[state]], 0]
+                        found.append((cost + 1 + more, "R" + rest))
+                        if (state, role[:1]) in step:
+                            cost, rest = best[i + 1, step[state, role[:1]], 0]
+                            found.append((cost + more, "K" + rest))
+                best[i, state, inserted] = min(found, default=(10**9, ""))
+    return best[0, 0, 0]
+
+
+def repaired(rows, audit):
+    out, i = [], 0
+    for edit in audit:
+        if edit == "K":
+            out.append((rows[i][1], rows[i][2]))
+        elif edit != "D":
+            last = out[-1][0][:1] if out else ""
+            out.append(("assistant" if last == "u" else "user", "" if edit == "I" else rows[i][2]))
+        i += edit != "I"
+    return out
+
+
+def expected(rows):
+    """Result of repair by conv_id, for damaged rows (conv_id, turn, role, text) in their order."""
+    groups = defaultdict(list)
+    for conv, turn, role, text in rows:
+        groups[conv].append((turn, " " if role is None else role, " " if text is None else text))
+    out = {}
+    for conv, own in groups.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
+        judged = faults(own)
+        cost, audit = lightest(tuple(judged))
+        known = [t for t, *_ in own if t is not None]
+        count = Counter(f for *_, f in judged)
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(own, own[1:])]
+        lines = "\n".join(f"{role}:{text}" for role, text in repaired(judged, audit))
+        out[conv] = (
+            max(known) - min(known) + 1 - len(set(known)) if known else 0,
+            count["blank"],
+            count["duplicate"],
+            count["truncated"],
+            sum(p not in ("su", "ua", "au") for p in pairs),
+            cost,
+            audit,
+            hashlib.sha256(lines.encode()).hexdigest(),
+        )
+    return out
+
+
+def drawn(seed, conversations, longest):
+    own = random.Random(seed)
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "", None]
+    texts = ["Yes.", "No!", "why?", "cut", " \t", "", None, "So.", "é 😀.", "a. \n", "b", "c.", "d!"]
+    rows = []
+    for conv in range(conversations):
+        for k in range(own.randint(1, longest)):
+            turn = own.choice([None, k, k, k, k + 3, 0])
+            text = own.choice(texts) or ""
+            rows.append((conv if conv else None, turn, own.choice(roles), f"{own.randint(0, 99)}{text}" if own.random() < 0.6 else text))
+    return rows
+
+
+class TestConversationRepair:
+    @pytest.mark.parametrize("block_rows", [1, 2, 5, 1024])
+    def test_brute_force(self, spark, monkeypatch, block_rows):
+        rows = drawn(block_rows, 60, 12)
+        monkeypatch.setattr(cr, "BLOCK_ROWS", block_rows)
+        cut = cr._cut(cr._arrow(cr.BLOCKS))
+        monkeypatch.setattr(cr, "_cut", lambda schema: _with_rows(cut, block_rows))
+        got = {r["conv_id"]: tuple(r)[1:] for r in cr.repair(turns(spark, rows)).collect()}
+        assert got == expected(rows)
+
+    def test_every_text_is_whole_and_long_conversations_cross_partitions(self, spark):
+        own = random.Random(7)
+        rows = [(1, t, own.choice(["user", "assistant"]), f"{t} " + "word " * own.randint(1, 40) + own.choice([".", ""])) for t in range(3000)]
+        rows += [(2, t, ("user", "assistant")[t % 2], "x" * 50_000 + f"{t}.") for t in range(20)]
+        got = {r["conv_id"]: tuple(r)[1:] for r in cr.repair(turns(spark, rows)).collect()}
+        assert got == expected(rows)
+
+    def test_repaired_rows_follow_the_expression(self, spark):
+        rows = drawn(3, 40, 9)
+        found = defaultdict(list)
+        for r in cr.repaired_rows(turns(spark, rows)).orderBy("conv_id", "block", "place").collect():
+            found[r["conv_id"]].append((r["role"], r["text"]))
+        lines = {c: hashlib.sha256("\n".join(f"{a}:{b}" for a, b in own).encode()).hexdigest() for c, own in found.items()}
+        assert all(re.fullmatch("(s?(ua)+)?", "".join(role[0] for role, _ in own)) for own in found.values())
+        assert lines == {c: e[-1] for c, e in expected(rows).items() if c in found}
+
+    def test_damage(self, spark):
+        rows = [(c, t, "assistant", f"One. Two! {c}?") for c in range(40) for t in [*range(9), None]] + [(None, None, None, None)]
+        want = []
+        for conv, turn, role, text in rows:
+            fate = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+            role, text = " " if role is None else role, " " if text is None else text
+            text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+            want += [(conv, turn, "user" if fate == 4 else role, text, fate == 0)] * (2 if fate == 3 else 1)
+        got = [tuple(r) for r in cr.damage(turns(spark, rows)).collect()]
+        assert Counter(got) == Counter(want)
+
+    def test_dropped_conversations_stay(self, spark):
+        rows = turns(spark, [(1, 0, "user", "a."), (2, 0, "user", "b.")]).withColumn("dropped", F.lit(True))
+        nothing = hashlib.sha256(b"").hexdigest()
+        assert {tuple(r) for r in cr.repair(rows).collect()} == {(c, 0, 0, 0, 0, 0, 0, "", nothing) for c in (1, 2)}
+
+    def test_empty_table(self, spark):
+        empty = spark.createDataFrame([], TURNS)
+        assert cr.repair(cr.damage(empty)).collect() == [] and cr.repaired_rows(empty).collect() == []
+
+    def test_an_item_is_popped_at_its_lightest(self):
+        for seed in range(200):
+            own = random.Random(seed)
+            initials = [own.choice("sua t") for _ in range(own.randint(0, 7))]
+            marks = [own.choice([0, 0, 0, 1, 2, 3]) for _ in initials]
+            names = {0: "", 1: "blank", 2: "duplicate", 3: "truncated"}
+            rows = tuple((0, i, "", names[m]) for i, m in zip(initials, marks))
+            found, audits = cr.paths(initials, marks)
+            ends = [(p["cost"] + 5 * cr.ENDING[p["exit"]], a + "I" * cr.ENDING[p["exit"]]) for p, a in zip(found, audits) if p["entry"] == 0]
+            assert min(ends) == lightest(rows)
+
+
+def _with_rows(cut, block_rows):
+    """Tasks run in other processes, where the module's own limit holds; so the limit goes along."""
+
+    def run(batches):
+        cr.BLOCK_ROWS = block_rows
+        return cut(batches)
+
+    return run
+
+
+DOCS = "doc_id bigint, text string, source string, size bigint, target double, bucket string, place bigint, n bigint"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2.0, "z", 3, 4) for r in rows], DOCS).repartition(4)
+
+
+def level(sizes, weights, share=1.5, most=2):
+    """Targets by sharing again until none is above."""
+    left, full = share * sum(sizes.values()), {}
+    while True:
+        open_ = {s: weights[s] for s in sizes if s not in full}
+        shares = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        above = [s for s in shares if shares[s] > most * sizes[s]]
+        if not above:
+            return {**{s: most * sizes[s] for s in full}, **shares}
+        for s in above:
+            full[s] = True
+            left -= most * sizes[s]
+
+
+class TestMixing:
+    ROWS = [(None, None, None), (1, "a b c", None), (2, "", "x"), (3, None, "x"), (3, "d e", "x"), (3, "d e", "x"), (4, " \t", "")] + [
+        (i, "w " * (i % 90), f"s{0 if i % 3 else i % 11}") for i in range(10, 700)
+    ]
+
+    @pytest.mark.parametrize("bucket", [20, 10_000])
+    def test_targets_and_words_taken(self, spark, monkeypatch, bucket):
+        monkeypatch.setattr(mixing, "BUCKET", bucket)
+        rows = mixing.mix(documents(spark, self.ROWS)).collect()
+        names = {i: s for i, _, s in self.ROWS}
+        sizes = defaultdict(int)
+        for i, text, source in self.ROWS:
+            sizes[source] += len(brute.words(text))
+        ranked = sorted(sizes, key=lambda s: (s is None, s or ""))
+        want = level(dict(sizes), {s: (3, 1, 2)[k % 3] for k, s in enumerate(ranked)})
+        taken = defaultdict(int)
+        for r in rows:
+            assert r["target"] == pytest.approx(want[names[r["doc_id"]]]) and r["source_size"] == sizes[names[r["doc_id"]]]
+            assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == sum(u["words"] for u in r["uses"])
+            taken[names[r["doc_id"]]] += r["taken"]
+        assert {s: taken[s] for s in sizes} == {s: int(want[s] + 1e-9) for s in sizes}
+        assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _, _ in self.ROWS)
+
+    def test_reruns_and_partitioning_agree(self, spark):
+        one = mixing.mix(documents(spark, self.ROWS)).collect()
+        two = mixing.mix(documents(spark, self.ROWS[::-1]).repartition(9)).collect()
+        assert Counter(map(str, one)) == Counter(map(str, two))
+
+    def test_demand_at_a_position_is_what_was_taken_before(self, spark):
+        """At the position of a use, the integral of its source's schedule is the share of words used before."""
+        rows = mixing.mix(documents(spark, self.ROWS)).where("target > 0").collect()
+        ranked = sorted({s for _, _, s in self.ROWS}, key=lambda s: (s is None, s or ""))
+        names = {i: s for i, _, s in self.ROWS}
+        own = defaultdict(list)
+        for r in rows:
+            own[names[r["doc_id"]]] += [(u["position"], u["words"], r["target"]) for u in r["uses"]]
+        for source, uses in own.items():
+            schedule = mixing.SCHEDULES[ranked.index(source) % 3]
+            before = 0
+            for position, words, target in sorted(uses):
+                grid = np.linspace(0, position, 2001)
+                weight = np.interp(grid, *zip(*schedule))
+                whole = np.trapezoid(np.interp(g := np.linspace(0, 1, 2001), *zip(*schedule)), g)
+                assert np.trapezoid(weight, grid) / whole == pytest.approx(before / target, abs=1e-3)
+                before += words
+
+    def test_training_order_is_sorted(self, spark):
+        order = mixing.training_order(mixing.mix(documents(spark, self.ROWS)))
+        positions = [r["position"] for r in order.collect()]
+        assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] < 1
+
+    def test_schedules_are_checked(self):
+        for bad in [((0.0, 1.0), (0.5, 1.0)), ((0.0, -1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 0.0))]:
+            with pytest.raises(ValueError):
+                mixing.segments(bad)
+
+    def test_empty_and_wordless(self, spark):
+        assert mixing.mix(documents(spark, [])).collect() == []
+        rows = mixing.mix(documents(spark, [(1, None, "a"), (2, " ", None)])).collect()
+        assert {(r["doc_id"], r["size"], r["target"], r["taken"], r["position"]) for r in rows} == {(1, 0, 0.0, 0, None), (2, 0, 0.0, 0, None)}
+
+
+TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+class TestFillMiddle:
+    TEXTS = [None, "", " ", "\n\t ", "one", " one", "one ", "é 😀 ü x y", "a <P> b", "<S", "x<M>", "a b\n\nc  d ", "z " * 40_000, "y" * 200_000 + " é", "ab" * 70_000 + " c" * 9]
+
+    def test_odd_rows_against_plain_python(self, spark):
+        rows = [(i if i % 9 else None, t) for i, t in enumerate(self.TEXTS * 12)] + [(-5, "a b c d")] * 2
+        df = spark.createDataFrame([(i, t, 9, "f", "o") for i, t in rows], "doc_id bigint, text string, n bigint, form string, output string")
+        got = fill_middle.fill_in_middle(df.repartition(3)).withColumn("back", fill_middle.restored(F.col("form"), F.col("output")))
+        want = []
+        for i, text in rows:
+            text = text or ""
+            digest = hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()
+            h = [int(digest[k : k + 8], 16) for k in range(0, 32, 8)]
+            tokens = TOKEN.findall(text)
+            n = len(tokens)
+            low, high = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+            p, m, s = "".join(tokens[:low]), "".join(tokens[low:high]), "".join(tokens[high:])
+            if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+                want.append((i, n, "plain", None, None, text, text))
+            elif h[3] % 100 < 80:
+                want.append((i, n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", text))
+            else:
+                want.append((i, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", text))
+        assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+    def test_empty_table(self, spark):
+        assert fill_middle.fill_in_middle(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+    @pytest.mark.parametrize("density", [0.001, 0.03, 0.2, 0.97, 1.0])
+    def test_select_in_every_kind_of_container(self, density):
+        rng = np.random.default_rng(3)
+        places = np.flatnonzero(rng.random(300_000) < density) + 7
+        held = fill_middle.BoundarySet(places)
+        ranks = [*rng.integers(0, len(places), 300), 0, len(places) - 1]
+        assert len(held) == len(places) and [held.select(int(k)) for k in ranks] == [places[k] for k in ranks]
+
+    def test_containers_are_the_smallest(self):
+        kinds = [
+            type(fill_middle.container(np.asarray(low))).__name__
+            for low in ([5], np.arange(0, 60_000, 20), np.arange(0, 65_536, 3), np.arange(100, 60_000))
+        ]
+        assert kinds == ["ArrayContainer", "ArrayContainer", "BitmapContainer", "RunContainer"]
