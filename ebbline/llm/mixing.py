@@ -13,11 +13,11 @@ stops at ``epochs`` times the source's size, and what is left over is shared by
 weight among the others until no target is above. This needs only sums over the
 sources, repeated until nothing changes.
 
-Running sums are taken in two levels, so a source that holds a third of all
+Running sums are taken in levels, so a source that holds a third of all
 documents is in no single task: by digest, each source falls into buckets of
-about ``BUCKET`` documents; buckets are summed before they are exchanged, their
-running sums are made from the sums, and inside a bucket documents are placed
-alone.
+about ``BUCKET`` documents, and buckets into groups of as many buckets as there
+are groups. Sums are made before anything is exchanged; groups are placed by
+their sums, buckets inside their group, and documents inside their bucket.
 
 Defined cases: a null text has size 0 and is taken 0 times, like an empty one; a
 null source is a source of its own and the last in rank; a null ``doc_id`` stays
@@ -45,7 +45,7 @@ SHARE_PERCENT, EPOCHS = 150, 2
 #: Knots (time, weight) of the schedules, by rank of the source, repeating: early, steady and late sources.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.5)))
 #: Documents that a bucket holds on average, at most.
-BUCKET = 10_000
+BUCKET = 2_000
 _DIGEST_BITS = 60
 
 Schedule = Sequence[tuple[float, float]]
@@ -107,6 +107,22 @@ def _ranked(sources: DataFrame) -> DataFrame:
     return placed.select("source_key", "source_size", "documents", (F.col("before") + F.col("at")).alias("rank"))
 
 
+def _before(value: str, keys: list[str], order: list[str]) -> Column:
+    """The sum of all values that come before a row."""
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+
+def _starts(per_bucket: DataFrame, bits: int) -> DataFrame:
+    """Words of a source before each of its buckets: those before the bucket's group, and before it in the group."""
+    grouped = per_bucket.withColumn("group", F.shiftright("bucket", bits // 2))
+    groups = grouped.groupBy("source_key", "group").agg(F.sum("own").alias("group_own"))
+    groups = groups.withColumn("group_start", _before("group_own", ["source_key"], ["group"])).drop("group_own")
+    inside = grouped.withColumn("inside", _before("own", ["source_key", "group"], ["bucket"]))
+    joined = inside.join(groups, ["source_key", "group"])
+    return joined.select("source_key", "bucket", (F.col("group_start") + F.col("inside")).alias("start"))
+
+
 def by_rank(values: Sequence, rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (rank % len(values) + 1).cast("int"))
 
@@ -156,16 +172,9 @@ def mix(
     bits = max(0, math.ceil(math.log2(max(1, most / BUCKET))))
 
     buckets = sized.withColumn("bucket", F.shiftright("place", _DIGEST_BITS - bits))
-    per_bucket = buckets.groupBy("source_key", "bucket").agg(F.sum("size").alias("own"))
-    earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.withColumn("start", F.coalesce(F.sum("own").over(earlier), F.lit(0))).drop("own")
-    inside = (
-        Window.partitionBy("source_key", "bucket")
-        .orderBy("place", "doc_id", "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    starts = _starts(buckets.groupBy("source_key", "bucket").agg(F.sum("size").alias("own")), bits)
     placed = (
-        buckets.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        buckets.withColumn("inside", _before("size", ["source_key", "bucket"], ["place", "doc_id", "size"]))
         .join(starts.join(sources, "source_key"), ["source_key", "bucket"])
         .withColumn("before", F.col("start") + F.col("inside"))
     )
