@@ -66,6 +66,8 @@ LEGAL = {"su", "ua", "au"}
 BLOCK_ROWS, BLOCK_CHARS = 1024, 4_000_000
 
 _FINE, _BLANK, _DUPLICATE, _TRUNCATED = range(4)
+#: The order of all rows.
+ORDER = ["conv_id", "known", "at", "role", "digest"]
 
 BLOCKS = (
     "conv_id bigint, block bigint, rows bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint,"
@@ -74,7 +76,7 @@ BLOCKS = (
     " roles array<string>, texts array<string>"
 )
 PLAN = (
-    "block bigint, entry int, exit int, last boolean, gaps bigint, blank bigint, duplicate bigint,"
+    "conv_id bigint, block bigint, entry int, exit int, last boolean, gaps bigint, blank bigint, duplicate bigint,"
     " truncated bigint, illegal bigint, cost bigint"
 )
 REPAIRED = (
@@ -111,34 +113,35 @@ def damage(conversations: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """Rows with what is wrong with each, apart from repeats within one turn."""
+    """Rows with what is wrong with each, and a mark without text for each turn at which a row repeats one of an earlier turn.
+
+    Texts are not joined: the marks are found on digests, and the sort puts each before the rows that it means.
+    """
     if "dropped" not in rows.columns:
         rows = rows.withColumn("dropped", F.lit(False))
     role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    last = F.regexp_extract("text", "([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z", 1)
+    fault = F.when(last == "", _BLANK).when(~last.rlike(SENTENCE_ENDS), _TRUNCATED).otherwise(_FINE)
     known = rows.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
-        F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce(F.col("turn").cast("bigint"), F.lit(0)).alias("at")).alias("turn"),
+        F.col("turn").isNotNull().alias("known"),
+        F.coalesce(F.col("turn").cast("bigint"), F.lit(0)).alias("at"),
         F.when(~F.col("dropped"), role).alias("role"),
-        F.when(~F.col("dropped"), text).alias("text"),
         F.when(~F.col("dropped"), F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text))).alias("digest"),
-    )
-    repeated = (
-        known.where(F.col("digest").isNotNull())
-        .groupBy(F.col("conv_id").alias("r_conv"), F.col("digest").alias("r_digest"))
-        .agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("n"))
+        F.when(~F.col("dropped"), text).alias("text"),
+    ).withColumn("fault", fault)
+    turns = known.where(F.col("digest").isNotNull()).groupBy(*ORDER).agg(F.count(F.lit(1)).alias("n"))
+    turn = F.struct("known", "at")
+    first = (
+        turns.groupBy(F.col("conv_id").alias("r_conv"), F.col("digest").alias("r_digest"))
+        .agg(F.min(turn).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n")
     )
-    last = F.regexp_extract("text", "([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z", 1)
     same = F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("digest") == F.col("r_digest"))
-    fault = (
-        F.when(last == "", _BLANK)
-        .when(F.col("turn") > F.col("first"), _DUPLICATE)
-        .when(~last.rlike(SENTENCE_ENDS), _TRUNCATED)
-        .otherwise(_FINE)
-    )
-    return known.join(repeated, same, "left").select(
-        "conv_id", "turn.known", "turn.at", "role", "digest", "text", fault.alias("fault")
+    marks = turns.join(first, same).where(turn > F.col("first"))
+    return known.unionByName(
+        marks.select(*ORDER, F.lit(None).cast("string").alias("text"), F.lit(_DUPLICATE).alias("fault"))
     )
 
 
@@ -276,10 +279,13 @@ def _cut(schema: pa.Schema):
             for r in rows:
                 if r["role"] is None:
                     continue
+                key = (r["known"], r["at"], r["digest"])
+                if r["text"] is None:
+                    before = key
+                    continue
                 if len(block.roles) >= BLOCK_ROWS or block.chars >= BLOCK_CHARS:
                     yield block.row(conv_id, number)
                     number, block, cut = number + 1, _Block(), cut + 1
-                key = (r["known"], r["at"], r["digest"])
                 fault = _DUPLICATE if key == before and r["fault"] != _BLANK else r["fault"]
                 before = key
                 block.add(r["at"] if r["known"] else None, r["role"], r["text"], fault)
@@ -307,7 +313,7 @@ def chain(blocks: list[dict]) -> list[dict]:
         reach = {entry: cost for entry, (cost, _, _) in best.items()}
     state, out = START, []
     for block, choice in zip(blocks, reversed(choices)):
-        out.append({"block": block["block"], "entry": state, "exit": choice[state], "last": False})
+        out.append({"conv_id": block["conv_id"], "block": block["block"], "entry": state, "exit": choice[state], "last": False})
         state = choice[state]
     whole = {name: sum(b[name] for b in blocks) for name in ("blank", "duplicate", "truncated", "illegal")}
     with_rows = [b for b in blocks if b["rows"]]
@@ -350,14 +356,24 @@ def applied(block: dict) -> Iterator[tuple[str, str | None, str | None]]:
 
 
 def planned(rows: DataFrame) -> DataFrame:
-    """Blocks with the states that the lightest repair of their conversation has at their ends, in order."""
-    order = ["conv_id", "known", "at", "role", "digest"]
-    cut = _judged(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    """Blocks, each behind a row with the states that the lightest repair of its conversation has at its ends."""
+    cut = _judged(rows).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER, F.col("text").isNotNull())
     blocks = stored(cut.mapInArrow(_cut(_arrow(BLOCKS)), BLOCKS), "repair-blocks")
     tables = blocks.drop("audits", "roles", "texts").repartition("conv_id").sortWithinPartitions("conv_id", "block")
     plan = tables.mapInArrow(_chained(_arrow(PLAN)), PLAN)
     texts = blocks.select("conv_id", "block", "paths", "audits", "roles", "texts")
-    return texts.join(plan, "block").repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    both = plan.unionByName(texts, allowMissingColumns=True).repartition("conv_id")
+    return both.sortWithinPartitions("conv_id", "block", F.col("texts").isNotNull())
+
+
+def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks with their plan."""
+    plan = {}
+    for row in _rows(batches):
+        if row["texts"] is None:
+            plan = row
+        else:
+            yield plan | {name: row[name] for name in ("paths", "audits", "roles", "texts")}
 
 
 def repaired_rows(rows: DataFrame) -> DataFrame:
@@ -365,7 +381,7 @@ def repaired_rows(rows: DataFrame) -> DataFrame:
     schema = _arrow(ROWS)
 
     def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for block in _rows(batches):
+        for block in _planned(batches):
             for place, (edit, role, text) in enumerate(applied(block)):
                 if edit != "D":
                     yield {"conv_id": block["conv_id"], "block": block["block"], "place": place, "edit": edit, "role": role, "text": text}
@@ -385,7 +401,7 @@ def repair(rows: DataFrame) -> DataFrame:
     figures = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for conv_id, blocks in groupby(_rows(batches), key=lambda b: b["conv_id"]):
+        for conv_id, blocks in groupby(_planned(batches), key=lambda b: b["conv_id"]):
             digest, audit, first = hashlib.sha256(), [], True
             for block in blocks:
                 for edit, role, text in applied(block):
