@@ -45,7 +45,7 @@ SHARE_PERCENT, EPOCHS = 150, 2
 #: Knots (time, weight) of the schedules, by rank of the source, repeating: early, steady and late sources.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.5)))
 #: Documents that a bucket holds on average, at most.
-BUCKET = 2_000
+BUCKET = 500
 _DIGEST_BITS = 60
 
 Schedule = Sequence[tuple[float, float]]
