@@ -23,12 +23,15 @@ class Thresholds:
 class Settings:
     """Locations and parameters of the batch jobs.
 
-    ``root`` is a folder every executor can reach; all stage datasets, the
-    model and the metrics report live below it.
+    ``root`` is a folder every executor can reach; the versions of all stages
+    and models live below it. ``run_id`` names a run: a run that is repeated
+    under its name replaces its ledger entries instead of adding to them.
     """
 
     root: str
     raw_csv: str | None = None
+    multi_line: bool = False
+    run_id: str | None = None
     database: str = "risk_mart"
     run_date: date | None = None
     min_rows: int = 1000
@@ -44,30 +47,6 @@ class Settings:
     def as_of(self) -> date:
         return self.run_date or datetime.now(timezone.utc).date()
 
-    @property
-    def raw_path(self) -> str:
-        return f"{self.root}/raw"
-
-    @property
-    def features_path(self) -> str:
-        return f"{self.root}/features"
-
-    @property
-    def scores_path(self) -> str:
-        return f"{self.root}/scores"
-
-    @property
-    def snapshots_path(self) -> str:
-        return f"{self.root}/customer_snapshots"
-
-    @property
-    def model_path(self) -> str:
-        return f"{self.root}/model"
-
-    @property
-    def metrics_path(self) -> str:
-        return f"{self.root}/train_metrics"
-
     @property
     def uploads_path(self) -> str:
         return f"{self.root}/uploads"

@@ -130,10 +130,11 @@ def threshold_alerts(scores: DataFrame, limits: Thresholds = Thresholds()) -> Da
     return alerts_of(score_totals(scores), limits)
 
 
-def alerts_of(totals: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """The newest of the given sums per date against their limits."""
+def alerts_of(totals: DataFrame, limits: Thresholds = Thresholds(), newest: bool = True) -> DataFrame:
+    """The newest of the given sums per date, or all of them, against their limits."""
     mean = F.try_divide("probability", "rated").alias("mean")
-    latest = totals.orderBy(F.desc("snapshot_date")).limit(1).select("snapshot_date", "total", mean)
+    shown = totals.orderBy(F.desc("snapshot_date")).limit(1) if newest else totals
+    latest = shown.select("snapshot_date", "total", mean)
     date, total, mean = F.col("snapshot_date"), F.col("total"), F.col("mean")
     day = date.cast("string")
     rows = [

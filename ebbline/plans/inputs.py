@@ -20,6 +20,8 @@ from ebbline.operators.snapshots import customer_snapshots
 from ebbline.schemas import RAW_COLUMNS, REQUEST_COLUMNS
 
 RUN_DATE = date(2001, 8, 1)
+#: A run a month before.
+EARLIER_DATE = date(2001, 7, 1)
 
 # The names of the foreign dataset, in record column order: synonyms in several spellings.
 FOREIGN_NAMES = [
@@ -180,6 +182,11 @@ def rule_score(df: DataFrame) -> DataFrame:
     return df.withColumn("churn_probability", clip(raw, 0.01, 0.99))
 
 
+def contract_score(df: DataFrame) -> DataFrame:
+    """Add a churn probability by another rule, as a newer model would."""
+    return df.withColumn("churn_probability", F.expr(SCORECARDS["contract"]))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_features(clean_raw(telco_raw(spark, sf_dir)))
 

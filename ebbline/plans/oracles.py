@@ -293,6 +293,10 @@ _SNAP_CHAIN = (*_SCORE_CHAIN, "customer_months", "noise", "snapshots")
 _SNAPS = _with(*_SNAP_CHAIN)
 _SUITE_CHAIN = (*_SNAP_CHAIN, "drift", "alerts", "suite")
 _LEDGER = _with(*_SUITE_CHAIN, "ledger")
+_HISTORY = f"""{_SNAPS}, stored_months as (
+    select * from snapshots where snapshot_date = '2001-08-31'
+    union all select * replace (last_day((snapshot_date - to_months(1))::date) as snapshot_date) from snapshots
+      where customerID in (select customerID from scores where tenure >= 12))"""
 _UPLOAD_CHAIN = ("telco_raw", "foreign_set", "upload")
 _SPLIT = _with(*_FEATURE_CHAIN, "split")
 
@@ -389,6 +393,10 @@ def oracle_sql() -> dict[str, str]:
         "mart_scores_daily": f"{_SCORES} select {_mart(SCORE_COLUMNS)} from scores",
         "mart_customer_snapshots": f"{_SNAPS} select {_mart(SNAPSHOT_COLUMNS)} from snapshots",
         "mart_drift_append": f"""{_with(*_SUITE_CHAIN)} {_METRICS} suite union all {_METRICS} suite""",
+        "mart_drift_rerun": f"""{_with(*_SUITE_CHAIN)}, runs(run_id) as (values ('monday'), ('tuesday')),
+            shown as ({_METRICS} suite) select run_id, shown.* from runs, shown""",
+        "mart_snapshot_history": f"""{_HISTORY} select {_mart(SNAPSHOT_COLUMNS)} from stored_months""",
+        "history_drift": f"{_HISTORY}, {_deltas('old_drift', 'stored_months')} {_METRICS} old_drift",
         "clean_total_charges": f"{_RAW} select customerID, {_number('TotalCharges')} as TotalCharges from telco_raw",
         "clean_churn_label": f"{_CLEAN} select customerID, Churn from clean",
         "clean_trim": f"""{_RAW} select {", ".join(f"{_trim(c)} as {c}" for c in TEXT_COLUMNS)} from telco_raw""",
@@ -575,6 +583,24 @@ def oracle_sql() -> dict[str, str]:
             union all select 'features', count(*) from features
             union all select 'scores_daily', count(*) from scores
             union all select 'customer_snapshots', count(*) from snapshots""",
+        "job_restart": f"""{_SCORES}, runs(day) as (values (date '2001-07-01'), (date '2001-08-01'))
+            select {_mart([c for c in SCORE_COLUMNS if c != "snapshot_date"])}, day as snapshot_date,
+              1::bigint as features_made, date '2001-07-01' as readable from scores, runs""",
+        "job_dashboard": f"""{_SCORES} select customerID, Contract, PaymentMethod, MonthlyCharges, churn_probability,
+            expected_months_remaining, revenue_at_risk, risk_segment from scores
+            where risk_segment = 'medium' and Contract = 'Two year'
+            order by revenue_at_risk desc, churn_probability desc, customerID limit 50""",
+        "job_mart_contents": f"{_SNAPS} select {_mart(SNAPSHOT_COLUMNS)} from snapshots",
+        "stream_model_change": f"""{_with("telco_raw", "clean", "prepared", "features", "scores", "requests", "violations")},
+            rated as (select * replace (case when substr(customerID, 10)::bigint % 2 = 0 then churn_probability
+                else {SCORECARDS["contract"]} end as churn_probability),
+                case when substr(customerID, 10)::bigint % 2 = 0 then 'steady' else 'contract' end as model from scores
+              where customerID in (select customerID from violations where violations = ''))
+            select model, customerID as customer_id, {_even("churn_probability", 6)} as churn_probability,
+              {_even("monthly_revenue", 2)} as monthly_revenue,
+              {_even("expected_months_remaining", 2)} as expected_months_remaining,
+              {_even(_even("churn_probability * monthly_revenue * expected_months_remaining", 2), 2)} as revenue_at_risk,
+              {_segment("churn_probability")} as risk_segment from rated""",
         "stream_score": f"""{_with("telco_raw", "clean", "prepared", "features", "scores", "requests", "violations")}
             select customerID as customer_id, {_even("churn_probability", 6)} as churn_probability,
               {_even("monthly_revenue", 2)} as monthly_revenue,

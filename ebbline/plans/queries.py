@@ -7,6 +7,7 @@ because the order of summation differs between engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, time, timedelta
 from functools import reduce
 
@@ -136,9 +137,41 @@ def mart_drift_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     suite = monitoring.monitoring_suite(inputs.snapshots(spark, sf_dir), inputs.scores(spark, sf_dir))
     mart.append_metrics(suite)
     mart.append_metrics(suite)
+    return _metrics(mart.read("drift_metrics").drop("metric_id", "created_at", "run_id"))
+
+
+@_register
+def mart_drift_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs under two names: the repeated one replaces its rows."""
+    mart = _mart(spark)
+    suite = monitoring.monitoring_suite(inputs.snapshots(spark, sf_dir), inputs.scores(spark, sf_dir))
+    for run_id in ("monday", "tuesday", "monday"):
+        mart.append_metrics(suite, run_id)
     return _metrics(mart.read("drift_metrics").drop("metric_id", "created_at"))
 
 
+def _history(spark: SparkSession, sf_dir: str) -> Mart:
+    """Snapshots of two loads, the later one twice: a month before the run date for long-standing customers, then all."""
+    mart, scores = _mart(spark), inputs.scores(spark, sf_dir)
+    mart.load_snapshots(snap.customer_snapshots(scores.where(F.col("tenure") >= 12), inputs.EARLIER_DATE))
+    for _ in range(2):
+        mart.load_snapshots(snap.customer_snapshots(scores, inputs.RUN_DATE, periods=1))
+    return mart
+
+
+@_register
+def mart_snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).read("customer_snapshots")
+
+
+@_register
+def history_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift between the two newest months that the mart holds, each from a load of its own."""
+    stored = reports.latest_only(_history(spark, sf_dir).read("customer_snapshots"), dates=2)
+    drift = monitoring.data_drift(stored).unionByName(monitoring.prediction_drift(stored))
+    return _metrics(drift)
+
+
 # --- cleaning ----------------------------------------------------------------
 
 
@@ -621,10 +654,65 @@ def upload_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_refresh_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "job")
     settings = Settings(root=root, database="mart_" + root.rsplit("-", 1)[1], run_date=inputs.RUN_DATE)
-    files.write_stage(clean.clean_raw(inputs.telco_raw(spark, sf_dir)), settings.raw_path)
+    jobs.stages(spark, settings).put("raw", clean.clean_raw(inputs.telco_raw(spark, sf_dir)))
     return jobs.refresh_mart(spark, settings, inputs.rule_score)
 
 
+def _fails(df: DataFrame) -> DataFrame:
+    raise RuntimeError("The run ends here.")
+
+
+@_register
+def job_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs, of which the second dies behind its features and is run again.
+
+    The result is the mart's scores of both dates, with how often features were
+    made in all, and the date of the scores that were readable after the failure.
+    """
+    root = scratch_dir(spark, "job")
+    csv = f"{root}/customers.csv"
+    files.write_raw_csv(inputs.telco_raw(spark, sf_dir), csv)
+    settings = Settings(
+        root=f"{root}/stages", raw_csv=csv, database="mart_" + root.rsplit("-", 1)[1], run_date=inputs.EARLIER_DATE, min_rows=1
+    )
+    store = jobs.stages(spark, settings)
+
+    def run(run_settings: Settings, predictor: Callable[[DataFrame], DataFrame]) -> None:
+        jobs.ingest(spark, run_settings)
+        jobs.refresh_mart(spark, run_settings, predictor)
+
+    run(settings, inputs.rule_score)
+    later = replace(settings, run_date=inputs.RUN_DATE)
+    try:
+        run(later, _fails)
+    except RuntimeError:
+        readable = store.read("scores").agg(F.max("snapshot_date")).first()[0]
+    run(later, inputs.rule_score)
+    made = store.log().where(F.col("stage") == "features").count()
+    scores = jobs.mart(spark, later).read("scores_daily")
+    return _untimed(scores).withColumns({"features_made": F.lit(made).cast("bigint"), "readable": F.lit(readable)})
+
+
+@_register
+def job_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer list of the dashboard over stored scores."""
+    settings = Settings(root=scratch_dir(spark, "job"), run_date=inputs.RUN_DATE)
+    store = jobs.stages(spark, settings)
+    store.put("scores", inputs.scores(spark, sf_dir), by_date=True)
+    store.put("customer_snapshots", inputs.snapshots(spark, sf_dir), by_date=True)
+    return jobs.dashboard(spark, settings, "medium", "Two year").explorer
+
+
+@_register
+def job_mart_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mart's snapshots hold after a refresh."""
+    root = scratch_dir(spark, "job")
+    settings = Settings(root=root, database="mart_" + root.rsplit("-", 1)[1], run_date=inputs.RUN_DATE)
+    jobs.stages(spark, settings).put("raw", clean.clean_raw(inputs.telco_raw(spark, sf_dir)))
+    jobs.refresh_mart(spark, settings, inputs.rule_score)
+    return jobs.mart(spark, settings).read("customer_snapshots")
+
+
 def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoring requests as a stream of files."""
     path = scratch_dir(spark, "requests")
@@ -648,6 +736,22 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("customerID", "record_status", F.array_join("violations", ", ").alias("violations"))
 
 
+@_register
+def stream_model_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrivals with another model between them: how many records each model rated, and what it made of them."""
+    path, arrivals = scratch_dir(spark, "rated"), scratch_dir(spark, "arrivals")
+    requests = inputs.telco_requests(spark, sf_dir)
+    models = {"steady": inputs.rule_score, "contract": inputs.contract_score}
+    state = scratch_dir(spark, "rated-state")
+    for parity, (name, predictor) in enumerate(models.items()):
+        arrived = requests.where(F.expr(f"cast(substr(customerID, 10) as bigint) % 2 = {parity}"))
+        arrived.write.mode("append").parquet(arrivals)
+        records = streaming.read_records(spark, arrivals)
+        newest = lambda name=name, predictor=predictor: (name, predictor)
+        streaming.model_stream(records, newest, path, state, snapshot_date=inputs.RUN_DATE).awaitTermination()
+    return spark.read.parquet(path).drop("batch_id")
+
+
 @_register
 def stream_threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = scratch_dir(spark, "alerts"), scratch_dir(spark, "alerts-state")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +42,22 @@ MART_TABLES = {
     """,
     "drift_metrics": """
         metric_id string, snapshot_date date, metric_name string, metric_scope string,
-        metric_value double, threshold_value double, status string, details string, created_at timestamp
+        metric_value double, threshold_value double, status string, details string, created_at timestamp,
+        run_id string
     """,
     "model_registry": """
         model_version string, model_name string, model_type string, auc_score double,
         precision_score double, recall_score double, f1_score double, artifact_path string,
-        preprocessor_path string, registered_at timestamp
+        preprocessor_path string, registered_at timestamp, run_id string
     """,
 }
-BY_DATE = ("scores_daily", "customer_snapshots")
+#: What a load replaces: the dates that it holds, or the run that it is.
+PARTITIONS = {
+    "scores_daily": "snapshot_date",
+    "customer_snapshots": "snapshot_date",
+    "drift_metrics": "run_id",
+    "model_registry": "run_id",
+}
 LOAD_TIMES = ("created_at", "updated_at", "loaded_at")
 
 
@@ -56,8 +66,21 @@ def snake_case(name: str) -> str:
     return re.sub("(?<=[a-z])(?=[A-Z])", "_", name).lower()
 
 
+@contextmanager
+def _only_given_partitions(spark: SparkSession) -> Iterator[None]:
+    """An overwrite replaces the partitions that its rows fall into, and no other."""
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class Mart:
-    """Tables of one database; loads replace, ledgers append.
+    """Tables of one database. Customers and features are replaced whole, scores and snapshots date by date,
+    and ledgers run by run: a date or a run that is written again replaces itself.
 
     With a location every table is external, in a folder of its own below it.
     The files then outlast the session's catalog: another session that creates
@@ -77,24 +100,26 @@ class Mart:
         """Create database and tables where they do not exist yet."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
         for table, columns in MART_TABLES.items():
-            layout = " PARTITIONED BY (snapshot_date)" if table in BY_DATE else ""
+            layout = f" PARTITIONED BY ({PARTITIONS[table]})" if table in PARTITIONS else ""
             place = f" LOCATION '{self.location.rstrip('/')}/{table}'" if self.location else ""
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet{layout}{place}")
             if layout and self.location:
                 # An append of nothing makes the folder where it is new; what it holds is then looked up.
                 nothing = self.spark.createDataFrame([], StructType.fromDDL(columns))
-                nothing.write.mode("append").partitionBy("snapshot_date").parquet(f"{self.location.rstrip('/')}/{table}")
+                nothing.write.mode("append").partitionBy(PARTITIONS[table]).parquet(f"{self.location.rstrip('/')}/{table}")
                 self.spark.sql(f"ALTER TABLE {self.name(table)} RECOVER PARTITIONS")
 
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
-    def _payload(self, table: str, df: DataFrame) -> DataFrame:
+    def _payload(self, table: str, df: DataFrame, run_id: str | None = None) -> DataFrame:
         """Rename, project and cast to the table's columns, in its order."""
         named = df.toDF(*[snake_case(c) for c in df.columns])
         columns = []
         for field in self.read(table).schema.fields:
-            if field.name in named.columns:
+            if field.name == "run_id":
+                value = F.lit(run_id)
+            elif field.name in named.columns:
                 value = F.col(field.name)
             elif field.name in LOAD_TIMES:
                 value = F.current_timestamp()
@@ -106,10 +131,19 @@ class Mart:
         return named.select(*columns)
 
     def replace(self, table: str, df: DataFrame) -> None:
+        """The table holds these rows and no other."""
         self._payload(table, df).write.insertInto(self.name(table), overwrite=True)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        self._payload(table, df).write.insertInto(self.name(table))
+    def replace_dates(self, table: str, df: DataFrame) -> None:
+        """The dates of these rows hold them alone; other dates stay as they are."""
+        with _only_given_partitions(self.spark):
+            self.replace(table, df)
+
+    def append(self, table: str, df: DataFrame, run_id: str | None = None) -> None:
+        """Add the rows of a run to a ledger. The same run again replaces its rows; without a name it is a new one."""
+        with _only_given_partitions(self.spark):
+            payload = self._payload(table, df, run_id or uuid4().hex)
+            payload.write.insertInto(self.name(table), overwrite=True)
 
     def load_raw(self, raw: DataFrame) -> None:
         self.replace("customers_raw", raw.withColumnRenamed("Churn", "churn_flag"))
@@ -117,17 +151,17 @@ class Mart:
     def load_features(self, features: DataFrame) -> None:
         self.replace("features", features)
 
-    def load_scores(self, scores: DataFrame) -> None:
-        self.replace("scores_daily", scores)
+    def load_scores(self, scores: DataFrame, keep_dates: bool = True) -> None:
+        (self.replace_dates if keep_dates else self.replace)("scores_daily", scores)
 
-    def load_snapshots(self, snapshots: DataFrame) -> None:
-        self.replace("customer_snapshots", snapshots)
+    def load_snapshots(self, snapshots: DataFrame, keep_dates: bool = True) -> None:
+        (self.replace_dates if keep_dates else self.replace)("customer_snapshots", snapshots)
 
-    def append_metrics(self, metrics: DataFrame) -> None:
-        self.append("drift_metrics", metrics)
+    def append_metrics(self, metrics: DataFrame, run_id: str | None = None) -> None:
+        self.append("drift_metrics", metrics, run_id)
 
-    def append_model(self, registry_row: DataFrame) -> None:
-        self.append("model_registry", registry_row)
+    def append_model(self, registry_row: DataFrame, run_id: str | None = None) -> None:
+        self.append("model_registry", registry_row, run_id)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str, properties: dict[str, str]) -> None:

@@ -2,6 +2,7 @@
 
 from ebbline.streaming.records import (
     alert_stream,
+    model_stream,
     quarantine_stream,
     read_records,
     reject_invalid,
@@ -11,6 +12,7 @@ from ebbline.streaming.records import (
 
 __all__ = [
     "alert_stream",
+    "model_stream",
     "quarantine_stream",
     "read_records",
     "reject_invalid",

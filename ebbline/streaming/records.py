@@ -2,12 +2,15 @@
 
 Every step is a projection or a filter, so the streams keep no state; the same
 functions run on a batch frame and give the same rows. Only the alerts carry
-sums from batch to batch.
+sums from batch to batch, in the state store.
+
+A stream takes the files that are there and ends, or, with a trigger such as
+``{"processingTime": "10 seconds"}``, goes on until it is stopped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,19 +53,55 @@ def score_records(records: DataFrame, predictor: Predictor, snapshot_date: date
     return score_response(_scored(records, predictor, snapshot_date))
 
 
-def score_stream(records: DataFrame, predictor: Predictor, path: str, checkpoint: str) -> StreamingQuery:
+#: What is there now, and no more.
+AT_HAND = {"availableNow": True}
+
+
+def score_stream(
+    records: DataFrame, predictor: Predictor, path: str, checkpoint: str, trigger: Mapping[str, object] = AT_HAND
+) -> StreamingQuery:
     """Append responses to a Parquet folder, exactly once."""
     return (
         score_records(records, predictor)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
 
 
-def quarantine_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def model_stream(
+    records: DataFrame,
+    newest: Callable[[], tuple[str, Predictor]],
+    path: str,
+    checkpoint: str,
+    trigger: Mapping[str, object] = AT_HAND,
+    snapshot_date: date | None = None,
+) -> StreamingQuery:
+    """Responses of the model that is the newest when their batch begins, with its name, below ``batch_id=<n>``.
+
+    ``newest`` is asked once per batch, so a model saved while the stream runs
+    rates the batches after it. A batch that runs again after a failure replaces
+    its own folder, so each record counts once.
+    """
+
+    def rate(batch: DataFrame, batch_id: int) -> None:
+        name, predictor = newest()
+        rated = score_records(batch, predictor, snapshot_date).withColumn("model", F.lit(name))
+        rated.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        records.writeStream.foreachBatch(rate)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def quarantine_stream(
+    records: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = AT_HAND
+) -> StreamingQuery:
     """Append records to a folder split by status, exactly once.
 
     Valid and rejected records are two partitions of one sink, so each record
@@ -74,7 +113,7 @@ def quarantine_stream(records: DataFrame, path: str, checkpoint: str) -> Streami
         .outputMode("append")
         .partitionBy("record_status")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
 
@@ -86,29 +125,25 @@ def alert_stream(
     checkpoint: str,
     snapshot_date: date | None = None,
     limits: Thresholds = Thresholds(),
+    trigger: Mapping[str, object] = AT_HAND,
 ) -> StreamingQuery:
     """Threshold checks over all records so far, stored below ``batch_id=<n>`` after each batch.
 
-    Each batch adds its sums per date to those of the batch before, so that a
-    total does not depend on how the files fall into batches. A batch that runs
-    again after a failure replaces its own folders, so it counts once.
+    The sums per date are a streaming aggregate: each batch updates those of its
+    dates in the state store, and only updated dates are checked. A total does
+    not depend on how the files fall into batches, nor on stops in between,
+    because sums and progress are kept in the same checkpoint. A batch that runs
+    again after a failure replaces its own folder.
     """
-    sums = f"{path.rstrip('/')}_sums"
-
-    def check(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = score_totals(_scored(batch, predictor, snapshot_date))
-        if batch_id:
-            before = spark.read.schema(own.schema).parquet(f"{sums}/batch_id={batch_id - 1}")
-            added = [F.sum(c).alias(c) for c in ("total", "probability", "rated")]
-            own = own.unionByName(before).groupBy("snapshot_date").agg(*added)
-        own.write.mode("overwrite").parquet(f"{sums}/batch_id={batch_id}")
-        totals = spark.read.schema(own.schema).parquet(f"{sums}/batch_id={batch_id}")
-        alerts_of(totals, limits).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    totals = score_totals(_scored(records, predictor, snapshot_date))
+
+    def check(updated: DataFrame, batch_id: int) -> None:
+        alerts_of(updated, limits, newest=False).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
-        records.writeStream.foreachBatch(check)
+        totals.writeStream.outputMode("update")
+        .foreachBatch(check)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

@@ -11,6 +11,7 @@ from ebbline.operators.snapshots import customer_snapshots
 from ebbline.plans.inputs import rule_score
 from ebbline.session import scratch_dir, scratch_root
 from ebbline.sources import files
+from ebbline.sources.stages import StageStore, files_fingerprint, fingerprint
 from ebbline.sources.mart import MART_TABLES, Mart, snake_case
 from ebbline.sources.uploads import UploadStore
 
@@ -133,13 +134,84 @@ def test_mart(spark, telco, tmp_path):
         mart.load_features(features.drop("tenure_bucket"))
 
 
-def test_replacing_scores_drops_the_old_date(spark, telco, tmp_path):
+def test_scores_are_kept_by_date(spark, telco, tmp_path):
     mart = Mart(spark, "mart_replace", str(tmp_path / "mart"))
     mart.create()
-    for day in (date(2001, 8, 1), date(2001, 8, 2)):
-        mart.load_scores(batch_scores(rule_score(build_features(telco)), day))
-    dates = [r[0] for r in mart.read("scores_daily").select("snapshot_date").distinct().collect()]
-    assert dates == [date(2001, 8, 2)]
+    features, days = build_features(telco), (date(2001, 8, 1), date(2001, 8, 2))
+
+    def dates():
+        counted = mart.read("scores_daily").groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"))
+        return {r["snapshot_date"]: r["n"] for r in counted.collect()}
+
+    rows = telco.count()
+    for day in days:
+        mart.load_scores(batch_scores(rule_score(features), day))
+    assert dates() == dict.fromkeys(days, rows)
+    mart.load_scores(batch_scores(rule_score(features.where("tenure > 5")), days[1]))
+    assert dates() == {days[0]: rows, days[1]: telco.where("tenure > 5").count()}
+    mart.load_scores(batch_scores(rule_score(features), date(2001, 8, 3)), keep_dates=False)
+    assert dates() == {date(2001, 8, 3): rows}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_a_run_replaces_its_own_entries(spark, tmp_path):
+    mart = Mart(spark, "mart_runs", str(tmp_path / "mart"))
+    mart.create()
+    schema = "snapshot_date date, metric_name string, metric_scope string, metric_value double, threshold_value double, status string, details string, run_id string"
+
+    def append(value, *run):
+        row = (date(2001, 8, 1), "m", "s", value, 1.0, "ok", "d", "not the name of the run")
+        mart.append_metrics(spark.createDataFrame([row], schema), *run)
+
+    for value, run in ((1.0, "a/1 x=y"), (2.0, "b"), (3.0, "a/1 x=y")):
+        append(value, run)
+    assert {(r["run_id"], r["metric_value"]) for r in mart.read("drift_metrics").collect()} == {("a/1 x=y", 3.0), ("b", 2.0)}
+    append(4.0)
+    append(4.0)
+    assert mart.read("drift_metrics").count() == 4
+
+
+class TestStages:
+    def test_a_version_holds_once_it_is_logged(self, spark, tmp_path):
+        store = StageStore(spark, str(tmp_path))
+        with pytest.raises(FileNotFoundError, match="never written"):
+            store.read("numbers")
+        assert store.current("numbers") is None and store.log().isEmpty()
+        assert store.put("numbers", spark.range(3), fingerprint(rows=3))
+        before = store.read("numbers")
+
+        def dies(path):
+            spark.range(9).write.parquet(path)
+            raise RuntimeError("lost")
+
+        with pytest.raises(RuntimeError, match="lost"):
+            store.run("numbers", fingerprint(rows=9), dies)
+        assert store.read("numbers").count() == 3
+        assert store.put("numbers", spark.range(9), fingerprint(rows=9))
+        assert store.read("numbers").count() == 9 and before.count() == 3
+        assert store.vacuum("numbers", keep=2) == 1 and before.count() == 3
+        assert store.vacuum("numbers") == 1 and store.read("numbers").count() == 9
+
+    def test_equal_inputs_are_not_made_again(self, spark, tmp_path):
+        store, made = StageStore(spark, str(tmp_path)), []
+
+        def write(path):
+            made.append(path)
+            spark.range(1).write.parquet(path)
+
+        for key in ("a", "a", "b", "a", None, None):
+            store.run("s", key and fingerprint(key=key), write)
+        assert len(made) == 5
+        other = StageStore(spark, str(tmp_path))
+        assert other.folder("s") == made[-1] and other.current("s").position == 5
+
+    def test_files_are_told_apart_by_name_size_and_time(self, spark, tmp_path):
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.csv").write_text("a,b\n1,2\n")
+        one = files_fingerprint(spark, str(tmp_path / "in"))
+        assert one == files_fingerprint(spark, str(tmp_path / "in"))
+        (tmp_path / "in" / "b.csv").write_text("a,b\n")
+        assert files_fingerprint(spark, str(tmp_path / "in")) != one
 
 
 def test_mart_outlives_the_catalog(spark, telco, tmp_path):
