@@ -462,6 +462,17 @@ def oracle_sql() -> dict[str, str]:
         "class_weights": f"""{_FEATURES} select churn_flag, count(*) as class_rows,
             {_even("(select count(*) from features) / (2.0::double * count(*))", 9)} as class_weight
             from features group by churn_flag""",
+        "train_lr_scores": f"""{_SPLIT} select customerID, churn_flag, split, true as in_range,
+            (select count(*) from split where split = 'train') as train_rows, true as optimal, true as balanced from split""",
+        "train_rf_scores": f"""{_SPLIT} select customerID, churn_flag, split, true as in_range, 400::bigint as trees,
+            true as depth_held, true as leaves_held, true as features_known, true as rows_add_up from split""",
+        "model_selection": """select position::integer as position, model_type, true as better_than_chance, true as in_range,
+            true as f1_fits, true as choice_fits, 1::bigint as chosen
+            from (values (1, 'logistic_regression'), (2, 'random_forest')) candidates(position, model_type)""",
+        "registry_row": """select 'subscriber_risk' as model_name, 'once' as run_id, true as version_fits,
+            true as figures_fit, true as model_fits, true as one_artifact, true as dated""",
+        "upload_model_preview": f"""{_RAW} select unnest(range(1, least(count(*), 15) + 1)) as place, true as known,
+            true as in_range, true as months_fit, true as segment_fits, true as none_above from telco_raw""",
         "eval_auc": f"""{_SCORES}, rated as (select churn_flag, churn_probability as p from scores), {_auc("rated")}
             select {_even("auc", 6)} as auc from auc""",
         "eval_threshold_metrics": f"{_SCORES}, counts as (select {_COUNTS} from scores) {_THRESHOLD} from counts",

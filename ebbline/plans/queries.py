@@ -10,15 +10,18 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, time, timedelta
 from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import Settings
-from ebbline.functions import round_even
+from ebbline.functions import risk_segment, round_even
 from ebbline.operators import (
+    certify,
     clean,
     evaluate,
     mapping,
@@ -41,6 +44,9 @@ from ebbline.sources.mart import LOAD_TIMES, Mart
 from ebbline.sources.uploads import UploadStore
 from ebbline import streaming
 
+#: How far a loss may be above its least, and how steep it may be, for a model to count as fitted.
+GAP, SLOPE = 1e-4, 1e-3
+
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
 
@@ -342,20 +348,53 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(train.class_weights(inputs.features(spark, sf_dir)), 9, "class_weight")
 
 
-def _trained_scores(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = inputs.features(spark, sf_dir)
-    trained = train.train_models(rows, names=(name,))
-    return scoring.predict(rows, trained.model).select("customerID", LABEL, "churn_probability")
+def _rated(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """Customers with their side of the split, and whether their probability is one."""
+    p = F.col("churn_probability")
+    split_rows = split.stratified_split(rows)
+    rated = scoring.predict(split_rows, model)
+    return rated.select("customerID", LABEL, "split", (p.isNotNull() & p.between(0, 1)).alias("in_range"))
 
 
 @_register
 def train_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained_scores(spark, sf_dir, "logistic_regression")
+    """Customers rated by logistic regression, with the proof that its loss can fall no further than ``GAP``.
+
+    Coefficients differ between optimisers; the slope of the loss tells an
+    optimum whoever found it. ``balanced`` is the intercept's condition: rated
+    and labelled weight agree.
+    """
+    rows = inputs.features(spark, sf_dir)
+    model = train.train_models(rows, names=("logistic_regression",)).model
+    own = split.stratified_split(rows).where(F.col("split") == "train")
+    prepared = train.training_rows(preprocess.model_input(own, LABEL), PipelineModel(model.stages[:-1]))
+    slope = certify.logistic_gradient(prepared, model.stages[-1])
+    return _rated(rows, model).withColumns(
+        {
+            "train_rows": F.lit(slope.rows).cast("bigint"),
+            "optimal": F.lit(slope.gap <= GAP and slope.largest <= SLOPE),
+            "balanced": F.lit(slope.intercept <= SLOPE),
+        }
+    )
 
 
 @_register
 def train_rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained_scores(spark, sf_dir, "random_forest")
+    """Customers rated by the forest, with what its saved node table says: size, depth, leaves, features, row counts."""
+    rows = inputs.features(spark, sf_dir)
+    model = train.train_models(rows, names=("random_forest",)).model
+    path = scratch_dir(spark, "model")
+    model.write().save(path)
+    shape = certify.forest_shape(certify.forest_nodes(spark, path))
+    return _rated(rows, train.load_model(path)).withColumns(
+        {
+            "trees": F.lit(shape.trees).cast("bigint"),
+            "depth_held": F.lit(1 <= shape.depth <= 10),
+            "leaves_held": F.lit(shape.smallest_leaf >= 5),
+            "features_known": F.lit(0 <= shape.largest_feature < model.stages[-1].numFeatures),
+            "rows_add_up": F.lit(shape.uneven_nodes == 0),
+        }
+    )
 
 
 @_register
@@ -371,15 +410,46 @@ def eval_threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.model_selection(train.train_models(inputs.features(spark, sf_dir)))
+    """The candidates: whether their figures are possible and better than chance, and whether the best one was chosen."""
+    chosen = train.model_selection(train.train_models(inputs.features(spark, sf_dir)))
+    best = Window.orderBy(F.desc("auc"), "position").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    figures = ["precision", "recall", "f1"]
+    harmonic = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return chosen.select(
+        "position",
+        "model_type",
+        (F.col("auc") > 0.5).alias("better_than_chance"),
+        reduce(and_, [F.col(c).between(0, 1) for c in (*figures, "auc")]).alias("in_range"),
+        (F.abs(F.col("f1") - F.coalesce(harmonic, F.lit(0.0))) < 1e-9).alias("f1_fits"),
+        (F.col("selected") == (F.col("model_type") == F.first("model_type").over(best))).alias("choice_fits"),
+        F.sum(F.col("selected").cast("bigint")).over(best).alias("chosen"),
+    )
 
 
 @_register
 def registry_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trained = train.train_models(inputs.features(spark, sf_dir))
+    """The registry entry of a saved model, held against its report and against the model that its path gives."""
+    rows = inputs.features(spark, sf_dir)
+    trained = train.train_models(rows)
     model_path, metrics_path = scratch_dir(spark, "model"), scratch_dir(spark, "metrics")
     train.save_model(trained, model_path, metrics_path)
-    return train.registry_row(spark, metrics_path, model_path)
+    mart = _mart(spark)
+    for _ in range(2):
+        mart.append_model(train.registry_row(spark, metrics_path, model_path), "once")
+    entries = mart.read("model_registry")
+    best = trained.metrics.where(F.col("model_type") == trained.selected)
+    test = split.stratified_split(rows).where(F.col("split") == "test")
+    area = evaluate.auc(scoring.predict(test, train.load_model(entries.first()["artifact_path"])))
+    same = [F.col(f"{c}_score") == F.col(c) for c in ("auc", "precision", "recall", "f1")]
+    return entries.join(best, "model_type").select(
+        "model_name",
+        "run_id",
+        F.col("model_version").rlike("^v[0-9]{8}_[0-9]{6}$").alias("version_fits"),
+        reduce(and_, same).alias("figures_fit"),
+        (F.abs(F.col("auc_score") - F.lit(area)) < 1e-9).alias("model_fits"),
+        (F.col("artifact_path") == F.col("preprocessor_path")).alias("one_artifact"),
+        F.col("registered_at").isNotNull().alias("dated"),
+    )
 
 
 # --- scoring -----------------------------------------------------------------
@@ -620,10 +690,31 @@ def upload_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def upload_model_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preview with the model selected on the labelled records."""
+    """The preview with the model selected on the labelled records: each place held against the uploaded records.
+
+    ``months_fit``: the revenue at risk is the probability times the charges
+    times the months that contract and tenure give; ``none_above``: no other
+    record has more at risk than the last one shown.
+    """
     trained = train.train_models(inputs.features(spark, sf_dir))
     rated = scoring.predict(_upload_features(spark, sf_dir), trained.model)
-    return reports.upload_preview(scoring.score_output(rated, inputs.RUN_DATE))
+    path = scratch_dir(spark, "rated")
+    files.write_stage(scoring.score_output(rated, inputs.RUN_DATE), path)
+    scored = files.read_stage(spark, path)
+    shown = reports.upload_preview(scored).withColumn("place", F.row_number().over(Window.orderBy(F.desc("revenue_at_risk"), "customerID")))
+    own = inputs.telco_foreign(spark, sf_dir).toDF(*REQUEST_COLUMNS)
+    own = own.select("customerID", F.col("MonthlyCharges").alias("charges"), scoring.expected_months().alias("months"))
+    least = shown.agg(F.min("revenue_at_risk").alias("least")).scalar()
+    above = scored.agg(F.count_if(F.col("revenue_at_risk") > least).alias("above")).scalar()
+    expected = scoring.revenue_at_risk(F.col("churn_probability"), F.col("charges"), F.col("months"))
+    return shown.join(own, "customerID", "left").select(
+        F.col("place").cast("bigint").alias("place"),
+        (F.col("MonthlyCharges") == F.col("charges")).alias("known"),
+        F.col("churn_probability").between(0, 1).alias("in_range"),
+        (F.col("revenue_at_risk") == expected).alias("months_fit"),
+        F.col("risk_segment").eqNullSafe(risk_segment()).alias("segment_fits"),
+        (above < F.lit(15)).alias("none_above"),
+    )
 
 
 @_register

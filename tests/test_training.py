@@ -4,9 +4,10 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from ebbline.operators import evaluate, preprocess, ranks, train
+from ebbline.operators import certify, evaluate, preprocess, ranks, train
 from ebbline.operators.features import build_features
 from ebbline.operators.scoring import predict
 from ebbline.operators.split import held_out_counts, stratified_split
@@ -213,3 +214,33 @@ def test_columns_that_cannot_be_learned(features):
         preprocess.fit_preprocessor(features.withColumn("tenure", F.lit(None).cast("bigint")))
     with pytest.raises(ValueError, match="Not usable as categories"):
         preprocess.fit_preprocessor(features.withColumn("gender", F.lit(None).cast("string")))
+
+
+class TestCertificates:
+    def test_gradient_vanishes_at_the_optimum_only(self, spark):
+        own = np.random.default_rng(5)
+        x = own.normal(size=(300, 3))
+        y = (own.random(300) < 1 / (1 + np.exp(-x @ [1.0, -2.0, 0.5]))).astype(int)
+        weighted = [(Vectors.dense(v), int(t), 2.0 if t else 0.5) for v, t in zip(x, y)]
+        rows = spark.createDataFrame(weighted, ["features", "churn_flag", "class_weight"])
+        fitted = train.logistic_regression(300).fit(rows)
+        early = train.logistic_regression(300).setMaxIter(2).fit(rows)
+        at_end, before = certify.logistic_gradient(rows, fitted), certify.logistic_gradient(rows, early)
+        assert at_end.rows == 300 and at_end.largest < 1e-5 and at_end.intercept < 1e-5 and at_end.gap < 1e-6
+        assert before.largest > 1e-3 and before.gap > at_end.gap
+
+        w = np.where(y, 2.0, 0.5)
+        p = 1 / (1 + np.exp(-(x @ early.coefficients.toArray() + early.intercept)))
+        slope = (w * (p - y)) @ x / w.sum() + early.coefficients.toArray() / 300
+        assert before.largest == pytest.approx(np.abs(slope).max()) and before.gap == pytest.approx(slope @ slope * 150)
+
+    def test_forest_shape_is_what_the_trees_say(self, spark, telco, tmp_path):
+        model = train.train_models(build_features(telco), trees=7, depth=4, names=("random_forest",)).model
+        model.write().save(str(tmp_path / "model"))
+        nodes = certify.forest_nodes(spark, str(tmp_path / "model"))
+        shape, forest = certify.forest_shape(nodes), model.stages[-1]
+        assert (shape.trees, shape.depth) == (7, max(t.depth for t in forest.trees))
+        assert nodes.count() == forest.totalNumNodes and shape.uneven_nodes == 0
+        assert shape.smallest_leaf >= 5 and 0 <= shape.largest_feature < forest.numFeatures
+        broken = nodes.withColumn("rows", F.when(F.col("node") == 0, F.col("rows") + 1).otherwise(F.col("rows")))
+        assert certify.forest_shape(broken).uneven_nodes == 7
