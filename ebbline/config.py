@@ -26,11 +26,13 @@ class Settings:
     ``root`` is a folder every executor can reach; the versions of all stages
     and models live below it. ``run_id`` names a run: a run that is repeated
     under its name replaces its ledger entries instead of adding to them.
+    ``multi_line`` tells whether quoted cells of CSV files hold line breaks; left
+    open, the files are looked through.
     """
 
     root: str
     raw_csv: str | None = None
-    multi_line: bool = False
+    multi_line: bool | None = None
     run_id: str | None = None
     database: str = "risk_mart"
     run_date: date | None = None

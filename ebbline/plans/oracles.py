@@ -588,6 +588,15 @@ def oracle_sql() -> dict[str, str]:
             f"where \"{f}\" is not null order by v limit 3)) as sample_values from foreign_set"
             for i, f in enumerate(FOREIGN_NAMES, start=1)
         ),
+        "profile_sketches": f"{_with('telco_raw', 'foreign_set')} "
+        + " union all ".join(
+            f"select {i} as position, '{f}' as column_name, count(*) as total, "
+            f"{_even(f'count(*) filter ("{f}" is null) / count(*)::double * 100', 1)} as missing_pct, "
+            f'count(distinct "{f}") as exact, true as within_bound from foreign_set'
+            for i, f in enumerate(FOREIGN_NAMES, start=1)
+        ),
+        "src_csv_quoted_breaks": f"""{_RAW} select * replace (replace(PaymentMethod, ' ', chr(10)) as PaymentMethod)
+            from telco_raw""",
         "upload_mapped": f"{_with(*_UPLOAD_CHAIN)} select * from mapped",
         "job_refresh_mart": f"""{_SNAPS}
             select 'customers_raw' as table_name, count(*) as row_count from telco_raw

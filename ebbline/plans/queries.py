@@ -728,6 +728,29 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.withColumn("sample_values", F.array_join("sample_values", " | "))
 
 
+@_register
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of two uploads as one, from their stored sketches; whether each estimate keeps its bound."""
+    foreign = inputs.telco_foreign(spark, sf_dir)
+    store = UploadStore(spark, scratch_dir(spark, "uploads"))
+    halves = [foreign.where(F.expr(f"cast(substr(SUBSCRIBER_ID, 10) as bigint) % 3 {sign} 0")) for sign in ("=", "<>")]
+    estimated = store.profile_together([store.stage(half, "part.parquet") for half in halves])
+    exact = profile.column_profiles(foreign).select("position", F.col("unique_values").alias("exact"))
+    within = F.abs(F.col("unique_values") - F.col("exact")) <= F.ceil(F.col("exact") * 3 * 1.04 / 64)
+    return estimated.join(exact, "position").select(
+        "position", "column_name", "total", "missing_pct", "exact", within.alias("within_bound")
+    )
+
+
+@_register
+def src_csv_quoted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose payment method goes over two lines, through CSV and back."""
+    path = scratch_dir(spark, "raw-csv")
+    raw = inputs.telco_raw(spark, sf_dir)
+    files.write_raw_csv(raw.withColumn("PaymentMethod", F.replace("PaymentMethod", F.lit(" "), F.lit("\n"))), path)
+    return files.read_raw_csv(spark, path)
+
+
 @_register
 def profile_dataset_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.dataset_profile(inputs.telco_dirty(spark, sf_dir))

@@ -41,13 +41,22 @@ LONG_INTEGER_PATTERN = r"^\s*[+-]?\d{16,}\s*$"
 BOOLEAN_PATTERN = r"^(True|TRUE|true|False|FALSE|false)$"
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell of a CSV file goes over a line break: some line then holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A CSV file with a header, every column as text, missing texts as NULL.
 
     The header is read once for the names; no pass is spent on types, and a
     file of the folder whose header differs fails the read. ``multi_line``
-    allows line breaks in quoted cells, at the price of unsplittable files.
+    allows line breaks in quoted cells, at the price of unsplittable files; left
+    open, a pass over the lines finds out whether there are any.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     options = {"header": True, "multiLine": multi_line, "escape": '"'}
     names = spark.read.options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in names])
@@ -67,7 +76,7 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
     )
 
 
-def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Raw customer records: known columns typed by name, others kept as text."""
     text = read_csv_text(spark, path, multi_line)
     typed = {}
@@ -134,11 +143,8 @@ def write_stage(df: DataFrame, path: str, by_date: bool = False) -> None:
     writer.parquet(path)
 
 
-def read_foreign(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """A dataset of unknown schema, by its file extension in any case.
-
-    ``multi_line`` is for CSV files with line breaks in quoted cells.
-    """
+def read_foreign(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """A dataset of unknown schema, by its file extension in any case; ``multi_line`` as for :func:`read_csv_text`."""
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension == ".csv":
         return infer_types(read_csv_text(spark, path, multi_line))

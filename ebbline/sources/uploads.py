@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbline.operators.profile import approximate_profiles, column_sketches, merged_sketches
+
 _TOKEN = re.compile("[0-9a-f]{32}")
 
 
@@ -47,6 +51,23 @@ class UploadStore:
                 raise
         raise FileNotFoundError("Uploaded dataset staging file not found.")
 
+    def sketch(self, token: str) -> DataFrame:
+        """Sketches of a staged dataset, made at the first call and stored beside it."""
+        path = f"{self.root}/sketches/upload_token={token}"
+        data = self.load(token)
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        column_sketches(data).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def profile_together(self, tokens: Sequence[str]) -> DataFrame:
+        """Estimated profile of several staged datasets as one; their rows are not read again."""
+        own = [self.sketch(token) for token in tokens]
+        return approximate_profiles(merged_sketches(reduce(DataFrame.unionByName, own)))
+
     def metadata(self, token: str) -> dict:
         """The stored details of a token; empty for an unknown one."""
         try:

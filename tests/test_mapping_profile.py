@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ebbline.operators import profile
 from ebbline.operators.mapping import apply_mapping, map_schema, suggest_mapping
 from ebbline.operators.profile import column_profiles, dataset_profile
 from ebbline.plans.inputs import FOREIGN_NAMES
 from ebbline.schemas import REQUEST_COLUMNS
+from ebbline.sources.uploads import UploadStore
 
 
 def frame(spark, *names):
@@ -81,3 +83,35 @@ def test_hot_value(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
     row = column_profiles(df).first()
     assert (row["unique_values"], row["sample_values"]) == (4001, ["1", "10", "100"])
+
+
+class TestDigestsAndSketches:
+    def test_equal_rows_only_are_duplicates(self, spark):
+        rows = [("a", "b", 0.0, b"1"), ("ab", "", 0.0, b"1"), ("a", "b", -0.0, b"1"), (None, "b", 0.0, b"1"), ("-", "b", 0.0, b"1")]
+        rows += [("a", "b", float("nan"), None), ("a", "b", float("nan"), None), ("1:a", "b", None, b""), ("1", ":ab", None, b"")]
+        df = spark.createDataFrame(rows, "`x.y` string, s string, d double, b binary")
+        row = profile.dataset_profile(df).first()
+        assert (row["row_count"], row["duplicate_rows"], row["missing_total"]) == (9, 2, 5)
+        assert profile.dataset_profile(df.limit(0)).first()["row_count"] == 0
+
+    @pytest.mark.parametrize("distinct", [0, 1, 900, 60_000])
+    def test_estimates_keep_their_bound_and_merge(self, spark, distinct):
+        one = spark.range(2 * distinct + 5).selectExpr(f"cast(id % {max(distinct, 1)} as string) as v", "cast(null as int) as n")
+        one = one if distinct else one.selectExpr("cast(null as string) as v", "n")
+        two = one.selectExpr("concat('other-', v) as v", "n")
+        own = [profile.column_sketches(df) for df in (one, two, one)]
+        single = {r["column_name"]: r for r in profile.approximate_profiles(own[0]).collect()}
+        both = {r["column_name"]: r for r in profile.approximate_profiles(profile.merged_sketches(own[0].unionByName(own[1]).unionByName(own[2]))).collect()}
+        bound = 3 * 1.04 / 2**6
+        assert abs(single["v"]["unique_values"] - distinct) <= bound * distinct + 0.5
+        assert abs(both["v"]["unique_values"] - 2 * distinct) <= bound * 2 * distinct + 0.5
+        assert both["n"]["unique_values"] == 0 and both["n"]["missing_pct"] == 100.0
+        assert both["v"]["total"] == 3 * (2 * distinct + 5)
+
+    def test_sketches_are_stored_with_the_upload(self, spark, tmp_path):
+        store = UploadStore(spark, str(tmp_path))
+        tokens = [store.stage(spark.range(n).toDF("a"), "x.csv") for n in (30, 50)]
+        assert store.profile_together(tokens).first()["unique_values"] == 50
+        assert store.sketch(tokens[0]).first()["total"] == 30
+        with pytest.raises(FileNotFoundError):
+            store.sketch("0" * 32)

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from conftest import SF_DIR
-from ebbline.operators import monitoring, reports
+from ebbline.operators import monitoring, quality, reports
 from ebbline.plans import inputs, queries
 
 
@@ -31,6 +31,16 @@ LAZY = [
     "profile_columns",
     "latest_scores",
     "prep_modes",
+    "kpis",
+    "segment_mix",
+    "explorer_all",
+    "threshold_alerts",
+    "dq_report_dirty",
+    "dq_record_contract",
+    "upload_features",
+    "upload_summary",
+    "score_response",
+    "tenure_bucket_dist",
 ]
 
 
@@ -40,6 +50,35 @@ def test_no_python_and_no_cross_join(spark, name):
     assert not re.search("EvalPython|InPandas|InArrow|CartesianProduct|BroadcastNestedLoopJoin", text)
 
 
+def exchanged(df) -> list[str]:
+    """Columns that each exchange of a plan carries."""
+    text = df._jdf.queryExecution().explainString(spark_mode(df, "formatted"))
+    return re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+
+
+def spark_mode(df, name):
+    return df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(name)
+
+
+def test_profile_exchanges_digests_and_no_rows(spark):
+    found = exchanged(queries.queries()["profile_dataset"](spark, SF_DIR))
+    assert any("digest" in columns for columns in found)
+    names = inputs.FOREIGN_NAMES
+    assert not any(name + "#" in columns for columns in found for name in names if name != "customer-tenure")
+
+
+def test_quality_exchanges_ids_only(spark, tmp_path):
+    inputs.telco_raw(spark, SF_DIR).write.parquet(str(tmp_path / "raw"))
+    stored = spark.read.parquet(str(tmp_path / "raw"))
+    found = exchanged(quality.report(stored))
+    keyed = exchanged(quality.repeated_ids(stored))
+    assert keyed and all(re.fullmatch(r"(id#\d+, )?(count|sum)#\d+L?(, isEmpty#\d+)?", columns) for columns in keyed), keyed
+    # Beside the ids, only partial sums of each task are exchanged.
+    others = [columns for columns in found if not columns.startswith("id#")]
+    assert len(found) == 3 and len(others) == 2
+    assert all(re.fullmatch(r"(count|min|max|sum)#\d+L?", part) for columns in others for part in columns.split(", "))
+
+
 def test_scoring_adds_no_shuffle(spark, telco, tmp_path):
     from ebbline.operators.features import build_features
     from ebbline.operators.scoring import batch_scores

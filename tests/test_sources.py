@@ -248,7 +248,12 @@ def test_csv_keeps_every_cell(spark, tmp_path):
         ("98765432109876543210", 3.0),
     ]
     lines = file("lines.csv", 'a,b\n"one\ntwo",1\nx,2\n')
-    assert {r["a"] for r in files.read_foreign(spark, lines, multi_line=True).collect()} == {"one\ntwo", "x"}
+    for given in (True, None):
+        assert {r["a"] for r in files.read_foreign(spark, lines, given).collect()} == {"one\ntwo", "x"}
+    inner = file("inner.csv", 'id,sex,n\n1,"Fe\nmale",5\n2,"say ""hi""",6\n3,"a,\n\n,b",7\n')
+    assert files.has_quoted_breaks(spark, inner) and not files.has_quoted_breaks(spark, ids)
+    rows = {tuple(r) for r in files.read_foreign(spark, inner).collect()}
+    assert rows == {(1, "Fe\nmale", 5), (2, 'say "hi"', 6), (3, "a,\n\n,b", 7)}
 
 
 def test_float_nan_is_missing(spark, tmp_path):
