@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
+from ebbline.operators.labels import LabelIndexer, label_counts, numbered_labels
 from ebbline.operators.ranks import medians
 from ebbline.schemas import CATEGORICAL_COLUMNS, LABEL, NUMERIC_COLUMNS
+from ebbline.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -59,20 +61,13 @@ def modes(levels: DataFrame) -> DataFrame:
     return levels.groupBy("column_name").agg(best.alias("mode_value"))
 
 
-def _vocabulary(df: DataFrame) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """Mode and sorted labels of each categorical column.
-
-    The labels are a dimension of the model: each becomes a feature, so they are
-    fetched whole. A column without any ends the training.
-    """
-    counts: dict[str, dict[str, int]] = {c: {} for c in CATEGORICAL_COLUMNS}
-    for row in level_counts(df).collect():
-        counts[row["column_name"]][row["value"]] = row["n"]
-    unfit = [c for c, levels in counts.items() if not levels]
+def _modes_by_column(levels: DataFrame) -> dict[str, str]:
+    """Mode of each categorical column; a column without any value ends the training."""
+    found = {r["column_name"]: r["mode_value"] for r in modes(levels).collect()}
+    unfit = [c for c in CATEGORICAL_COLUMNS if c not in found]
     if unfit:
         raise ValueError(f"Not usable as categories (no value): {unfit}")
-    mode = {c: min(levels, key=lambda v: (-levels[v], v)) for c, levels in counts.items()}
-    return mode, {c: sorted(levels) for c, levels in counts.items()}
+    return found
 
 
 def _sql_text(value: str) -> str:
@@ -89,27 +84,27 @@ def _impute_and_scale(stats: dict[str, NumericStats], mode: dict[str, str]) -> S
     return SQLTransformer(statement=f"SELECT *, {', '.join(items)} FROM __THIS__")
 
 
-def _label_frame(df: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
-    """The labels as a small frame; shorter columns repeat their first label."""
-    longest = max(map(len, labels.values()))
-    columns = [[*labels[c], *[labels[c][0]] * (longest - len(labels[c]))] for c in CATEGORICAL_COLUMNS]
-    schema = StructType([StructField(f"cat_{c}", StringType()) for c in CATEGORICAL_COLUMNS])
-    return df.sparkSession.createDataFrame(list(zip(*columns)), schema)
-
-
 def fit_preprocessor(train: DataFrame) -> PipelineModel:
     """Learn the preprocessing from the training rows.
 
-    What is collected is bounded by the number of columns and their labels.
+    The driver gets a median, a mode and a number of labels per column; the
+    labels stay in a table of their own.
     """
     stats = numeric_stats(train)
-    mode, labels = _vocabulary(train)
-    indexer = StringIndexer(
+    levels = level_counts(train).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        mode, sizes = _modes_by_column(levels), label_counts(levels)
+        path = scratch_dir(train.sparkSession, "label-table")
+        numbered_labels(levels, path)
+    finally:
+        levels.unpersist()
+    indexer = LabelIndexer(
+        columns=CATEGORICAL_COLUMNS,
         inputCols=[f"cat_{c}" for c in CATEGORICAL_COLUMNS],
         outputCols=[f"idx_{c}" for c in CATEGORICAL_COLUMNS],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(_label_frame(train, labels))
+        sizes=[sizes[c] for c in CATEGORICAL_COLUMNS],
+        path=path,
+    )
     encoder = OneHotEncoder(
         inputCols=[f"idx_{c}" for c in CATEGORICAL_COLUMNS],
         outputCols=[f"hot_{c}" for c in CATEGORICAL_COLUMNS],

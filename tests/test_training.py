@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ebbline.operators import certify, evaluate, preprocess, ranks, train
 from ebbline.operators.features import build_features
+from ebbline.operators.labels import numbered_labels
 from ebbline.operators.scoring import predict
 from ebbline.operators.split import held_out_counts, stratified_split
 from ebbline.schemas import CATEGORICAL_COLUMNS, FEATURE_COLUMNS, LABEL, NUMERIC_COLUMNS
+from ebbline.session import scratch_dir
 
 
 @pytest.fixture(scope="module")
@@ -113,6 +115,39 @@ def test_labels_with_quotes_are_learned(features):
     assert vector.toArray()[len(NUMERIC_COLUMNS)] == 1.0
 
 
+def test_a_column_of_many_labels(spark, features, monkeypatch):
+    """Each record has a label of its own: as many positions as records, in order, and none collected."""
+    rows = 30_000
+    many = (
+        spark.range(rows)
+        .crossJoin(features.limit(1).drop("PaymentMethod"))
+        .withColumn("PaymentMethod", F.concat(F.lit("é"), F.lpad((F.col("id") * 7919 % rows).cast("string"), 6, "0")))
+        .repartition(5)
+    )
+    model = preprocess.fit_preprocessor(many)
+    indexer = model.stages[1]
+    found = indexer.labels("PaymentMethod").collect()
+    assert {r["value"]: r["place"] for r in found} == {f"é{i:06d}": i for i in range(rows)}
+    assert indexer.labels("Contract").count() == 1
+    hot = model.transform(many.where("id < 50")).select("PaymentMethod", "features").collect()
+    ahead = len(NUMERIC_COLUMNS) + sum(1 for c in CATEGORICAL_COLUMNS[: CATEGORICAL_COLUMNS.index("PaymentMethod")])
+    for r in hot:
+        assert r["features"][ahead + int(r["PaymentMethod"][1:])] == 1.0
+        assert r["features"].size == len(NUMERIC_COLUMNS) + len(CATEGORICAL_COLUMNS) - 1 + rows
+
+
+def test_label_numbers_follow_the_sort_across_parts(spark):
+    own = random.Random(11)
+    labels = {c: {"".join(own.choice("aB é'/=%") for _ in range(own.randint(0, 6))) for _ in range(n)} for c, n in (("x", 3000), ("y", 1), ("z", 400))}
+    rows = [(c, v) for c, values in labels.items() for v in values]
+    own.shuffle(rows)
+    levels = spark.createDataFrame(rows, "column_name string, value string").repartition(7)
+    table = numbered_labels(levels, scratch_dir(spark, "test-labels"))
+    for c, values in labels.items():
+        got = {r["value"]: r["place"] for r in table.where(F.col("column_name") == c).collect()}
+        assert got == {v: i for i, v in enumerate(sorted(values, key=str.encode))}
+
+
 def test_modes_take_the_smallest_on_ties(features):
     tied = features.withColumn("gender", F.lit(None).cast("string")).limit(4)
     tied = tied.withColumn("gender", F.when(F.hash("customerID").isNotNull(), F.lit("z")))
