@@ -297,6 +297,17 @@ _HISTORY = f"""{_SNAPS}, stored_months as (
     select * from snapshots where snapshot_date = '2001-08-31'
     union all select * replace (last_day((snapshot_date - to_months(1))::date) as snapshot_date) from snapshots
       where customerID in (select customerID from scores where tenure >= 12))"""
+_DETAILS = "drift_details as (" + " union all ".join(
+    f"select '{metric}' as metric_name, format('latest={{:.4f}}, previous={{:.4f}}', l.{value}, q.{value}) as details "
+    "from drift_per_date l, drift_per_date q where l.place = 1 and q.place = 2"
+    for metric, value in (
+        ("monthly_revenue_mean_delta", "r"),
+        ("tenure_mean_delta", "t"),
+        ("contract_month_to_month_share_delta", "m"),
+        ("avg_churn_probability_delta", "p"),
+        ("high_risk_share_delta", "h"),
+    )
+) + ")"
 _UPLOAD_CHAIN = ("telco_raw", "foreign_set", "upload")
 _SPLIT = _with(*_FEATURE_CHAIN, "split")
 
@@ -397,6 +408,22 @@ def oracle_sql() -> dict[str, str]:
             shown as ({_METRICS} suite) select run_id, shown.* from runs, shown""",
         "mart_snapshot_history": f"""{_HISTORY} select {_mart(SNAPSHOT_COLUMNS)} from stored_months""",
         "history_drift": f"{_HISTORY}, {_deltas('old_drift', 'stored_months')} {_METRICS} old_drift",
+        "mart_create_again": f"""{_FEATURES} select 'features' as table_name, count(*) as row_count from features
+            union all select 'drift_metrics', 2
+            union all select unnest(['customers_raw', 'scores_daily', 'customer_snapshots', 'model_registry']), 0""",
+        "model_columns": f"""{_FEATURES} select {_select([*CATEGORICAL_COLUMNS, *NUMERIC_COLUMNS, "churn_flag"], monthly_charges_log=_LOG9)} from features""",
+        "gates": """select * from (values ('raw columns', true, 'tenure, Churn'), ('raw columns', false, ''),
+            ('upload fields', true, 'gender'), ('upload fields', false, ''),
+            ('two dates', true, 'two snapshot dates'), ('two dates', false, '')) said(gate, faulty, said)""",
+        "monitoring_details": f"""{_with(*_SUITE_CHAIN)}, {_DETAILS},
+            told as (select * from drift_details union all
+              select 'total_revenue_at_risk', 'snapshot_date=' || snapshot_date || ', total_revenue_at_risk=' ||
+                format('{{:.2f}}', total) from alert_figures
+              union all select 'avg_churn_probability', 'snapshot_date=' || snapshot_date || ', avg_churn_probability=' ||
+                format('{{:.4f}}', mean) from alert_figures)
+            select metric_name, status, details from told join suite using (metric_name)""",
+        "job_retrain": f"""{_FEATURES} select customerID, true as in_range, true as loaded_alike, 2::bigint as versions,
+            true as report_fits from features""",
         "clean_total_charges": f"{_RAW} select customerID, {_number('TotalCharges')} as TotalCharges from telco_raw",
         "clean_churn_label": f"{_CLEAN} select customerID, Churn from clean",
         "clean_trim": f"""{_RAW} select {", ".join(f"{_trim(c)} as {c}" for c in TEXT_COLUMNS)} from telco_raw""",

@@ -40,7 +40,7 @@ from ebbline.plans import inputs, jobs
 from ebbline.schemas import LABEL, REQUEST_COLUMNS, TEXT_COLUMNS
 from ebbline.session import scratch_dir
 from ebbline.sources import files
-from ebbline.sources.mart import LOAD_TIMES, Mart
+from ebbline.sources.mart import LOAD_TIMES, MART_TABLES, Mart
 from ebbline.sources.uploads import UploadStore
 from ebbline import streaming
 
@@ -178,6 +178,19 @@ def history_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(drift)
 
 
+@_register
+def mart_create_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per table after the mart was created, loaded in part, and created again."""
+    mart = _mart(spark)
+    mart.load_features(inputs.features(spark, sf_dir))
+    mart.append_metrics(monitoring.threshold_alerts(inputs.scores(spark, sf_dir)), "first")
+    mart.create()
+    counted = [
+        mart.read(t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t in MART_TABLES
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 # --- cleaning ----------------------------------------------------------------
 
 
@@ -315,6 +328,11 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified_split(inputs.features(spark, sf_dir)).select("customerID", LABEL, "split")
 
 
+@_register
+def model_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log9(preprocess.model_input(inputs.features(spark, sf_dir), LABEL))
+
+
 @_register
 def prep_numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = preprocess.model_input(inputs.features(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -545,6 +563,38 @@ def monitoring_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(_suite(spark, sf_dir))
 
 
+@_register
+def monitoring_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suite(spark, sf_dir).select("metric_name", "status", "details")
+
+
+@_register
+def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each gate says of a dataset that it must refuse, and of one that it must let through."""
+    raw, foreign, snapshots = (f(spark, sf_dir) for f in (inputs.telco_raw, inputs.telco_foreign, inputs.snapshots))
+    newest = reports.latest_only(snapshots)
+    checks = {
+        "raw columns": lambda given: quality.require_raw_columns(given),
+        "upload fields": lambda given: mapping.require_request_columns(mapping.map_schema(given)),
+        "two dates": lambda given: monitoring.drift_dates(given).collect(),
+    }
+    cases = {
+        "raw columns": (raw.drop("tenure", "Churn"), raw),
+        "upload fields": (foreign.drop("Sex"), foreign),
+        "two dates": (newest, snapshots),
+    }
+    said = []
+    for gate, given in cases.items():
+        for place, df in enumerate(given):
+            try:
+                checks[gate](df)
+                said.append((gate, place == 0, ""))
+            except Exception as error:  # noqa: BLE001
+                names = [c for c in ("tenure", "Churn", "gender", "two snapshot dates") if c in str(error)]
+                said.append((gate, place == 0, ", ".join(names)))
+    return spark.createDataFrame(said, "gate string, faulty boolean, said string")
+
+
 # --- reports -----------------------------------------------------------------
 
 
@@ -807,6 +857,45 @@ def job_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _untimed(scores).withColumns({"features_made": F.lit(made).cast("bigint"), "readable": F.lit(readable)})
 
 
+@_register
+def job_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trainings through the jobs, a small forest and a smaller one, and what the newest saved model makes of all customers.
+
+    ``versions`` counts the saved models, ``report_fits`` tells whether the
+    newest registry entry has the figures of the newest report and names its files,
+    ``loaded_alike`` whether a model loaded again rates every customer as before.
+    """
+    root = scratch_dir(spark, "job")
+    settings = Settings(
+        root=root, database="mart_" + root.rsplit("-", 1)[1], run_date=inputs.RUN_DATE, forest_trees=6, run_id="first"
+    )
+    store = jobs.stages(spark, settings)
+    store.put("features", inputs.features(spark, sf_dir))
+    jobs.retrain_and_register(spark, settings)
+    newer = replace(settings, forest_trees=4, run_id="second")
+    for _ in range(2):
+        jobs.retrain_and_register(spark, newer)
+    versions = store.log().where(F.col("stage") == "model").count()
+    entry = jobs.mart(spark, newer).read("model_registry").where(F.col("run_id") == "second").first()
+    report = spark.read.json(f"{store.folder('model')}/metrics").first()
+    chosen = report["selected_model"]["name"]
+    fits = (
+        entry["model_type"] == chosen
+        and entry["artifact_path"] == jobs.model_folder(newer)
+        and all(entry[f"{c}_score"] == report[chosen][c] for c in ("auc", "precision", "recall", "f1"))
+    )
+    rows = store.read("features")
+    jobs.score(spark, newer)
+    again = jobs.saved_model(newer)(rows).select("customerID", F.col("churn_probability").alias("again"))
+    return store.read("scores").join(again, "customerID").select(
+        "customerID",
+        F.col("churn_probability").between(0, 1).alias("in_range"),
+        (F.col("churn_probability") == F.col("again")).alias("loaded_alike"),
+        F.lit(versions).cast("bigint").alias("versions"),
+        F.lit(fits).alias("report_fits"),
+    )
+
+
 @_register
 def job_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer list of the dashboard over stored scores."""
