@@ -180,19 +180,42 @@ class TestTopK:
         rows = [(i, [float(x) for x in rng.normal(0, 1 + i % 7, 8)]) for i in range(300)]
         rows += [(i, [0.5] * 8) for i in range(300, 360)] + [(400, [0.0] * 8), (420, [9.0, 9.0])]
         rows += [(401, None), (402, [1.0, None]), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (405, [])]
-        rows += [(None, [1.0] * 8), rows[20]]
+        rows += [(None, [1.0] * 8), rows[20], (20, [1.0] * 8), (7, [3.0] * 8)]
         df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
-        got = {tuple(r) for r in top_k.search(df, F.col("vec_id") % 20 == 0, top_k.Settings(bucket=50, block=4)).collect()}
-        good = {
-            i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)
+        found = top_k.search(df, F.col("vec_id") % 20 == 0, top_k.Settings(bucket=50, block=4)).collect()
+        good = [
+            (i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int))
             for i, v in rows
             if i is not None and v and None not in v and np.isfinite(v).all()
-        }
+        ]
+        want = Counter()
+        for own, (q, a) in enumerate(good):
+            if q % 20 == 0:
+                scores = sorted((-int(a @ b), c) for k, (c, b) in enumerate(good) if k != own and len(a) == len(b))
+                want.update((q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:20]))
+        assert Counter(tuple(r) for r in found) == want
+
+    def test_rows_that_share_an_id(self, spark):
+        df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0])], "vec_id bigint, embedding array<double>")
+        rows = top_k.search(df, F.col("vec_id") == 0).collect()
+        assert {tuple(r) for r in rows} == {(0, 1, 1, 20480), (0, 2, 1, 4096)}
+
+    def test_large_components(self, spark):
+        own = random.Random(8)
+        draw = [0.0, 1.5, -2.25, 1e7, -3e8, 1e15, 7.7e14, -1e17]
+        rows = [(i, [own.choice(draw) for _ in range(3)]) for i in range(120)] + [(200, [1e30, 1.0, 0.0]), (201, [-1e300, 2.0, 1.0]), (202, [1.7e308, 0.0, 0.0])]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+        found = top_k.search(df, F.col("vec_id") % 20 == 0, top_k.Settings(k=5, bucket=16, block=3)).collect()
+
+        def whole(x):
+            return int(max(min(x * 64, 1e150), -1e150) // 1)
+
         want = set()
-        for q in [i for i in good if i % 20 == 0]:
-            scores = sorted((-int(good[q] @ good[c]), c) for c in good if c != q and len(good[c]) == len(good[q]))
-            want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:20])}
-        assert got == want
+        for q, a in rows:
+            if q % 20 == 0:
+                exact = [(min(max(sum(whole(x) * whole(y) for x, y in zip(a, b)), -(2**63)), 2**63 - 1), c) for c, b in rows if c != q]
+                want |= {(q, r + 1, c, s) for r, (s, c) in enumerate(sorted(exact, key=lambda e: (-e[0], e[1]))[:5])}
+        assert {tuple(r) for r in found} == want
 
     def test_empty(self, spark):
         df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
