@@ -4,7 +4,9 @@ A candidate is a run of twenty or more key characters. Its class (hexadecimal
 or mixed) sets the limit that the Shannon entropy of some window must reach.
 Moving the window by one place changes two counts only, so each step updates
 the counts and the sum of ``c * log2(c)`` instead of counting again. Strings of
-the allow-list are harmless by form and suppressed. Column functions only.
+the allow-list are harmless by form, as a whole, and suppressed. Where a base
+span covers part of a candidate, what is left of it is judged by itself. Column
+functions only.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal
 results; other columns than ``doc_id`` and ``text`` are not read; an empty
@@ -43,7 +45,8 @@ class EntropyRules:
         r"^[0-9]+([-_/=+]+[0-9]*)*$",  # numbers and dates
         r"^[-_=+/]+$",  # rulers
         r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # identifiers by their form
-        r"(?i)abcdefghijklmnop|0123456789abcdef|1234567890123456",  # alphabets and counting
+        # alphabets and counting, and nothing else
+        r"(?i)^(?:abcdefghijklmnopqrstuvwxyz|0123456789abcdef|0123456789|1234567890|[-_=+/])++$",
     )
 
     def units(self) -> list[int]:
@@ -114,11 +117,30 @@ def secret_spans(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
     for rank, (kind, pattern) in enumerate(some.items()):
         df = df.withColumn(f"s_{kind}", spans(F.col("text"), F.col(f"m_{kind}"), pattern, kind, rank, holds[kind]))
     df = df.withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
-    apart = F.filter(
-        "s_entropy",
-        lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    beside = F.flatten(F.transform("s_entropy", lambda x: _uncovered(x, F.col("base"), rules)))
+    return df.select("doc_id", "base", F.when(F.size("s_entropy") > 0, beside).otherwise(no_spans()).alias("entropy"))
+
+
+def _uncovered(span: Column, base: Column, rules: EntropyRules) -> Column:
+    """A span where no base span touches it, else what they leave of it, where that is a secret by itself."""
+    touching = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    state = F.struct(span["start"].alias("at"), no_spans().alias("left"))
+
+    def piece(start: Column, end: Column) -> Column:
+        value = F.substr(span["value"], (start - span["start"] + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+        made = F.struct(start.alias("start"), span["rank"].alias("rank"), end.alias("end"), span["kind"].alias("kind"), value.alias("value"))
+        return F.when(end - start >= rules.window, F.array(made)).otherwise(no_spans())
+
+    walked = F.aggregate(
+        touching,
+        state,
+        lambda s, b: F.struct(
+            F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["left"], piece(s["at"], b["start"])).alias("left")
+        ),
+        lambda s: F.concat(s["left"], piece(s["at"], span["end"])),
     )
-    return df.select("doc_id", "base", F.when(F.size("s_entropy") > 0, apart).otherwise(no_spans()).alias("entropy"))
+    own = F.filter(walked, lambda p: _is_secret(p["value"], rules))
+    return F.when(F.size(touching) == 0, F.array(span)).otherwise(own)
 
 
 def secret_scan(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataFrame:
