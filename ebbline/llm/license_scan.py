@@ -1,15 +1,16 @@
 """Licence scan: canonical digests of whole texts and whole lines, hash-joined with known ones.
 
 A unit of text (the document, and each of its lines) is brought to a canonical
-form: lower case, no copyright lines, punctuation and space as single blanks,
-equivalent spellings made one. Two units with equal form have equal digests, so
+form: lower case, no copyright lines, all but letters and digits (of any script)
+as single blanks, equivalent spellings made one. Two units with equal form have equal digests, so
 a join on the digest finds the licence texts and notices however they are set.
 The known texts are a fixed table of this module and small; the documents are
 not shuffled for the join, only the few units that matched are grouped.
 Column functions only.
 
 Defined cases: null and empty texts have no licence; repeated rows get equal
-results; a null ``doc_id`` keeps its row; only ``doc_id`` and ``text`` are read.
+results; a null ``doc_id`` keeps its row; only ``doc_id`` and ``text`` are read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,6 +147,11 @@ def _read(name: str) -> str:
 BODIES = (*TEXTS, ("BSD-3-Clause", _TWO.replace("THIS SOFTWARE IS", _NAMES + "THIS SOFTWARE IS")), *((n, _read(n)) for n in FILES))
 TEXTS = tuple((name, form) for name, text in BODIES for form in _variants(name, text))
 
+#: Every known text and notice holds one of these in its canonical form, so a text without them, in any of their
+#: spellings, holds none. Letters that stand together in a canonical form do so in the text.
+TRIGGERS = ("license", "permission", "redistribution")
+TRIGGER = r"(?iu)licen[sc]e|permission|redistribution"
+
 #: How a comment line begins, and where blocks end: at lines without letters and digits, and at a comment's edges.
 COMMENT = r"[ \t]*+(?:#|//|/\*|\*|--|;|%)"
 EDGES = (rf"(?m)^({COMMENT}[^\n]*\n)(?!{COMMENT})", rf"(?m)^((?!{COMMENT})[^\n]*\n)(?={COMMENT})")
@@ -155,7 +161,7 @@ BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)+"
 def canonical(text: Column) -> Column:
     """The form in which copies of a licence are equal."""
     plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
-    plain = F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    plain = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
     for spelling, one in SPELLINGS:
         plain = F.replace(plain, F.lit(spelling), F.lit(one))
     return plain
@@ -197,9 +203,11 @@ def _runs(own: DataFrame, bodies: list[tuple[str, str]]) -> DataFrame:
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per document: its licences, how many of its units are one, and whether all of it is one."""
-    bodies = [*NOTICES, *BODIES] if known is None else []
+    own_table = known is None
+    bodies = [*NOTICES, *BODIES] if own_table else []
     known = known_licenses(docs.sparkSession) if known is None else known
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    own = every.where(F.col("text").rlike(TRIGGER)) if own_table else every
     lines = F.split("text", "\n", -1)
     units = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))
     forms = own.select("doc_id", "text_key", F.posexplode(units).alias("unit", "part")).withColumn(
@@ -222,7 +230,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         .select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "found", "units", "whole")
     )
     key = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
-    return own.select("doc_id", "text_key").join(hits, key, "left").select(
+    return every.select("doc_id", "text_key").join(hits, key, "left").select(
         "doc_id",
         F.coalesce("found", F.lit("")).alias("licenses"),
         F.coalesce("units", F.lit(0)).cast("bigint").alias("n_units"),

@@ -107,7 +107,7 @@ FROM m
 def license_scan() -> str:
     def canonical(text: str) -> str:
         plain = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', chr(10), 'g')"
-        plain = f"trim(regexp_replace({plain}, '[^a-z0-9]+', ' ', 'g'))"
+        plain = f"trim(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for spelling, one in SPELLINGS:
             plain = f"replace({plain}, '{spelling}', '{one}')"
         return plain
