@@ -123,9 +123,9 @@ def disclosing(docs: DataFrame, pieces: DataFrame, rules: DisclosureRules) -> Da
     least = F.lit(log(max(both.count(), 1) / rules.risk))
     # A term has at least the documents of the pair; pairs that chance explains even then need no count of it.
     likely = stored(both.where(_evidence(F.col("n_both"), n_docs) >= least), "personal-likely")
-    terms = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    # Counted before they meet the pairs: each task hands on a word once, not once per document.
+    terms = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     terms = terms.join(likely.select("term").distinct(), "term", "left_semi")
-    terms = terms.groupBy("term").agg(F.count("*").alias("n_term"))
     told = F.ln(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     own = F.ln(n_docs / F.col("n_entity"))
     enough = (own > 0) & (told >= own * rules.threshold) & (_evidence(F.col("n_term"), n_docs) >= least)
