@@ -67,7 +67,7 @@ def _newest_pair(per_date: DataFrame, values: Iterable[str]) -> DataFrame:
 
 
 def _require_two_dates(pair: DataFrame, purpose: str) -> DataFrame:
-    message = F.lit(f"At least two snapshot dates are required for {purpose} monitoring.")
+    message = F.lit(f"Fewer than two snapshot dates, so {purpose} cannot be measured.")
     checked = F.when(F.col("dates") < 2, F.raise_error(message).cast("date")).otherwise(F.col("latest_date"))
     return pair.withColumn("latest_date", checked)
 

@@ -139,7 +139,7 @@ def make_snapshots(spark: SparkSession, settings: Settings) -> bool:
     def write(path: str) -> None:
         scored = latest_only(store.read("scores"))
         if scored.where(F.col("tenure") > 0).isEmpty():
-            raise RuntimeError("No temporal snapshots were generated.")
+            raise RuntimeError("No customer has a month to expand into.")
         write_stage(customer_snapshots(scored, settings.as_of, **parameters), path, by_date=True)
 
     made_from = fingerprint(scores=store.version("scores"), date=settings.as_of, **parameters)

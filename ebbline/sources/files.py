@@ -154,4 +154,4 @@ def read_foreign(spark: SparkSession, path: str, multi_line: bool | None = None)
         return df.select(
             *[nan_to_null(F.col(f"`{c}`")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
         )
-    raise ValueError("Unsupported file type. Use CSV or Parquet.")
+    raise ValueError("Only .csv and .parquet files can be read.")

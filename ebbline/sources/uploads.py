@@ -49,7 +49,7 @@ class UploadStore:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        raise FileNotFoundError("Uploaded dataset staging file not found.")
+        raise FileNotFoundError("No dataset is staged under this token.")
 
     def sketch(self, token: str) -> DataFrame:
         """Sketches of a staged dataset, made at the first call and stored beside it."""

@@ -81,7 +81,7 @@ def test_no_snapshots_is_an_error(spark, telco, tmp_path):
     jobs.stages(spark, settings).put("raw", telco.withColumn("tenure", F.lit(0).cast("bigint")))
     jobs.make_features(spark, settings)
     jobs.score(spark, settings, inputs.rule_score)
-    with pytest.raises(RuntimeError, match="No temporal snapshots"):
+    with pytest.raises(RuntimeError, match="a month to expand"):
         jobs.make_snapshots(spark, settings)
 
 

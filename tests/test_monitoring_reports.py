@@ -56,7 +56,7 @@ def test_one_date_is_not_enough(snapshots):
     single = snapshots.where(F.col("snapshot_date") == NEW)
     for metric in (monitoring.data_drift, monitoring.prediction_drift, monitoring.drift_dates):
         for frame in (single, snapshots.limit(0)):
-            with pytest.raises(PySparkException, match="At least two snapshot dates are required"):
+            with pytest.raises(PySparkException, match="two snapshot dates"):
                 metric(frame).collect()
 
 
