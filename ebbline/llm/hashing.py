@@ -37,6 +37,10 @@ def powers(size: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+def forget_powers() -> None:
+    _POWERS.clear()
+
+
 def stretches(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each stretch of bytes."""
     up, down = powers(len(data) + 1)

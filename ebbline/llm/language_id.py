@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.llm.worker import task_of, within
+
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double"
 
@@ -183,9 +185,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     share = F.lit(0.0)
     for language, n in per_language.items():
         share = F.when(F.col("lang") == language, F.lit(min(1.0, quota / n))).otherwise(share)
-    counted = (
-        rows.select("text").mapInArrow(_document_counts(settings.bits), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    ).collect()
+    counts = rows.select("text").mapInArrow(within("language_id", _document_counts(settings.bits)), "place int, n bigint")
+    counted = counts.groupBy("place").agg(F.sum("n").alias("n")).collect()
     size = 1 << settings.bits
     frequency = np.zeros(size + 1)
     for r in counted:
@@ -195,7 +196,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
     sample = (
         rows.where(draw < share)
-        .mapInArrow(_sample_features(settings.bits), "doc_id bigint, lang string, places binary, counts binary")
+        .mapInArrow(within("language_id", _sample_features(settings.bits)), "doc_id bigint, lang string, places binary, counts binary")
         .toPandas()
         .sort_values(["doc_id", "lang", "places"])
     )
@@ -218,9 +219,7 @@ def predictor(docs: DataFrame, model: Model | None):
     """A column function from text to prediction; the model is a table of fixed size and sent once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(PREDICTION)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        own = sent.value
+    def predicted(own: Model | None, texts: pd.Series) -> pd.DataFrame:
         names, scores = [], []
         for text in texts:
             found = counts_of(text, own.bits) if own is not None and text is not None else None
@@ -235,6 +234,12 @@ def predictor(docs: DataFrame, model: Model | None):
             scores.append(float(p[best] / p.sum()))
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
+    @F.pandas_udf(PREDICTION)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with task_of("language_id"):
+            for texts in batches:
+                yield predicted(sent.value, texts)
+
     return predict
 
 

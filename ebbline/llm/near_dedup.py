@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ebbline.llm.common import stored
 from ebbline.llm.graph import components
 from ebbline.llm.hashing import U, mix, parts, runs, stretches, text_bytes, words_of
+from ebbline.llm.worker import within
 
 
 @dataclass(frozen=True)
@@ -215,7 +216,7 @@ def verify(pairs: DataFrame, bag: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (``a``, ``b``) whose bags overlap enough."""
     one = bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     two = bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(_verified(settings.similarity), "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(within("near_dedup", _verified(settings.similarity)), "a bigint, b bigint")
 
 
 def _cell_pairs(settings: Settings):
@@ -282,7 +283,7 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def text_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per different text: ``text_key``, the smallest ``doc_id`` that has it, and its class's ``root``."""
     own = _keyed(docs).where(F.col("text").isNotNull())
-    signed = own.mapInArrow(_sign(settings), SIGNED)
+    signed = own.mapInArrow(within("near_dedup", _sign(settings)), SIGNED)
     texts = stored(
         signed.groupBy("text_key")
         .agg(
@@ -307,7 +308,7 @@ def text_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")),
         )
         .select("node", "text")
-        .mapInArrow(_bag_rows(settings), "node bigint, bag binary")
+        .mapInArrow(within("near_dedup", _bag_rows(settings)), "node bigint, bag binary")
         .dropDuplicates(["node"]),
         "bags",
     )
@@ -336,7 +337,7 @@ def text_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .repartition("key", "ci", "cj")
         .sortWithinPartitions("key", "ci", "cj")
     )
-    more = stored(cells.mapInArrow(_cell_pairs(settings), "a bigint, b bigint, seen boolean"), "pairs")
+    more = stored(cells.mapInArrow(within("near_dedup", _cell_pairs(settings)), "a bigint, b bigint, seen boolean"), "pairs")
     unseen = verify(more.where("not seen").select("a", "b").distinct(), bag, settings)
     found = stored(more.where("seen").select("a", "b").unionByName(unseen), "links")
     return _rooted(texts.select("node", "text_key", "doc_id"), components(links.unionByName(found)))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 
 from ebbline.llm.common import stored
 from ebbline.llm.hashing import parts, stretches
+from ebbline.llm.worker import within
 
 LENGTH = 2048
 END_ID = 1
@@ -221,7 +222,8 @@ def _tokenise(vocabulary: str):
 
 def tokens_on_curve(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Ids and place on the curve of every document, stored."""
-    return stored(docs.select("doc_id", "text").mapInArrow(_tokenise(vocabulary), TOKENS), "tokens")
+    run = within("packing", _tokenise(vocabulary), tokenizer.cache_clear)
+    return stored(docs.select("doc_id", "text").mapInArrow(run, TOKENS), "tokens")
 
 
 class Packer:
@@ -291,4 +293,4 @@ def pack(
     order = ["curve", "doc_id", "doc_tokens"]
     ranges = tokens_on_curve(docs, vocabulary).repartitionByRange(*order).sortWithinPartitions(*order)
     schema = PIECES + (", ids binary" if with_ids else "")
-    return ranges.select("doc_id", "ids").mapInArrow(_pack(length, with_ids), schema)
+    return ranges.select("doc_id", "ids").mapInArrow(within("packing", _pack(length, with_ids), tokenizer.cache_clear), schema)
