@@ -17,7 +17,7 @@ from ebbline.llm.packing import pack
 from ebbline.llm.pii import personal_data
 from ebbline.llm.quality_rules import quality_rules
 from ebbline.llm.secret_scan import secret_scan
-from ebbline.llm.sentence_pieces import decode, encode
+from ebbline.llm.sentence_pieces import encode_and_decode
 from ebbline.llm.substring_dedup import repeats
 from ebbline.llm.top_k import search
 
@@ -50,7 +50,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode(encode(docs))
+    rows = encode_and_decode(docs)
     return rows.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_ids"),

@@ -33,22 +33,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ebbline.llm.hashing import parts
+from ebbline.llm.worker import task_of
+
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Below the score of every piece.
 UNKNOWN = float("-inf")
-#: Remembered pairs of pieces, and stretches of a generation; two generations are held.
-PAIRS = 200_000
-CACHED = 150_000
-#: Stretches up to this many characters are searched in one go.
-SHORT = 64
-#: Rows whose stretches are searched together, and rows that are cut at once.
-ROWS = 4_000
-PART = 400
+#: Remembered pairs of pieces, and bytes of remembered stretches of a generation; two generations are held.
+PAIRS = 150_000
+CACHED = 24_000_000
+#: What a remembered stretch takes besides its characters and ids.
+ENTRY = 150
+#: Bytes of text whose stretches are searched together, and that are cut at once.
+SEARCHED = 6_000_000
+PART = 600_000
 
 
 def kinds(pieces: Iterable[str]) -> np.ndarray:
@@ -111,6 +115,7 @@ class Pieces:
         self.whole: dict[str, bool] = {}
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the remembered stretches
 
     def merged(self, text: str) -> list[str]:
         """Merge encoding of a short text: the best-scored neighbours first, the leftmost of equals."""
@@ -152,70 +157,29 @@ class Pieces:
         own = self.ids.get(piece)
         return [own] if own is not None else [self.byte_ids[b] for b in piece.encode()]
 
-    def search(self, text: str) -> list[int]:
-        """Ids of a stretch of any length."""
-        ids: list[int] = []
-        back = {0: 0}  # of each place still open, where the piece that ends there begins
-        final = 0
-
-        def commit(until: int) -> None:
-            nonlocal final
-            ends = []
-            place = until
-            while place > final:
-                ends.append(place)
-                place = back[place]
-            start = final
-            for end in reversed(ends):
-                ids.extend(self._ids(text[start:end]))
-                start = end
-            for place in [p for p in back if p < until]:
-                del back[place]
-            final = until
-
-        for end in range(1, len(text) + 1):
-            for begin in range(max(final, end - self.longest), end):
-                if begin not in back:
-                    continue
-                piece = text[begin:end]
-                if piece not in self.ids and end - begin > 1:
-                    continue
-                before = text[back[begin] : begin] if begin else ""
-                if self.follows(before, piece) if before else self.stands(piece):
-                    back[end] = begin
-                    break
-            if end % (4 * self.longest) == 0:
-                paths = {place for place in back if place > end - self.longest}
-                while len(paths) > 1:
-                    last = max(paths)
-                    paths.remove(last)
-                    paths.add(back[last] if last > final else final)
-                meeting = paths.pop()
-                # The piece before the boundary stays, since the next one must fit it.
-                if meeting > final and back[meeting] > final:
-                    commit_to = back[meeting]
-                    keep = {p: b for p, b in back.items() if p >= commit_to}
-                    commit(commit_to)
-                    back.update(keep)
-        commit(len(text))
-        return ids
-
-    def search_short(self, texts: list[str]) -> None:
-        """Ids of short stretches, in sorted order, into the remembered ones."""
-        ids, lengths, known_pair = self.ids, self.lengths.get, self.pairs.get
-        last, back = "", [0]
+    def search(self, texts: list[str]) -> None:
+        """Ids of stretches of any length, in sorted order, into the remembered ones.
+
+        ``back`` holds, for every place from ``base`` on, where the piece that ends there begins. What lies
+        before ``base`` is committed; ``seen`` characters led to that, so a text that shares fewer starts anew.
+        """
+        ids, lengths, known_pair, interval = self.ids, self.lengths.get, self.pairs.get, self.longest
+        last, back, base, seen = "", [0], 0, 0
+        committed: list[int] = []
         for text in texts:
             shared = 0
             for a, b in zip(last, text):
                 if a != b:
                     break
                 shared += 1
-            del back[shared + 1 :]
+            if shared < seen:
+                back, base, seen, shared, committed = [0], 0, 0, 0, []
+            del back[shared - base + 1 :]
             for end in range(shared + 1, len(text) + 1):
                 begin = end - 1
                 for size in lengths(text[end - 3 : end] if end > 2 else "") or (2, 1):
                     begin = end - size
-                    if begin < 0:
+                    if begin < base:
                         continue
                     piece = text[begin:end]
                     if size > 1 and piece not in ids:
@@ -224,25 +188,48 @@ class Pieces:
                         if self.stands(piece):
                             break
                     else:
-                        before = text[back[begin] : begin]
+                        before = text[back[begin - base] : begin]
                         fits = known_pair((before, piece))
                         if self.follows(before, piece) if fits is None else fits:
                             break
                 back.append(begin)
-            found: list[int] = []
-            end = len(text)
-            while end:
-                begin = back[end]
-                own = ids.get(text[begin:end])
-                if own is None:
-                    found.extend(reversed(self._ids(text[begin:end])))
-                else:
-                    found.append(own)
-                end = begin
-            found.reverse()
-            self.units[text] = array("H", found).tobytes()
+                if end % interval == 0:
+                    meeting = self._meeting(back, base, end)
+                    if meeting > base:
+                        committed = committed + self._path(text, back, base, meeting)
+                        del back[: meeting - base]
+                        base, seen = meeting, end
+            found = committed + self._path(text, back, base, len(text))
+            self._remember(text, array("H", found).tobytes())
             last = text
 
+    def _remember(self, text: str, found: bytes) -> None:
+        self.units[text] = found
+        self.held += ENTRY + len(text) + len(found)
+
+    def _meeting(self, back: list[int], base: int, end: int) -> int:
+        """The last boundary that all paths share which a later piece can still go on from."""
+        paths = set(range(max(base, end + 1 - self.longest), end + 1))
+        while len(paths) > 1:
+            last = max(paths)
+            paths.remove(last)
+            paths.add(max(base, back[last - base]))
+        return paths.pop()
+
+    def _path(self, text: str, back: list[int], base: int, end: int) -> list[int]:
+        """Ids of the path from the committed boundary to a place."""
+        found: list[int] = []
+        while end > base:
+            begin = back[end - base]
+            own = self.ids.get(text[begin:end])
+            if own is None:
+                found.extend(reversed(self._ids(text[begin:end])))
+            else:
+                found.append(own)
+            end = begin
+        found.reverse()
+        return found
+
     def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The different stretches of some texts, the number of each one in order, and each text's first."""
         marked = [MARK + text.replace(" ", MARK) if text else "" for text in texts]
@@ -266,8 +253,8 @@ class Pieces:
 
     def learn(self, needed: set[str]) -> None:
         """Searches all new stretches together: the more at once, the more beginnings they share."""
-        if len(self.units) >= CACHED:
-            self.older, self.units = self.units, {}
+        if self.held >= CACHED:
+            self.older, self.units, self.held = self.units, {}, 0
         missing = []
         for unit in needed:
             if unit not in self.units:
@@ -275,21 +262,19 @@ class Pieces:
                 if known is None:
                     missing.append(unit)
                 else:
-                    self.units[unit] = known
+                    self._remember(unit, known)
         missing.sort()
-        self.search_short([unit for unit in missing if len(unit) <= SHORT])
-        for unit in missing:
-            if len(unit) > SHORT:
-                self.units[unit] = array("H", self.search(unit)).tobytes()
+        self.search(missing)
 
-    def encode_parts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each ``PART`` texts the ids as 16-bit numbers, and where each text's begin.
+    def encode_parts(self, parts: list[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each part the ids of its texts as 16-bit numbers, and where each text's begin.
 
         The vocabularies have fewer than 65,536 pieces.
         """
-        cuts = [self.cut(texts[i : i + PART]) for i in range(0, len(texts), PART)]
+        cuts = [self.cut(texts) for texts in parts]
         self.learn({unit for needed, _, _ in cuts for unit in needed})
-        for needed, order, first in cuts:
+        while cuts:
+            needed, order, first = cuts.pop(0)
             found = [self.units[unit] for unit in needed]
             size = np.array([len(x) // 2 for x in found], np.int64)
             end = np.cumsum(size)
@@ -299,16 +284,30 @@ class Pieces:
             yield np.frombuffer(b"".join(found), np.uint16)[at], place[first]
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_parts([text]))[0].tolist()
+        return next(self.encode_parts([[text]]))[0].tolist()
 
-    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
-        ids = np.asarray(ids, np.int64)
+    def decode_all(self, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+        """The texts that the ids between each two of ``begins`` spell."""
         sizes = self.sizes[ids]
         place = np.cumsum(sizes)
         # The place of each letter in the joined spellings: that of its piece's end, less what is to come of it.
-        at = np.arange(place[-1] if len(ids) else 0) + np.repeat(self.ends[ids] - place, sizes)
-        text = self.letters[at].tobytes().decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        letters = self.letters[np.arange(place[-1] if len(ids) else 0) + np.repeat(self.ends[ids] - place, sizes)]
+        starts = np.append(0, place)[begins]
+        # The blank that encoding put before each text goes.
+        first = starts[:-1][starts[:-1] < starts[1:]]
+        keep = np.ones(len(letters), bool)
+        keep[first] = letters[first] != ord(" ")
+        letters, starts = letters[keep], np.append(0, np.cumsum(keep))[starts]
+        texts = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(letters.tobytes()))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            whole = letters.tobytes()
+            texts = pa.array([whole[i:j].decode("utf-8", "replace") for i, j in zip(starts, starts[1:])], pa.large_string())
+        return texts.cast(pa.string())
+
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
+        return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -324,18 +323,27 @@ def _with(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
+def _listed(values: np.ndarray, begins: np.ndarray, mask: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values.astype(np.int32)), mask=mask)
+
+
+def _encoded(own: Pieces, batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with the ids of their texts; what is searched and cut at once is bounded in bytes."""
+    for group in parts(batch, text, SEARCHED):
+        cut = list(parts(group, text, PART))
+        yield from ((part, *found) for part, found in zip(cut, own.encode_parts([p[text].to_pylist() for p in cut])))
+
+
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows with the ids of their whole text."""
     kept = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(_path(vocabulary))
-        for batch in batches:
-            for group in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                for i, (values, begins) in enumerate(own.encode_parts(group[text].to_pylist())):
-                    part = group.slice(i * PART, PART)
-                    offsets, mask = pa.array(begins.astype(np.int32)), part[text].is_null()
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)), mask=mask)
+        with task_of("sentence_pieces", pieces.cache_clear):
+            own = pieces(_path(vocabulary))
+            for batch in batches:
+                for part, values, begins in _encoded(own, batch, text):
+                    lists = _listed(values, begins, part[text].is_null())
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), lists], [*kept, into])
 
     return docs.mapInArrow(run, _with(docs, into, T.ArrayType(T.IntegerType())))
@@ -346,10 +354,34 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary: s
     kept = [c for c in df.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(_path(vocabulary))
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = [None if x.as_py() is None else own.decode(x.values.to_numpy()) for x in part[ids]]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(texts, pa.string())], [*kept, into])
+        with task_of("sentence_pieces", pieces.cache_clear):
+            own = pieces(_path(vocabulary))
+            for batch in batches:
+                for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                    lists = part[ids]
+                    begins = np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy()))
+                    texts = own.decode_all(lists.flatten().to_numpy(), begins)
+                    texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), texts], [*kept, into])
 
     return df.mapInArrow(run, _with(df, into, T.StringType()))
+
+
+def encode_and_decode(
+    docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", vocabulary: str = VOCABULARY
+) -> DataFrame:
+    """The rows with their ids and what these spell, by one worker a task instead of two."""
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_of("sentence_pieces", pieces.cache_clear):
+            own = pieces(_path(vocabulary))
+            for batch in batches:
+                for part, values, begins in _encoded(own, batch, text):
+                    texts = pc.if_else(part[text].is_valid(), own.decode_all(values, begins), pa.scalar(None, pa.string()))
+                    lists = _listed(values, begins, part[text].is_null())
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), lists, texts], [*kept, ids, decoded])
+
+    fields = [f for f in docs.schema.fields if f.name in kept]
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+    return docs.mapInArrow(run, T.StructType(fields + added))
