@@ -1,28 +1,33 @@
-"""Exact removal of word sequences that an earlier document has too.
-
-A suffix is a document from some word on, cut to 50 words: deeper than that the
-suffix tree needs no node. Its parts are built prefix by prefix, and a prefix
-is as long as it takes to fit a part into memory:
-
-1. Every window of 50 words has a stem, the 20 words in it with the least hash.
-   Equal windows have equal stems. Neighbouring windows with one stem form a
-   run. Only stems that stand in two documents can lead to a repeat; a bit field
-   of fixed size marks them, and other windows are dropped where they are read.
-2. Runs whose whole content is equal are one branch: all but the document with
-   the smallest id lose it, and the runs of that document go on.
-3. The branches of one stem form a subtree. Its nodes at depth 50 with two
-   documents are the repeats. Subtrees are built in memory, many to a task; a
-   stem with more than ``most_runs`` branches takes the longest prefix instead,
-   all 50 words, and its nodes are found by a grouping that combines on the way.
-
-Nodes are named by hashes, 128 bits with the stem's. Groups of copies meet step
-2 as partial minima, so no task holds a group. A set bit of another stem only
-lets windows through to step 3, which is exact.
-
-Defined cases: a null text has no words; a null ``doc_id`` neither loses words
-nor makes others lose them; rows that share a ``doc_id`` are judged each by its
-own text and don't count as smaller than one another; only ``doc_id`` and
-``text`` are read by ``repeats``; ``remove_repeats`` keeps all columns.
+"""Exact removal of word sequences that an earlier document has too, by suffix trees built prefix by prefix.
+
+The suffixes are those of at least 50 words; below depth 50 no node is needed.
+They are split by prefixes, each as long as it takes to fit a part into memory:
+
+1. The prefix of a suffix reaches at first to the end of its stem, the 20 words
+   with the least hash among its first 50: 20 to 50 words. Equal prefixes end in
+   equal stems, so all prefixes with one stem make up a part, and neighbouring
+   suffixes with one stem, a run, go there as one stretch of text. Only stems
+   that stand in two documents can lead to a repeat; a bit field of fixed size
+   marks them, and other suffixes are dropped where they are read.
+2. Runs whose whole text is equal are one branch: all but the document with the
+   smallest id lose it, and the run of that document goes on.
+3. The words of every part are counted. A part of more than ``most_words`` is
+   split by longer prefixes of its suffixes, 30, then 40, then all 50 words.
+4. A part in memory becomes a suffix array with the lengths of the prefixes that
+   neighbours have in common, which are the subtree's inner nodes. Those of depth
+   50 or more, with two documents below, are the repeats; what starts side by
+   side in one run makes up a maximal one. A prefix of all 50 words is a node by
+   itself, of which only the smallest id is needed.
+
+Words are told apart by 64-bit hashes. Groups of copies meet step 2 as partial
+minima, so no task holds a group. A set bit of another stem only lets suffixes
+through to step 4, which is exact.
+
+Defined cases: an empty table gives no rows; a null text has no words; a null
+``doc_id`` neither loses words nor makes others lose them; rows that share a
+``doc_id`` are judged each by its own text and don't count as smaller than one
+another; only ``doc_id`` and ``text`` are read by ``repeats``; ``remove_repeats``
+keeps all columns.
 """
 
 from __future__ import annotations
@@ -37,29 +42,39 @@ from pyspark.sql import functions as F
 
 from ebbline.llm.common import stored
 from ebbline.llm.hashing import U, mix, parts, powers, runs, stretches, text_bytes, words_of
+from ebbline.llm.worker import within
 
 WORD_BASE = 0xC2B2AE3D27D4EB4F
+#: 64-bit numbers of the bit field that come to the driver as one row.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``filter_bits`` is the fixed size of the bit field, ``most_runs`` the largest subtree built in memory."""
+    """``filter_bits`` is the fixed size of the bit field, ``most_words`` the largest part built in memory.
+
+    ``longer`` are the lengths in words that the prefixes of larger parts grow to; the window comes last.
+    """
 
     window: int = 50
     stem: int = 20
+    longer: tuple[int, ...] = (30, 40)
     filter_bits: int = 27
-    most_runs: int = 1000
+    most_words: int = 400_000
 
 
 @dataclass(frozen=True)
 class Runs:
-    """Runs of windows with one stem, over all texts of a batch."""
+    """Runs of suffixes with one stem, over all texts of a batch."""
 
     stem: np.ndarray
     text: np.ndarray
-    low: np.ndarray  # first window, counted over the batch
+    low: np.ndarray  # first word, counted over the batch
     count: np.ndarray
-    hashes: np.ndarray  # of every word of the batch
+    data: np.ndarray  # bytes of the batch
+    begins: np.ndarray  # of every word of the batch, as are the next two
+    ends: np.ndarray
+    hashes: np.ndarray
     before: np.ndarray  # words before each text
 
 
@@ -95,7 +110,7 @@ def find_runs(texts: pa.Array, settings: Settings) -> Runs | None:
     fresh[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(fresh)
     count = np.diff(np.append(first, len(starts)))
-    return Runs(stems[at[first]], owner[first], starts[first], count, hashes, before)
+    return Runs(stems[at[first]], owner[first], starts[first], count, data, begins, ends, hashes, before)
 
 
 def _bit(stem: np.ndarray, bits: int) -> np.ndarray:
@@ -123,7 +138,8 @@ def _stems(settings: Settings):
 
 def shared_stems(docs: DataFrame, settings: Settings) -> np.ndarray:
     """Bit field of the stems that stand in two documents: ``2**filter_bits`` bits, whatever the input."""
-    stems = docs.select("doc_id", "text").mapInArrow(_stems(settings), "stem bigint, doc_id bigint")
+    run = within("substring_dedup", _stems(settings))
+    stems = docs.select("doc_id", "text").mapInArrow(run, "stem bigint, doc_id bigint")
     shared = stems.groupBy("stem").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,23 +149,29 @@ def shared_stems(docs: DataFrame, settings: Settings) -> np.ndarray:
                 [pa.array(places >> 6), pa.array((U(1) << (places & 63).astype(U)).view(np.int64))], ["word", "mask"]
             )
 
-    words = (
-        shared.where("low < high")
-        .select("stem")
-        .mapInArrow(bits, "word bigint, mask bigint")
-        .groupBy("word")
+    def chunk(rows: pa.Table) -> pa.Table:
+        part = np.zeros(CHUNK, np.int64)
+        part[rows["word"].to_numpy() % CHUNK] = rows["mask"].to_numpy()
+        return pa.table({"chunk": rows["chunk"][:1], "part": pa.array([part.tobytes()], pa.binary())})
+
+    words = shared.where("low < high").select("stem").mapInArrow(bits, "word bigint, mask bigint")
+    chunks = (
+        words.groupBy("word")
         .agg(F.bit_or("mask").alias("mask"))
+        .withColumn("chunk", F.floor(F.col("word") / CHUNK).cast("int"))
+        .groupBy("chunk")
+        .applyInArrow(chunk, "chunk int, part binary")
     )
-    field = np.zeros(1 << max(settings.filter_bits - 6, 0), np.int64)
-    for row in words.toLocalIterator():
-        field[row["word"]] = row["mask"]
+    field = np.zeros(max(1, (1 << settings.filter_bits) // (64 * CHUNK)) * CHUNK, np.int64)
+    for row in chunks.toLocalIterator():
+        field[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["part"], np.int64)
     return field.view(np.uint8)
 
 
-#: A run's places in its document, the stretches they cover, and the hashes of its windows.
+#: A run's places in its document, the stretches they cover, and its text.
 RUNS = (
     "stem bigint, run bigint, doc_id bigint, text_key bigint, lows array<int>, begins array<int>, ends array<int>, "
-    "windows array<bigint>"
+    "n_words int, words binary"
 )
 
 
@@ -166,7 +188,6 @@ def _marked_runs(sent, settings: Settings):
                 if not len(keep):
                     continue
                 low, count, text = found.low[keep], found.count[keep], found.text[keep]
-                windows = runs(found.hashes, settings.window, WORD_BASE)
                 up, down = powers(len(found.hashes) + 1, WORD_BASE)
                 sums = np.zeros(len(found.hashes) + 1, U)
                 np.cumsum(found.hashes * up[: len(found.hashes)], out=sums[1:])
@@ -188,10 +209,10 @@ def _marked_runs(sent, settings: Settings):
                 cut = np.flatnonzero(apart)
                 last = np.append(cut[1:], len(order)) - 1
                 rows = order[one]
-                size = count[rows]
-                stops = np.cumsum(size)
-                taken = np.arange(stops[-1]) + np.repeat(low[rows] - (stops - size), size)
                 kept_text = text[rows]
+                content_bytes = found.data.tobytes()
+                starts, stops = found.begins[low[rows]], found.ends[low[rows] + count[rows] + settings.window - 2]
+
                 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
                     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
@@ -203,53 +224,128 @@ def _marked_runs(sent, settings: Settings):
                     lists(place.astype(np.int32), np.append(one, len(order))),
                     lists(place[cut].astype(np.int32), np.searchsorted(cut, np.append(one, len(order)))),
                     lists((place[last] + width[last]).astype(np.int32), np.searchsorted(cut, np.append(one, len(order)))),
-                    lists(windows[taken].view(np.int64), np.append(0, stops)),
+                    pa.array((count[rows] + settings.window - 1).astype(np.int32)),
+                    pa.array([content_bytes[i:j] for i, j in zip(starts, stops)], pa.binary()),
                 ]
-                names = ["stem", "run", "doc_id", "text_key", "lows", "begins", "ends", "windows"]
+                names = ["stem", "run", "doc_id", "text_key", "lows", "begins", "ends", "n_words", "words"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return emit
 
 
+#: Suffixes that stand side by side, with the prefix that deals them out: ``begin`` is the place of the first in its run.
+SUFFIXES = "prefix bigint, doc_id bigint, text_key bigint, lows array<int>, begin int, n_words int, words binary"
 #: Stretches of a run, counted from each of its places.
 NODES = "doc_id bigint, text_key bigint, lows array<int>, begin int, end int"
 
 
-def _subtrees(window: int):
-    """Repeats within the subtrees of a partition sorted by stem; holds one batch and the stem that runs on."""
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        stem, doc = rows["stem"].to_numpy(), rows["doc_id"].to_numpy()
-        lists = rows["windows"].combine_chunks()
-        hashes = lists.flatten().to_numpy()
-        size = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(stem)), size)
-        place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
-        order = np.lexsort((doc[row], hashes, stem[row]))
-        r, h = row[order], hashes[order]
-        node = np.ones(len(order), bool)
-        node[1:] = (h[1:] != h[:-1]) | (stem[r[1:]] != stem[r[:-1]])
-        smallest = doc[r[np.flatnonzero(node)]][np.cumsum(node) - 1]
+def ranks(words: np.ndarray, ends: np.ndarray, most: int) -> dict[int, np.ndarray]:
+    """Ranks of the first 1, 2, 4, ... words of every suffix among all, up to ``most`` words.
+
+    ``ends`` is where each suffix's stretch ends; what is shorter ranks first.
+    """
+    found = {1: np.unique(words, return_inverse=True)[1].reshape(-1) + 1}
+    length, place = 1, np.arange(len(words))
+    while length * 2 <= most:
+        first, after = found[length], place + length
+        second = np.where(after < ends, first[np.minimum(after, len(words) - 1)], 0)
+        length *= 2
+        found[length] = np.unique(first * (len(words) + 2) + second, return_inverse=True)[1].reshape(-1) + 1
+    return found
+
+
+def common(ranked: dict[int, np.ndarray], ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that the suffixes at ``a`` and ``b`` have in common, as far as the ranks reach."""
+    shared = np.zeros(len(a), np.int64)
+    for length in sorted(ranked, reverse=True):
+        rank, i, j = ranked[length], a + shared, b + shared
+        inside = np.flatnonzero((i + length <= ends[a]) & (j + length <= ends[b]))
+        same = inside[rank[i[inside]] == rank[j[inside]]]
+        shared[same] += length
+    return shared
+
+
+def suffix_array(
+    words: np.ndarray, ends: np.ndarray, starts: np.ndarray, ids: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``starts`` in the order of their first ``window`` words, then of ``ids``, and the words that
+    each has in common with the one before it.
+
+    Every suffix has that many words.
+    """
+    ranked = ranks(words, ends, window)
+    longest = max(ranked)
+    rank = ranked[longest]
+    order = np.lexsort((ids, rank[starts + window - longest], rank[starts]))
+    placed = starts[order]
+    shared = np.zeros(len(placed), np.int64)
+    shared[1:] = common(ranked, ends, placed[:-1], placed[1:])
+    return order, shared
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _subtrees(settings: Settings):
+    """Repeats in the parts of a partition sorted by prefix; holds one batch and the part that runs on."""
+    window = settings.window
+
+    def solve(rows: pa.Table) -> pa.RecordBatch | None:
+        prefix, doc = rows["prefix"].to_numpy(), rows["doc_id"].to_numpy()
+        part = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+        several = np.minimum.reduceat(doc, part) < np.maximum.reduceat(doc, part)
+        wanted = np.flatnonzero(np.repeat(several, np.diff(np.append(part, len(doc)))))
+        if not len(wanted):
+            return None
+        rows = rows.take(pa.array(wanted))
+        doc = doc[wanted]
+        data, offsets = text_bytes(rows["words"].combine_chunks())
+        begins, stops, before = words_of(data, offsets)
+        sizes = np.diff(before)
+        counts = sizes - (window - 1)
+        row, place = np.repeat(np.arange(len(doc)), counts), _places(counts)
+        starts = before[row] + place
+        order, shared = suffix_array(stretches(data, begins, stops), np.repeat(before[1:], sizes), starts, doc[row], window)
+        # A node of depth ``window`` or more: neighbours that have so much in common. Its first has the smallest id.
+        node = np.flatnonzero(shared < window)
+        smallest = np.repeat(doc[row[order[node]]], np.diff(np.append(node, len(order))))
         repeated = np.zeros(len(order), bool)
-        repeated[order] = doc[r] > smallest
+        repeated[order] = doc[row[order]] > smallest
         at = np.flatnonzero(repeated)
-        # Neighbouring windows of one run are one stretch.
+        # Suffixes side by side in one run are one stretch.
         new = np.ones(len(at), bool)
         new[1:] = (row[at[1:]] != row[at[:-1]]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at))[: len(first)] - 1
         owner = row[at[first]]
+        begin = rows["begin"].to_numpy()[owner]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[owner], pa.int64()),
                 pa.array(rows["text_key"].to_numpy()[owner], pa.int64()),
                 rows["lows"].combine_chunks().take(pa.array(owner)),
-                pa.array(place[at[first]].astype(np.int32)),
-                pa.array((place[at[last]] + window).astype(np.int32)),
+                pa.array((begin + place[at[first]]).astype(np.int32)),
+                pa.array((begin + place[at[last]] + window).astype(np.int32)),
             ],
             ["doc_id", "text_key", "lows", "begin", "end"],
         )
 
+    def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole parts, as many at once as a part may have words."""
+        prefix, reached = rows["prefix"].to_numpy(), np.cumsum(rows["n_words"].to_numpy().astype(np.int64))
+        closed = np.append(np.flatnonzero(prefix[1:] != prefix[:-1]), len(prefix) - 1)
+        start = 0
+        while start < len(prefix):
+            before = reached[start - 1] if start else 0
+            fit = closed[(closed >= start) & (reached[closed] <= before + settings.most_words)]
+            stop = int(fit[-1] if len(fit) else closed[closed >= start][0]) + 1
+            found = solve(rows.slice(start, stop - start))
+            if found is not None:
+                yield found
+            start = stop
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -257,17 +353,81 @@ def _subtrees(window: int):
                 continue
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
-            stems = held["stem"].to_numpy()
-            whole = int(np.searchsorted(stems, stems[-1]))
+            prefix = held["prefix"].to_numpy()
+            whole = int(np.searchsorted(prefix, prefix[-1]))
             if whole:
-                yield solve(held.slice(0, whole))
+                yield from solved(held.slice(0, whole))
                 held = held.slice(whole).combine_chunks()
         if held is not None:
-            yield solve(held)
+            yield from solved(held)
+
+    return emit
+
+
+def _lengthened(length: int, window: int):
+    """Every suffix by itself, dealt by its first ``length`` words; where that is all, without its text."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "words", 200_000):
+                data, offsets = text_bytes(part["words"])
+                begins, stops, before = words_of(data, offsets)
+                counts = np.diff(before) - (window - 1)
+                row, place = np.repeat(np.arange(part.num_rows), counts), _places(counts)
+                starts = before[row] + place
+                hashes = runs(stretches(data, begins, stops), length, WORD_BASE)[starts]
+                prefix = mix(part["prefix"].to_numpy().view(U)[row] ^ hashes).view(np.int64)
+                whole, low, high = data.tobytes(), begins[starts], stops[starts + window - 1]
+                texts = [whole[i:j] for i, j in zip(low, high)] if length < window else [b""] * len(row)
+                rows = pa.array(row)
+                arrays = [
+                    pa.array(prefix),
+                    *(part[c].take(rows) for c in ("doc_id", "text_key", "lows")),
+                    pa.array((part["begin"].to_numpy()[row] + place).astype(np.int32)),
+                    pa.array(np.full(len(row), window, np.int32)),
+                    pa.array(texts, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["prefix", "doc_id", "text_key", "lows", "begin", "n_words", "words"])
 
     return emit
 
 
+def _in_memory(suffixes: DataFrame, settings: Settings) -> DataFrame:
+    """Repeats of the parts that fit; their number of partitions follows the words that they hold."""
+    spark = suffixes.sparkSession
+    total = suffixes.agg(F.sum("n_words")).first()[0] or 0
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (10 * max(settings.most_words, 100_000)))
+    return (
+        suffixes.repartition(count, "prefix")
+        .sortWithinPartitions("prefix")
+        .mapInArrow(within("substring_dedup", _subtrees(settings)), NODES)
+    )
+
+
+def maximal_repeats(suffixes: DataFrame, settings: Settings) -> DataFrame:
+    """Stretches of runs that an earlier document has too."""
+    found = None
+    for length in (*settings.longer, settings.window):
+        sizes = suffixes.groupBy("prefix").agg(F.sum("n_words").alias("n_words"))
+        large = stored(sizes.where(F.col("n_words") > settings.most_words).select("prefix"), "large-parts")
+        fit = _in_memory(suffixes.join(large, "prefix", "left_anti"), settings)
+        found = fit if found is None else found.unionByName(fit)
+        if large.isEmpty():
+            return found
+        own = suffixes.join(large, "prefix", "left_semi").select(*suffixes.columns)
+        run = within("substring_dedup", _lengthened(length, settings.window))
+        suffixes = stored(own.mapInArrow(run, SUFFIXES), "suffixes")
+    # Prefixes of a whole window: a part is a node, of which partial minima are enough.
+    nodes = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id"))
+    deep = (
+        suffixes.select("prefix", "doc_id", "text_key", "lows", "begin")
+        .join(nodes.where("low_id < high_id"), "prefix")
+        .where("doc_id > low_id")
+        .select("doc_id", "text_key", "lows", "begin", (F.col("begin") + settings.window).alias("end"))
+    )
+    return found.unionByName(deep)
+
+
 def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Stretches of words to remove: document, text and word places, end exclusive."""
     spark = docs.sparkSession
@@ -275,7 +435,8 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"
     )
     sent = spark.sparkContext.broadcast(shared_stems(own, settings))
-    found = stored(own.mapInArrow(_marked_runs(sent, settings), RUNS), "runs")
+    found = stored(own.mapInArrow(within("substring_dedup", _marked_runs(sent, settings)), RUNS), "runs")
+    sent.unpersist()
     # Of each branch the documents with the smallest id go on, with every place where they have it.
     smallest = found.groupBy("stem", "run").agg(F.min("doc_id").alias("smallest"))
     judged = found.join(smallest, ["stem", "run"])
@@ -284,31 +445,11 @@ def covers(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .select("doc_id", "text_key", F.explode(F.arrays_zip("begins", "ends")).alias("cover"))
         .select("doc_id", "text_key", F.col("cover.begins").alias("begin"), F.col("cover.ends").alias("end"))
     )
-    branches = stored(
-        judged.where("doc_id = smallest").select("stem", "doc_id", "text_key", "lows", "windows"), "branches"
-    )
-    sizes = branches.groupBy("stem").agg(
-        F.count("*").alias("n_runs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
-    )
-    joined = branches.join(sizes.where("least < most").select("stem", "n_runs"), "stem")
-    small = (
-        joined.where(F.col("n_runs") <= settings.most_runs)
-        .select("stem", "doc_id", "text_key", "lows", "windows")
-        .repartition("stem")
-        .sortWithinPartitions("stem")
-        .mapInArrow(_subtrees(settings.window), NODES)
-    )
-    large = joined.where(F.col("n_runs") > settings.most_runs).select(
-        "stem", "doc_id", "text_key", "lows", F.posexplode("windows").alias("begin", "node")
-    )
-    nodes = large.groupBy("stem", "node").agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id"))
-    deep = (
-        large.join(nodes.where("low_id < high_id"), ["stem", "node"])
-        .where("doc_id > low_id")
-        .select("doc_id", "text_key", "lows", "begin", (F.col("begin") + settings.window).alias("end"))
+    branches = judged.where("doc_id = smallest").select(
+        F.col("stem").alias("prefix"), "doc_id", "text_key", "lows", F.lit(0).alias("begin"), "n_words", "words"
     )
     placed = (
-        small.unionByName(deep)
+        maximal_repeats(stored(branches, "branches"), settings)
         .withColumn("low", F.explode("lows"))
         .select("doc_id", "text_key", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("end")).alias("end"))
     )
@@ -368,7 +509,7 @@ def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per document: words, removed words, and the kept words joined by one space."""
     rows = _covered(docs.select("doc_id", "text"), settings)
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.col("_cover").alias("cover"))
-    return rows.mapInArrow(_keep, KEPT).drop("text_key")
+    return rows.mapInArrow(within("substring_dedup", _keep), KEPT).drop("text_key")
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -260,9 +260,9 @@ def test_license_files_titles_and_comment_blocks(spark):
 
 
 class TestSubstringDedup:
-    @pytest.mark.parametrize("most_runs", [1000, 0])
-    def test_odd_rows(self, odd, most_runs):
-        own = substring_dedup.Settings(most_runs=most_runs, filter_bits=12)
+    @pytest.mark.parametrize("most_words", [400_000, 0])
+    def test_odd_rows(self, odd, most_words):
+        own = substring_dedup.Settings(most_words=most_words, filter_bits=12)
         rows = substring_dedup.repeats(odd, own).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
         assert Counter(map(tuple, rows)) == Counter(brute.repeats(ODD))
 
@@ -273,11 +273,27 @@ class TestSubstringDedup:
             own = random.Random(i)
             a = own.randint(0, 40)
             rows.append((i, " ".join([prose(own.randint(0, 60), i), *passage[a : a + own.randint(45, 90)], prose(30, -i)])))
-        for settings in (substring_dedup.Settings(), substring_dedup.Settings(most_runs=3, filter_bits=8)):
+        # Parts of every length of prefix: all in memory, some split once or twice, all split to the end.
+        for most_words in (400_000, 1500, 300, 0):
+            settings = substring_dedup.Settings(most_words=most_words, filter_bits=8)
             found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), settings)
             got = found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
             assert Counter(map(tuple, got)) == Counter(brute.repeats(rows))
 
+    def test_suffix_array(self):
+        own = np.random.default_rng(4)
+        for words in (own.integers(0, 2, 400), own.integers(0, 9, 300), np.zeros(200, np.int64)):
+            ends = np.repeat([len(words) // 2, len(words)], len(words) // 2)
+            starts = np.flatnonzero(np.arange(len(words)) + 50 <= ends)
+            order, shared = substring_dedup.suffix_array(words, ends, starts, np.zeros(len(starts)), 50)
+            heads = [tuple(words[i : i + 50]) for i in starts[order]]
+            assert heads == sorted(heads)
+            for i, j, got in zip(starts[order][:-1], starts[order][1:], shared[1:]):
+                want = 0
+                while max(i + want - ends[i], j + want - ends[j]) < 0 and words[i + want] == words[j + want]:
+                    want += 1
+                assert min(got, 50) == min(want, 50)
+
     def test_stage_keeps_columns(self, odd):
         rows = substring_dedup.remove_repeats(odd)
         assert rows.columns == odd.columns
