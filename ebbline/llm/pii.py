@@ -7,17 +7,20 @@ term knows the value. Terms above a threshold are marked wherever they stand, in
 every document, and the sanitiser replaces them like the values. Counts of
 terms, values and both together are of whole documents and cover all of them.
 
-Few common documents may be chance, so a pair also needs evidence: by Hoeffding's
-bound its different texts must be so unlikely that among all pairs looked at not
-even one would be expected by chance (``risk``). Copies of a text are evidence
-once. A pair of one text is never evidence, since every rare word of that text
-would tell as much; two texts are, where the corpus is large enough. Near copies
-of a text count as texts of their own: remove them before, as the pipeline does.
+Few common documents may be chance, so a pair also needs evidence, of one of two
+kinds. By Hoeffding's bound its different texts must be so unlikely that among all
+pairs looked at not even one would be expected by chance (``risk``). Only values
+of several texts are looked at: every rare word of a single text would tell as
+much. Copies and near copies (five words, similarity 0.8) of a text share the
+weight of one. Or the term is spelled in the name of an address (more than half of
+a run of its letters, at either end), stands beside the address in a document too,
+and most documents with the term hold that address; one text is then enough.
 Column functions only.
 
 Defined cases: a null text counts as empty; a null ``doc_id`` is a key like any
 other; repeated rows get equal results; only ``doc_id`` and ``text`` are read;
-empty tables give empty results.
+empty tables give empty results, and in a table of one document nothing tells more
+than the table does. Ties do not arise: every term is judged by itself.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import count_of, no_spans, spans, stored, written
+from ebbline.llm.common import count_of, no_spans, spans, stored, words, written
 
 #: The patterns of the base kinds. Possessive repeats and looks behind match the same strings in one pass.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -39,6 +42,10 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: A cheap test that a text may hold the kind.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"\p{L}{3,}"
+#: Near copies share one of so many groups of so many smallest hashes: 0.998 of those of similarity 0.8 do.
+BANDS, ROWS, SHINGLE = 16, 5, 5
+#: The weight of a text, in whole numbers, so that sums do not depend on their order.
+WHOLE = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -88,26 +95,84 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
-def pairs(pieces: DataFrame) -> DataFrame:
-    """Pairs of value and term that share a document: in how many documents and different texts, and the value's own numbers.
+def _held(pieces: DataFrame) -> DataFrame:
+    """The documents with values: digest, text, values written in one way, and terms."""
+    key = lambda s: F.concat_ws(":", s["kind"], F.lower(F.regexp_replace(s["value"], r"[\x20()-]", "")))
+    return pieces.where(F.size("base") > 0).select(
+        "text_key", "text", "base", F.array_distinct(F.transform("base", key)).alias("entities"), _terms(F.col("text")).alias("terms")
+    )
+
+
+def _bands(text: Column) -> Column:
+    """Digests that near copies share one of: groups of smallest hashes of the runs of words."""
+    own = words(text)
+    last = F.greatest(F.size(own) - SHINGLE, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(own, i + 1, SHINGLE)))
+    least = F.transform(
+        F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda k: F.array_min(F.transform(runs, lambda h: F.xxhash64(h, k)))
+    )
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(least, b * ROWS + 1, ROWS)).alias("key"))
+    )
+
+
+def weights(rows: DataFrame) -> DataFrame:
+    """``entity``, ``text_key``, the text's copies and the weight of each, for values of several different texts.
 
-    A document has each of its pairs once, and counts are added up per text before the pairs meet.
+    What near copies there are of a text among those with the value divides its weight.
     """
-    key = lambda s: F.concat_ws(":", s["kind"], F.lower(F.regexp_replace(s["value"], r"[\x20()-]", "")))
-    rows = pieces.where(F.size("base") > 0).select(
-        "text_key", F.array_distinct(F.transform("base", key)).alias("entities"), _terms(F.col("text")).alias("terms")
+    texts = rows.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").agg(F.count("*").alias("copies"))
+    several = texts.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")
+    texts = stored(texts.join(several, "entity", "left_semi"), "personal-texts")
+    wanted = rows.join(texts.select("text_key").distinct(), "text_key", "left_semi")
+    bands = wanted.select("text_key", _bands(F.col("text")).alias("bands")).dropDuplicates(["text_key"])
+    bands = stored(texts.join(bands, "text_key").select("entity", "text_key", "copies", F.inline("bands")), "personal-bands")
+    alike = bands.groupBy("entity", "band", "key").agg(F.count("*").alias("alike"))
+    most = bands.join(alike, ["entity", "band", "key"]).groupBy("entity", "text_key", "copies").agg(F.max("alike").alias("alike"))
+    return most.select("entity", "text_key", "copies", F.floor(F.lit(float(WHOLE)) / (F.col("alike") * F.col("copies"))).alias("weight"))
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of term and value of several texts that share a document: in how many documents, in how many
+    independent texts (``texts_both``), and the value's own numbers.
+    """
+    held = stored(weights(rows), "personal-weights")
+    values = held.groupBy("entity").agg(
+        F.sum("copies").alias("n_entity"), (F.sum(F.col("weight") * F.col("copies")) / WHOLE).alias("texts_entity")
     )
-    values = rows.select("text_key", F.explode("entities").alias("entity")).groupBy("entity")
-    values = values.agg(F.count("*").alias("n_entity"), F.count_distinct("text_key").alias("texts_entity"))
     both = (
         rows.select("text_key", "terms", F.explode("entities").alias("entity"))
-        .select("text_key", "entity", F.explode("terms").alias("term"))
+        .join(held, ["entity", "text_key"])
+        .select("entity", "weight", F.explode("terms").alias("term"))
         .groupBy("term", "entity")
-        .agg(F.count("*").alias("n_both"), F.count_distinct("text_key").alias("texts_both"))
+        .agg(F.count("*").alias("n_both"), (F.sum("weight") / WHOLE).alias("texts_both"))
     )
     return both.join(values, "entity")
 
 
+def spelled(rows: DataFrame) -> DataFrame:
+    """Pairs of an address and a term that its name spells and that also stands beside it: documents of both and of the address."""
+    name = F.substring_index(F.substring("entity", len("email:") + 1, F.length("entity")), "@", 1)
+    runs = F.regexp_extract_all(name, F.lit("[a-z]{3,}"), F.lit(0))
+    every = F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower)
+    inside = F.flatten(
+        F.transform("base", lambda b: F.transform(F.regexp_extract_all(b["value"], F.lit(TERM), F.lit(0)), F.lower))
+    )
+    one = rows.select("text", "base", "terms", F.explode("entities").alias("entity")).where(F.col("entity").startswith("email:"))
+    one = one.withColumn("runs", runs).withColumn(
+        "named",
+        F.filter(
+            "terms",
+            lambda t: F.exists("runs", lambda r: (2 * F.length(t) > F.length(r)) & (F.startswith(r, t) | F.endswith(r, t))),
+        ),
+    )
+    times = lambda found, t: F.size(F.filter(found, lambda w: w == t))
+    beside = F.transform("named", lambda t: F.struct(t.alias("term"), (times(every, t) > times(inside, t)).alias("beside")))
+    numbers = one.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    found = one.where(F.size("named") > 0).select("entity", F.inline(beside)).groupBy("term", "entity")
+    return found.agg(F.count("*").alias("n_both"), F.max("beside").alias("beside")).where("beside").drop("beside").join(numbers, "entity")
+
+
 def _evidence(n_term: Column, n_docs: Column) -> Column:
     """At least minus the logarithm of the chance that so many of the value's texts hold the term (Hoeffding's bound)."""
     share, rate = F.col("texts_both") / F.col("texts_entity"), n_term / n_docs
@@ -117,19 +182,22 @@ def _evidence(n_term: Column, n_docs: Column) -> Column:
 
 def disclosing(docs: DataFrame, pieces: DataFrame, rules: DisclosureRules) -> DataFrame:
     """Terms that disclose a value beyond the threshold and beyond chance."""
-    both = stored(pairs(pieces), "personal-pairs")
+    rows = _held(pieces)
+    both = stored(pairs(rows), "personal-pairs")
     n_docs = F.lit(float(docs.count()))
     # Any of the pairs may be one by chance: the allowed risk is shared among them all.
     least = F.lit(log(max(both.count(), 1) / rules.risk))
     # A term has at least the documents of the pair; pairs that chance explains even then need no count of it.
-    likely = stored(both.where(_evidence(F.col("n_both"), n_docs) >= least), "personal-likely")
+    several = F.col("texts_both") > 2 - 1e-3
+    likely = both.where(several & (_evidence(F.col("n_both"), n_docs) >= least)).withColumn("spelled", F.lit(False))
+    likely = stored(likely.unionByName(spelled(rows).withColumn("spelled", F.lit(True)), allowMissingColumns=True), "personal-likely")
     # Counted before they meet the pairs: each task hands on a word once, not once per document.
     terms = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     terms = terms.join(likely.select("term").distinct(), "term", "left_semi")
     told = F.ln(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     own = F.ln(n_docs / F.col("n_entity"))
-    enough = (own > 0) & (told >= own * rules.threshold) & (_evidence(F.col("n_term"), n_docs) >= least)
-    return likely.join(terms, "term").where(enough).select("term").distinct()
+    beyond = F.when(F.col("spelled"), 2 * F.col("n_both") > F.col("n_term")).otherwise(_evidence(F.col("n_term"), n_docs) >= least)
+    return likely.join(terms, "term").where((own > 0) & (told >= own * rules.threshold) & beyond).select("term").distinct()
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
