@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from math import log
 
 
 def words(text):
@@ -117,3 +118,56 @@ def quality(text):
     failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
     symbols = sum(c in "#*$%&|<>" for c in text or "")
     return len(w), sum(map(len, w)), symbols, dup, len(covered), failed
+
+
+TERM = re.compile(r"[^\W\d_]{3,}")
+
+
+def _shingles(text):
+    w = words(text)
+    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+
+
+def term_spans(docs, threshold=0.8, risk=0.05):
+    """Per row (doc_id, text) the spans of terms that disclose a value; every pair of texts with a value is compared."""
+    texts = [text or "" for _, text in docs]
+    lowered = [[w.lower() for w in TERM.findall(t)] for t in texts]
+    n_term = Counter(w for found in lowered for w in set(found))
+    held, rest = defaultdict(list), {}
+    for i, t in enumerate(texts):
+        spans = [s.split(":") for s in base_spans(t, PERSONAL)[1].split(",") if s]
+        rest[i] = Counter(lowered[i])
+        for kind, a, b in spans:
+            value = t[int(a) : int(b)]
+            rest[i] -= Counter(w.lower() for w in TERM.findall(value))
+            name = kind + ":" + re.sub(r"[\x20()-]", "", value).lower()
+            if i not in held[name]:
+                held[name].append(i)
+    n, looked, told = len(docs), {}, set()
+    for value, rows in held.items():
+        different = sorted({texts[i] for i in rows})
+        bags = [_shingles(t) for t in different]
+        weight = {}
+        for t, own in zip(different, bags, strict=True):
+            alike = sum(len(own & x) >= 0.8 * len(own | x) for x in bags)
+            weight[t] = 1 / alike / sum(texts[i] == t for i in rows)
+        for term in {w for i in rows for w in lowered[i]}:
+            with_it = [i for i in rows if term in lowered[i]]
+            if len(different) > 1:
+                looked[value, term] = (sum(weight[texts[i]] for i in with_it), sum(weight[texts[i]] for i in rows))
+            runs = re.findall("[a-z]{3,}", value.split(":", 1)[1].split("@")[0]) if value.startswith("email:") else []
+            named = any(2 * len(term) > len(r) and (r.startswith(term) or r.endswith(term)) for r in runs)
+            if named and any(rest[i][term] for i in with_it) and 2 * len(with_it) > n_term[term] and len(rows) < n:
+                if log(n * len(with_it) / n_term[term] / len(rows)) >= threshold * log(n / len(rows)):
+                    told.add(term)
+    for (value, term), (both, own) in looked.items():
+        rows = held[value]
+        share, rate = both / own, n_term[term] / n
+        if both < 1.999 or share <= rate or len(rows) == n:
+            continue
+        other = (1 - share) * log((1 - share) / (1 - rate)) if share < 1 - 1e-9 else 0
+        together = sum(term in lowered[i] for i in rows)
+        enough = own * (share * log(share / rate) + other) >= log(max(len(looked), 1) / risk)
+        if enough and log(n * together / n_term[term] / len(rows)) >= threshold * log(n / len(rows)):
+            told.add(term)
+    return [(d, [(m.start(), m.end()) for m in TERM.finditer(t or "") if m.group().lower() in told]) for d, t in docs]

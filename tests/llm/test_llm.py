@@ -387,6 +387,46 @@ class TestPersonalData:
         assert "<TERM> at" in clean[0] and "<PHONE>" in clean[0] and clean[100] == rows[5][1]
 
 
+    def test_terms_equal_brute_force(self, spark):
+        """Addresses that spell a term, values of several texts, copies and near copies; whole tables."""
+        filler = [prose(60, 20_000 + i) for i in range(900)]
+        near = filler[0].split()
+        rows = [
+            (1, f"Marguerite wrote: {filler[1]} marguerite.9@b.org"),  # spelled beside the address
+            (2, f"{filler[2]} tobermory@b.org"),  # spelled nowhere else
+            (3, f"Solveig {filler[3]} solveig@b.org"),
+            *[(4 + i, f"solveig {filler[4 + i]}") for i in range(3)],  # most documents with the name hold no address
+            (10, f"{filler[0]} +41 44 555 12 34 Hallgerd"),
+            (11, " ".join(["other", *near[1:]]) + " +41 44 555 12 34 Hallgerd"),  # a near copy tells nothing new
+            (11, " ".join(["other", *near[1:]]) + " +41 44 555 12 34 Hallgerd"),
+            (12, f"{filler[10]} 10.9.8.7 Ragnheid {filler[11]}"),
+            (None, f"Ragnheid {filler[12]} 10.9.8.7 {filler[13]}"),
+            (13, f"{filler[14]} ragnheid"),
+            (14, None),
+            (15, f"jdoe@b.org, {filler[15]} Doe"),
+            *[(100 + i, t) for i, t in enumerate(filler[100:])],
+        ]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+
+        def spans(found):
+            kept = ((r["doc_id"], [s.split(":")[1:] for s in r["spans"].split(",") if s.startswith("term")]) for r in found)
+            return Counter((d, tuple((int(a), int(b)) for a, b in s)) for d, s in kept if s)
+
+        def plain(docs):
+            apart = []
+            for (d, found), (_, t) in zip(brute.term_spans(docs), docs, strict=True):
+                base = [s.split(":")[1:] for s in brute.base_spans(t, brute.PERSONAL)[1].split(",") if s]
+                apart.append((d, tuple(s for s in found if not any(int(a) < s[1] and s[0] < int(b) for a, b in base))))
+            return Counter(x for x in apart if x[1])
+
+        got = spans(pii.personal_data(df).collect())
+        assert got == plain(rows)
+        texts = dict(rows)
+        words = Counter(texts[d][a:b].lower() for d, s in got.elements() for a, b in s)
+        assert words == {"marguerite": 1, "ragnheid": 3, "doe": 1}
+        given = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+        assert spans(queries.op8_pii(spark, SF_DIR).collect()) == plain(given)
+
     def test_terms_of_two_documents_anywhere(self, spark):
         filler = [prose(30, 9000 + i) for i in range(3000)]
         name = [(1, f"Quillon {filler[0]} a@b.org {filler[1]}"), (2, f"{filler[2]} a@b.org {filler[3]} QUILLON, {prose(5, 1)}")]
