@@ -25,6 +25,7 @@ than the table does. Ties do not arise: every term is judged by itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
@@ -103,17 +104,28 @@ def _held(pieces: DataFrame) -> DataFrame:
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: a column named inside a function over an array is computed at every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _bands(text: Column) -> Column:
     """Digests that near copies share one of: groups of smallest hashes of the runs of words."""
-    own = words(text)
-    last = F.greatest(F.size(own) - SHINGLE, F.lit(0))
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(own, i + 1, SHINGLE)))
-    least = F.transform(
-        F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda k: F.array_min(F.transform(runs, lambda h: F.xxhash64(h, k)))
-    )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(least, b * ROWS + 1, ROWS)).alias("key"))
-    )
+
+    def runs(own: Column) -> Column:
+        last = F.greatest(F.size(own) - SHINGLE, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(own, i + 1, SHINGLE)))
+
+    def least(found: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda k: F.array_min(F.transform(found, lambda h: F.xxhash64(h, k)))
+        )
+
+    def grouped(lows: Column) -> Column:
+        key = lambda b: F.xxhash64(F.slice(lows, b * ROWS + 1, ROWS))
+        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), key(b).alias("key")))
+
+    return _bound(words(text), lambda own: _bound(runs(own), lambda found: _bound(least(found), grouped)))
 
 
 def weights(rows: DataFrame) -> DataFrame:
@@ -159,15 +171,12 @@ def spelled(rows: DataFrame) -> DataFrame:
         F.transform("base", lambda b: F.transform(F.regexp_extract_all(b["value"], F.lit(TERM), F.lit(0)), F.lower))
     )
     one = rows.select("text", "base", "terms", F.explode("entities").alias("entity")).where(F.col("entity").startswith("email:"))
-    one = one.withColumn("runs", runs).withColumn(
-        "named",
-        F.filter(
-            "terms",
-            lambda t: F.exists("runs", lambda r: (2 * F.length(t) > F.length(r)) & (F.startswith(r, t) | F.endswith(r, t))),
-        ),
-    )
+    of = lambda t, r: (2 * F.length(t) > F.length(r)) & (F.startswith(r, t) | F.endswith(r, t))
+    named = _bound(runs, lambda own: F.filter("terms", lambda t: F.exists(own, lambda r: of(t, r))))
     times = lambda found, t: F.size(F.filter(found, lambda w: w == t))
-    beside = F.transform("named", lambda t: F.struct(t.alias("term"), (times(every, t) > times(inside, t)).alias("beside")))
+    placed = lambda t, all_, own: F.struct(t.alias("term"), (times(all_, t) > times(own, t)).alias("beside"))
+    beside = _bound(every, lambda all_: _bound(inside, lambda own: F.transform("named", lambda t: placed(t, all_, own))))
+    one = one.withColumn("named", named)
     numbers = one.groupBy("entity").agg(F.count("*").alias("n_entity"))
     found = one.where(F.size("named") > 0).select("entity", F.inline(beside)).groupBy("term", "entity")
     return found.agg(F.count("*").alias("n_both"), F.max("beside").alias("beside")).where("beside").drop("beside").join(numbers, "entity")
