@@ -11,8 +11,9 @@ Few common documents may be chance, so a pair also needs evidence, of one of two
 kinds. By Hoeffding's bound its different texts must be so unlikely that among all
 pairs looked at not even one would be expected by chance (``risk``). Only values
 of several texts are looked at: every rare word of a single text would tell as
-much. Copies and near copies (five words, similarity 0.8) of a text share the
-weight of one. Or the term is spelled in the name of an address (more than half of
+much. Texts of one origin (copies, and texts that share half or more of their runs
+of five words) share the weight of one, since whatever one took from another stands
+in both. Or the term is spelled in the name of an address (more than half of
 a run of its letters, at either end), stands beside the address in a document too,
 and most documents with the term hold that address; one text is then enough.
 Column functions only.
@@ -43,8 +44,9 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: A cheap test that a text may hold the kind.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"\p{L}{3,}"
-#: Near copies share one of so many groups of so many smallest hashes: 0.998 of those of similarity 0.8 do.
-BANDS, ROWS, SHINGLE = 16, 5, 5
+#: Texts of one origin share one of so many groups of so many smallest hashes of their runs of five words: of those
+#: that share half of the runs 0.93 do, of those that share four in five all but 1e-6.
+BANDS, ROWS, SHINGLE = 20, 3, 5
 #: The weight of a text, in whole numbers, so that sums do not depend on their order.
 WHOLE = 1 << 32
 
@@ -110,7 +112,7 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _bands(text: Column) -> Column:
-    """Digests that near copies share one of: groups of smallest hashes of the runs of words."""
+    """Digests that texts of one origin share one of: groups of smallest hashes of the runs of words."""
 
     def runs(own: Column) -> Column:
         last = F.greatest(F.size(own) - SHINGLE, F.lit(0))
@@ -131,7 +133,7 @@ def _bands(text: Column) -> Column:
 def weights(rows: DataFrame) -> DataFrame:
     """``entity``, ``text_key``, the text's copies and the weight of each, for values of several different texts.
 
-    What near copies there are of a text among those with the value divides its weight.
+    How many texts of its origin there are among those with the value divides a text's weight.
     """
     texts = rows.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").agg(F.count("*").alias("copies"))
     several = texts.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")

@@ -149,7 +149,7 @@ def term_spans(docs, threshold=0.8, risk=0.05):
         bags = [_shingles(t) for t in different]
         weight = {}
         for t, own in zip(different, bags, strict=True):
-            alike = sum(len(own & x) >= 0.8 * len(own | x) for x in bags)
+            alike = sum(len(own & x) >= 0.5 * len(own | x) for x in bags)
             weight[t] = 1 / alike / sum(texts[i] == t for i in rows)
         for term in {w for i in rows for w in lowered[i]}:
             with_it = [i for i in rows if term in lowered[i]]
