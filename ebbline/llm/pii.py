@@ -44,9 +44,9 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: A cheap test that a text may hold the kind.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"\p{L}{3,}"
-#: Texts of one origin share one of so many groups of so many smallest hashes of their runs of five words: of those
-#: that share half of the runs 0.93 do, of those that share four in five all but 1e-6.
-BANDS, ROWS, SHINGLE = 20, 3, 5
+#: Texts that share half of their runs of five words meet in one of so many groups of so many smallest hashes (0.93 of them
+#: do, of those that share 0.8 all but 1e-6), and are of one origin if of all these hashes a share of ``KIN`` is equal too.
+BANDS, ROWS, SHINGLE, KIN = 20, 3, 5, 0.42
 #: The weight of a text, in whole numbers, so that sums do not depend on their order.
 WHOLE = 1 << 32
 
@@ -111,23 +111,23 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _bands(text: Column) -> Column:
-    """Digests that texts of one origin share one of: groups of smallest hashes of the runs of words."""
+def _least(text: Column) -> Column:
+    """The smallest hashes of the runs of words."""
 
     def runs(own: Column) -> Column:
         last = F.greatest(F.size(own) - SHINGLE, F.lit(0))
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(own, i + 1, SHINGLE)))
 
     def least(found: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda k: F.array_min(F.transform(found, lambda h: F.xxhash64(h, k)))
-        )
+        return F.transform(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda k: F.array_min(F.transform(found, lambda h: F.hash(h, k))))
+
+    return _bound(words(text), lambda own: _bound(runs(own), least))
 
-    def grouped(lows: Column) -> Column:
-        key = lambda b: F.xxhash64(F.slice(lows, b * ROWS + 1, ROWS))
-        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), key(b).alias("key")))
 
-    return _bound(words(text), lambda own: _bound(runs(own), lambda found: _bound(least(found), grouped)))
+def _bands(least: str) -> Column:
+    """Number and digest of each group of smallest hashes."""
+    key = lambda b: F.xxhash64(F.slice(least, b * ROWS + 1, ROWS))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), key(b).alias("key")))
 
 
 def weights(rows: DataFrame) -> DataFrame:
@@ -139,10 +139,18 @@ def weights(rows: DataFrame) -> DataFrame:
     several = texts.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")
     texts = stored(texts.join(several, "entity", "left_semi"), "personal-texts")
     wanted = rows.join(texts.select("text_key").distinct(), "text_key", "left_semi")
-    bands = wanted.select("text_key", _bands(F.col("text")).alias("bands")).dropDuplicates(["text_key"])
-    bands = stored(texts.join(bands, "text_key").select("entity", "text_key", "copies", F.inline("bands")), "personal-bands")
-    alike = bands.groupBy("entity", "band", "key").agg(F.count("*").alias("alike"))
-    most = bands.join(alike, ["entity", "band", "key"]).groupBy("entity", "text_key", "copies").agg(F.max("alike").alias("alike"))
+    signed = stored(wanted.dropDuplicates(["text_key"]).select("text_key", _least(F.col("text")).alias("least")), "personal-least")
+    group = ["entity", "band", "key"]
+    bands = texts.join(signed, "text_key").select("entity", "text_key", "copies", "least", F.inline(_bands("least")))
+    bands = stored(bands, "personal-bands")
+    # A group's texts are held against its first one, never against each other.
+    firsts = bands.groupBy(*group).agg(F.min_by("least", "text_key").alias("first"))
+    same = F.size(F.filter(F.zip_with("least", "first", lambda x, y: x == y), lambda equal: equal))
+    kin = bands.join(firsts, group).select(*group, "text_key", "copies", (same >= KIN * BANDS * ROWS).alias("kin"))
+    kin = stored(kin, "personal-kin")
+    alike = kin.groupBy(*group).agg(F.count_if("kin").alias("alike"))
+    own = F.max(F.when(F.col("kin"), F.col("alike")).otherwise(1)).alias("alike")
+    most = kin.join(alike, group).groupBy("entity", "text_key", "copies").agg(own)
     return most.select("entity", "text_key", "copies", F.floor(F.lit(float(WHOLE)) / (F.col("alike") * F.col("copies"))).alias("weight"))
 
 
