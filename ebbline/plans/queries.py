@@ -366,11 +366,18 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(train.class_weights(inputs.features(spark, sf_dir)), 9, "class_weight")
 
 
+def _stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features as a stage of their own, as the jobs have them: training and its proofs pass over them several times."""
+    path = scratch_dir(spark, "features")
+    files.write_stage(inputs.features(spark, sf_dir), path)
+    return files.read_stage(spark, path)
+
+
 def _rated(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """Customers with their side of the split, and whether their probability is one."""
     p = F.col("churn_probability")
-    split_rows = split.stratified_split(rows)
-    rated = scoring.predict(split_rows, model)
+    split_rows = preprocess.model_input(split.stratified_split(rows), "customerID", LABEL, "split")
+    rated = scoring.predict(train.dealt(split_rows, rows.count()), model)
     return rated.select("customerID", LABEL, "split", (p.isNotNull() & p.between(0, 1)).alias("in_range"))
 
 
@@ -382,7 +389,7 @@ def train_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     optimum whoever found it. ``balanced`` is the intercept's condition: rated
     and labelled weight agree.
     """
-    rows = inputs.features(spark, sf_dir)
+    rows = _stored_features(spark, sf_dir)
     model = train.train_models(rows, names=("logistic_regression",)).model
     own = split.stratified_split(rows).where(F.col("split") == "train")
     prepared = train.training_rows(preprocess.model_input(own, LABEL), PipelineModel(model.stages[:-1]))
@@ -399,7 +406,7 @@ def train_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def train_rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers rated by the forest, with what its saved node table says: size, depth, leaves, features, row counts."""
-    rows = inputs.features(spark, sf_dir)
+    rows = _stored_features(spark, sf_dir)
     model = train.train_models(rows, names=("random_forest",)).model
     path = scratch_dir(spark, "model")
     model.write().save(path)
@@ -429,7 +436,7 @@ def eval_threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates: whether their figures are possible and better than chance, and whether the best one was chosen."""
-    chosen = train.model_selection(train.train_models(inputs.features(spark, sf_dir)))
+    chosen = train.model_selection(train.train_models(_stored_features(spark, sf_dir)))
     best = Window.orderBy(F.desc("auc"), "position").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     figures = ["precision", "recall", "f1"]
     harmonic = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
@@ -447,7 +454,7 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def registry_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry entry of a saved model, held against its report and against the model that its path gives."""
-    rows = inputs.features(spark, sf_dir)
+    rows = _stored_features(spark, sf_dir)
     trained = train.train_models(rows)
     model_path, metrics_path = scratch_dir(spark, "model"), scratch_dir(spark, "metrics")
     train.save_model(trained, model_path, metrics_path)
@@ -457,7 +464,7 @@ def registry_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = mart.read("model_registry")
     best = trained.metrics.where(F.col("model_type") == trained.selected)
     test = split.stratified_split(rows).where(F.col("split") == "test")
-    area = evaluate.auc(scoring.predict(test, train.load_model(entries.first()["artifact_path"])))
+    area = evaluate.auc(train.rated(train.dealt(test, rows.count()), train.load_model(entries.first()["artifact_path"])))
     same = [F.col(f"{c}_score") == F.col(c) for c in ("auc", "precision", "recall", "f1")]
     return entries.join(best, "model_type").select(
         "model_name",
@@ -746,8 +753,9 @@ def upload_model_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     times the months that contract and tenure give; ``none_above``: no other
     record has more at risk than the last one shown.
     """
-    trained = train.train_models(inputs.features(spark, sf_dir))
-    rated = scoring.predict(_upload_features(spark, sf_dir), trained.model)
+    rows = _stored_features(spark, sf_dir)
+    trained = train.train_models(rows)
+    rated = scoring.predict(train.dealt(_upload_features(spark, sf_dir), rows.count()), trained.model)
     path = scratch_dir(spark, "rated")
     files.write_stage(scoring.score_output(rated, inputs.RUN_DATE), path)
     scored = files.read_stage(spark, path)

@@ -244,6 +244,35 @@ def test_first_candidate_wins_ties(features, monkeypatch):
     assert train.train_models(features, trees=2).selected == "logistic_regression"
 
 
+def test_fits_and_ratings_run_in_no_more_tasks_than_cores(features, monkeypatch):
+    seen = {}
+
+    class Watched:
+        def __init__(self, own):
+            self.own = own
+
+        def fit(self, prepared):
+            seen["fit"] = prepared.rdd.getNumPartitions()
+            return self.own.fit(prepared)
+
+    own = train.candidates
+    monkeypatch.setattr(train, "candidates", lambda *x: {name: Watched(e) for name, e in own(*x).items()})
+    rate = train.predict
+    monkeypatch.setattr(train, "predict", lambda test, model: seen.update(rated=test.rdd.getNumPartitions()) or rate(test, model))
+    rows = features.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("copy").repartition(64).persist()
+    found = train.train_models(rows, names=("logistic_regression",))
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    assert 1 <= seen["fit"] <= cores and 1 <= seen["rated"] <= cores and found.metrics.first()["auc"] > 0.5
+    rows.unpersist()
+
+
+def test_few_rows_get_few_tasks_and_many_get_more(features):
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    assert [train._tasks(features, n) for n in (0, 1, train.ROWS_PER_TASK + 1)] == [1, 1, 2]
+    assert train._tasks(features, 10**5) == cores
+    assert train._tasks(features, 10**8) == 10**8 // train.ROWS_AT_MOST
+
+
 def test_columns_that_cannot_be_learned(features):
     with pytest.raises(ValueError, match="No values to learn from"):
         preprocess.fit_preprocessor(features.withColumn("tenure", F.lit(None).cast("bigint")))
