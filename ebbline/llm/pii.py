@@ -199,6 +199,15 @@ def _evidence(n_term: Column, n_docs: Column) -> Column:
     return F.when(share > rate, F.col("texts_entity") * (share * F.ln(share / rate) + rest)).otherwise(0.0)
 
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """In how many documents each term stands.
+
+    Counted before the terms meet any pairs: each task hands on a word once, not once per document. A left semi join
+    would be moved below the count, and where Spark then joins by sorting, every word of every document is exchanged.
+    """
+    return docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+
+
 def disclosing(docs: DataFrame, pieces: DataFrame, rules: DisclosureRules) -> DataFrame:
     """Terms that disclose a value beyond the threshold and beyond chance."""
     rows = _held(pieces)
@@ -210,9 +219,7 @@ def disclosing(docs: DataFrame, pieces: DataFrame, rules: DisclosureRules) -> Da
     several = F.col("texts_both") > 2 - 1e-3
     likely = both.where(several & (_evidence(F.col("n_both"), n_docs) >= least)).withColumn("spelled", F.lit(False))
     likely = stored(likely.unionByName(spelled(rows).withColumn("spelled", F.lit(True)), allowMissingColumns=True), "personal-likely")
-    # Counted before they meet the pairs: each task hands on a word once, not once per document.
-    terms = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    terms = terms.join(likely.select("term").distinct(), "term", "left_semi")
+    terms = term_counts(docs)
     told = F.ln(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     own = F.ln(n_docs / F.col("n_entity"))
     beyond = F.when(F.col("spelled"), 2 * F.col("n_both") > F.col("n_term")).otherwise(_evidence(F.col("n_term"), n_docs) >= least)

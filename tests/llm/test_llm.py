@@ -508,3 +508,17 @@ def test_pipeline(spark, docs, texts):
         rows = after
     total = F.sum("length"), F.count_distinct("doc_id")
     assert corpus_pipeline.run(spark, SF_DIR).agg(*total).first() == rows.agg(*total).first()
+
+
+def test_terms_are_counted_before_they_meet_the_pairs(spark):
+    rows = [(i, f"{prose(30, i)} write to anna.berg@example.org Annabel {prose(5, 100 + i)}") for i in range(6)]
+    rows += [(10 + i, prose(40, 50 + i)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    told = pii.disclosing(docs, pii.base_spans(docs, keep_text=True), pii.DisclosureRules())
+    assert told.where("term = 'annabel'").count() == 1
+    lines = told._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if "Aggregate" in line and "AS n_term" in line)
+    below = lines[at + 1 :]
+    end = next((i for i, line in enumerate(below) if depth(line) <= depth(lines[at])), len(below))
+    assert end and not any("Join" in line for line in below[:end])
