@@ -522,3 +522,12 @@ def test_terms_are_counted_before_they_meet_the_pairs(spark):
     below = lines[at + 1 :]
     end = next((i for i, line in enumerate(below) if depth(line) <= depth(lines[at])), len(below))
     assert end and not any("Join" in line for line in below[:end])
+
+
+def test_marked_documents_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(1, "one Annabel here"), (2, "none here"), (None, "annabel and Annabel")], "doc_id bigint, text string")
+    found = pii.term_spans(docs, spark.createDataFrame([("annabel",)], "term string"))
+    got = sorted((r["doc_id"] or 0, [(m["start"], m["end"]) for m in r["marked"]]) for r in found.collect())
+    assert got == [(0, [(0, 7), (12, 19)]), (1, [(4, 11)])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
