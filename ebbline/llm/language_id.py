@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.worker import task_of, within
+from ebbline.llm.worker import give_back, task_of, within
 
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double"
@@ -217,6 +217,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
 
 def predictor(docs: DataFrame, model: Model | None):
     """A column function from text to prediction; the model is a table of fixed size and sent once."""
+    # What the fit took on the driver is free by now; later stages of a pipeline should find it so.
+    give_back()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(own: Model | None, texts: pd.Series) -> pd.DataFrame:

@@ -531,3 +531,11 @@ def test_marked_documents_are_not_broadcast(spark):
     assert got == [(0, [(0, 7), (12, 19)]), (1, [(4, 11)])]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_the_driver_gives_back_what_the_language_fit_took(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(language_id, "give_back", lambda: called.append(1))
+    docs = spark.createDataFrame([(1, "some text", "en")], "doc_id bigint, text string, lang string")
+    language_id.keep_identified(docs)
+    assert called
