@@ -69,9 +69,14 @@ class LabelIndexer(Transformer, MLWritable, MLReadable):
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def labels(self, column: str) -> DataFrame:
+    def table(self) -> DataFrame:
+        """The label table; its folders are listed here."""
+        schema = "value string, place bigint, column_name string"
+        return SparkSession.active().read.schema(schema).parquet(self.getOrDefault("path"))
+
+    def labels(self, column: str, table: DataFrame | None = None) -> DataFrame:
         """Value and place of a column's labels."""
-        table = SparkSession.active().read.schema("value string, place bigint, column_name string").parquet(self.getOrDefault("path"))
+        table = self.table() if table is None else table
         return table.where(F.col("column_name") == column).select("value", "place")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -79,9 +84,9 @@ class LabelIndexer(Transformer, MLWritable, MLReadable):
         names: Sequence[tuple] = list(
             zip(*[self.getOrDefault(p) for p in ("columns", "inputCols", "outputCols", "sizes")], strict=True)
         )
-        joined, numbers = dataset, []
+        joined, numbers, table = dataset, [], self.table()
         for k, (column, source, target, size) in enumerate(names):
-            own = self.labels(column).toDF(f"_label_{k}", f"_place_{k}")
+            own = self.labels(column, table).toDF(f"_label_{k}", f"_place_{k}")
             joined = joined.join(own, F.col(source) == F.col(f"_label_{k}"), "left")
             nominal = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
             place = F.coalesce(F.col(f"_place_{k}"), F.lit(size)).cast("double")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -84,6 +83,13 @@ def _impute_and_scale(stats: dict[str, NumericStats], mode: dict[str, str]) -> S
     return SQLTransformer(statement=f"SELECT *, {', '.join(items)} FROM __THIS__")
 
 
+def _stored(levels: DataFrame) -> DataFrame:
+    """The counts as files, in as few parts as they need: kept ones stay in all partitions of the shuffle, few as they are."""
+    path = scratch_dir(levels.sparkSession, "levels")
+    levels.write.parquet(path)
+    return levels.sparkSession.read.schema(levels.schema).parquet(path)
+
+
 def fit_preprocessor(train: DataFrame) -> PipelineModel:
     """Learn the preprocessing from the training rows.
 
@@ -91,13 +97,10 @@ def fit_preprocessor(train: DataFrame) -> PipelineModel:
     labels stay in a table of their own.
     """
     stats = numeric_stats(train)
-    levels = level_counts(train).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        mode, sizes = _modes_by_column(levels), label_counts(levels)
-        path = scratch_dir(train.sparkSession, "label-table")
-        numbered_labels(levels, path)
-    finally:
-        levels.unpersist()
+    levels = _stored(level_counts(train))
+    mode, sizes = _modes_by_column(levels), label_counts(levels)
+    path = scratch_dir(train.sparkSession, "label-table")
+    numbered_labels(levels, path)
     indexer = LabelIndexer(
         columns=CATEGORICAL_COLUMNS,
         inputCols=[f"cat_{c}" for c in CATEGORICAL_COLUMNS],

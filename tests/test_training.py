@@ -273,6 +273,38 @@ def test_few_rows_get_few_tasks_and_many_get_more(features):
     assert train._tasks(features, 10**8) == 10**8 // train.ROWS_AT_MOST
 
 
+def test_forest_keeps_the_reached_nodes_and_is_the_same(features):
+    own = train.random_forest(trees=7, depth=6)
+    assert own.getCacheNodeIds()
+    prepared = train.training_rows(features, preprocess.fit_preprocessor(features)).repartition(3).persist()
+    kept, walked = own.fit(prepared), own.copy().setCacheNodeIds(False).fit(prepared)
+    assert kept.totalNumNodes == walked.totalNumNodes > 7
+    found = [[r["probability"][1] for r in m.transform(prepared).select("probability").collect()] for m in (kept, walked)]
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
+    prepared.unpersist()
+
+
+def test_weights_are_counted_before_the_labels_are_joined(features):
+    class Watched:
+        def transform(self, rows):
+            assert {r["class_weight"] for r in rows.collect()} == {r["class_weight"] for r in train.class_weights(features).collect()}
+            return rows.withColumn("features", F.lit(0))
+
+    assert train.training_rows(features, Watched()).count() == features.count()
+
+
+def test_few_levels_are_read_in_one_task(features, monkeypatch):
+    seen, own = [], preprocess.numbered_labels
+    monkeypatch.setattr(preprocess, "numbered_labels", lambda levels, path: seen.append(levels.rdd.getNumPartitions()) or own(levels, path))
+    shuffled = features.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    features.sparkSession.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        preprocess.fit_preprocessor(features)
+    finally:
+        features.sparkSession.conf.set("spark.sql.shuffle.partitions", shuffled)
+    assert 1 <= seen[0] <= 4
+
+
 def test_columns_that_cannot_be_learned(features):
     with pytest.raises(ValueError, match="No values to learn from"):
         preprocess.fit_preprocessor(features.withColumn("tenure", F.lit(None).cast("bigint")))
