@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ebbline.schemas import LABEL
+from ebbline.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -84,30 +85,40 @@ def forest_nodes(spark: SparkSession, model_path: str) -> DataFrame:
 def forest_shape(nodes: DataFrame) -> ForestShape:
     """Size and depth of a forest, and nodes whose rows are not those of their children.
 
-    The depth is found level by level, from the roots down: as many joins as the
-    trees are deep, each with the children of the level above.
+    Depths are found by doubling: every node knows an ancestor and how far above
+    it is, and takes over what that ancestor knows until all are at their root,
+    so there are as many joins as the depth has binary digits. Nodes that no root
+    reaches have no depth.
     """
     nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         own = nodes.agg(
             F.count_distinct("tree").alias("trees"),
+            F.count(F.lit(1)).alias("nodes"),
             F.min(F.when(F.col("children").isNull(), F.col("rows"))).alias("smallest"),
             F.max("feature").alias("feature"),
         ).first()
         below = nodes.select("tree", F.col("rows").alias("whole"), F.col("node").alias("above"), F.explode("children").alias("node"))
         split = nodes.select("tree", "node", "rows").join(below, ["tree", "node"]).groupBy("tree", "above")
         uneven = split.agg(F.sum("rows").alias("parts"), F.max("whole").alias("whole")).where("parts <> whole").count()
-        links, depth = below.select("tree", "above", "node").persist(StorageLevel.MEMORY_AND_DISK), 0
-        level = links.where("above = 0").select("tree", "node").persist(StorageLevel.MEMORY_AND_DISK)
-        while not level.isEmpty():
-            depth += 1
-            deeper = links.join(level.withColumnRenamed("node", "above"), ["tree", "above"]).select("tree", "node")
-            deeper = deeper.persist(StorageLevel.MEMORY_AND_DISK)
-            deeper.count()
-            level.unpersist()
-            level = deeper
-        level.unpersist()
-        links.unpersist()
+        depth = _depth(below.select("tree", "node", "above", F.lit(1).cast("bigint").alias("far")), own["nodes"])
     finally:
         nodes.unpersist()
     return ForestShape(own["trees"], depth, own["smallest"], -1 if own["feature"] is None else own["feature"], uneven)
+
+
+def _depth(links: DataFrame, nodes: int) -> int:
+    """The longest way from a node to the root, node 0, of its tree, from links between each node and the one above."""
+    spark = links.sparkSession
+    for _ in range(nodes.bit_length() + 1):
+        path = scratch_dir(spark, "depths")
+        links.write.parquet(path)
+        links = spark.read.schema(links.schema).parquet(path)
+        found = links.agg(F.max(F.when(F.col("above") == 0, F.col("far"))).alias("depth"), F.count_if(F.col("above") != 0).alias("open")).first()
+        if not found["open"]:
+            break
+        next_up = links.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("far").alias("more"))
+        risen = links.where("above <> 0").join(next_up, ["tree", "above"])
+        risen = risen.select("tree", "node", F.col("top").alias("above"), (F.col("far") + F.col("more")).alias("far"))
+        links = links.where("above = 0").unionByName(risen)
+    return found["depth"] or 0

@@ -305,6 +305,19 @@ def test_few_levels_are_read_in_one_task(features, monkeypatch):
     assert 1 <= seen[0] <= 4
 
 
+def test_depths_are_found_by_doubling(spark, monkeypatch):
+    written, own = [], certify.scratch_dir
+    monkeypatch.setattr(certify, "scratch_dir", lambda *x: written.append(x) or own(*x))
+    schema = "tree int, node int, above int, far bigint"
+    chain = [(0, i + 1, i, 1) for i in range(10)]
+    odd = [(1, 1, 0, 1), (1, 2, 0, 1), (1, 8, 7, 1), (1, 9, 8, 1), (1, 10, 9, 1)]  # the last three are below no root
+    assert certify._depth(spark.createDataFrame(chain + odd, schema), 17) == 10
+    assert len(written) <= 5
+    assert certify._depth(spark.createDataFrame([], schema), 3) == 0
+    round_about = [(0, 5, 6, 1), (0, 6, 5, 1), (0, 1, 0, 1)]
+    assert certify._depth(spark.createDataFrame(round_about, schema), 4) == 1
+
+
 def test_columns_that_cannot_be_learned(features):
     with pytest.raises(ValueError, match="No values to learn from"):
         preprocess.fit_preprocessor(features.withColumn("tenure", F.lit(None).cast("bigint")))
